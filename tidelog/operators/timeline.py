@@ -43,44 +43,45 @@ def annotate(
     """
     has_forced = "forced" in captures.columns
     when = F.struct("fetched_at", "capture_id")
-    rows = (
-        captures.withColumn("_chunk", time_chunk("fetched_at", chunk_unit))
-        .withColumn("ok", F.coalesce("ok", F.lit(False)))
-        .withColumn("_forced", F.coalesce("forced", F.lit(False)) if has_forced else F.lit(False))
-        .withColumn(
-            "_now",
-            F.when(
-                F.col("ok"),
+    ok = F.coalesce("ok", F.lit(False))
+    rows = captures.withColumns(
+        {
+            "_chunk": time_chunk("fetched_at", chunk_unit),
+            "ok": ok,
+            "_forced": F.coalesce("forced", F.lit(False)) if has_forced else F.lit(False),
+            "_now": F.when(
+                ok,
                 F.struct(
                     F.col("content_sha256").alias("sha"),
                     F.coalesce("blocked", F.lit(False)).alias("blocked"),
                     F.col("title").alias("title"),
                 ),
             ),
-        )
+        }
     )
     inside = Window.partitionBy("page_url", "_chunk").orderBy("fetched_at", "capture_id")
     before, upto = inside.rowsBetween(*BEFORE), inside.rowsBetween(*UP_TO)
     known_prev = F.col("_local_prev").isNotNull()
+    repeats = known_prev & F.col("ok") & _same(F.col("_now"), F.col("_local_prev"))
+    differs = known_prev & F.col("ok") & ~_same(F.col("_now"), F.col("_local_prev"))
     local = (
-        rows.withColumn("_local_prev", F.last("_now", ignorenulls=True).over(before))
-        .withColumn("_local_obs", F.lag("ok").over(inside))
-        .withColumn("_fail_sum", F.sum((~F.col("ok")).cast("bigint")).over(upto))
-        .withColumn("_same_sum", F.sum((known_prev & F.col("ok") & _same(F.col("_now"), F.col("_local_prev"))).cast("bigint")).over(upto))
-        .withColumn(
-            "_fail_mark",
-            F.last(
-                F.when(F.col("ok"), F.col("_fail_sum")).when(F.col("_forced"), F.col("_fail_sum") - 1),
-                ignorenulls=True,
-            ).over(upto),
+        rows.withColumns(
+            {
+                "_local_prev": F.last("_now", ignorenulls=True).over(before),
+                "_local_obs": F.lag("ok").over(inside),
+                "_fail_sum": F.sum((~F.col("ok")).cast("bigint")).over(upto),
+            }
         )
-        .withColumn(
-            "_same_mark",
-            F.last(
-                F.when(known_prev & F.col("ok") & ~_same(F.col("_now"), F.col("_local_prev")), F.col("_same_sum")),
-                ignorenulls=True,
-            ).over(upto),
+        .withColumns(
+            {
+                "_same_sum": F.sum(repeats.cast("bigint")).over(upto),
+                "_fail_mark": F.last(
+                    F.when(F.col("ok"), F.col("_fail_sum")).when(F.col("_forced"), F.col("_fail_sum") - 1),
+                    ignorenulls=True,
+                ).over(upto),
+            }
         )
+        .withColumn("_same_mark", F.last(F.when(differs, F.col("_same_sum")), ignorenulls=True).over(upto))
     )
 
     summary = local.groupBy("page_url", "_chunk").agg(
@@ -94,23 +95,28 @@ def annotate(
     )
     page = Window.partitionBy("page_url").orderBy("_chunk")
     prior = page.rowsBetween(*BEFORE)
+    first_same = F.coalesce(
+        F.col("c_prev").isNotNull() & F.col("first_ok").isNotNull() & _same(F.col("first_ok"), F.col("c_prev")), F.lit(False)
+    ).cast("bigint")
+    mark_at = F.when(F.col("same_mark").isNotNull(), F.col("c_same") + F.col("c_first_same") + F.col("same_mark")).when(
+        F.col("first_ok").isNotNull() & (F.col("c_first_same") == 0), F.col("c_same")
+    )
     carried = (
-        summary.withColumn("c_prev", F.last("last_ok", ignorenulls=True).over(prior))
-        .withColumn("c_obs", F.lag("last_obs").over(page))
-        .withColumn("c_fail", F.coalesce(F.sum("n_fail").over(prior), F.lit(0)))
-        .withColumn("c_fail_mark", F.last(F.col("c_fail") + F.col("fail_mark"), ignorenulls=True).over(prior))
-        .withColumn(
-            "c_first_same",
-            F.coalesce(F.col("c_prev").isNotNull() & F.col("first_ok").isNotNull() & _same(F.col("first_ok"), F.col("c_prev")), F.lit(False)).cast("bigint"),
+        summary.withColumns(
+            {
+                "c_prev": F.last("last_ok", ignorenulls=True).over(prior),
+                "c_obs": F.lag("last_obs").over(page),
+                "c_fail": F.coalesce(F.sum("n_fail").over(prior), F.lit(0)),
+            }
         )
-        .withColumn("c_same", F.coalesce(F.sum(F.col("n_same") + F.col("c_first_same")).over(prior), F.lit(0)))
-        .withColumn(
-            "_mark_at",
-            F.when(F.col("same_mark").isNotNull(), F.col("c_same") + F.col("c_first_same") + F.col("same_mark")).when(
-                F.col("first_ok").isNotNull() & (F.col("c_first_same") == 0), F.col("c_same")
-            ),
+        .withColumns(
+            {
+                "c_first_same": first_same,
+                "c_fail_mark": F.last(F.col("c_fail") + F.col("fail_mark"), ignorenulls=True).over(prior),
+            }
         )
-        .withColumn("c_same_mark", F.last("_mark_at", ignorenulls=True).over(prior))
+        .withColumn("c_same", F.coalesce(F.sum(F.col("n_same") + F.col("c_first_same")).over(prior), F.lit(0)))
+        .withColumn("c_same_mark", F.last(mark_at, ignorenulls=True).over(prior))
         .select("page_url", "_chunk", "c_prev", "c_obs", "c_fail", "c_fail_mark", "c_first_same", "c_same", "c_same_mark")
     )
 
@@ -126,18 +132,22 @@ def annotate(
     fails = F.col("c_fail") + F.col("_fail_sum") - F.coalesce(
         F.col("c_fail") + F.col("_fail_mark"), F.col("c_fail_mark"), F.lit(0)
     )
+    had = F.col("_prev").isNotNull()
     out = (
-        full.withColumn("_prev", prev)
-        .withColumn("_prev_obs", F.coalesce("_local_obs", "c_obs"))
-        .withColumn("fails", fails)
-        .withColumn("streak", same_sum - same_mark)
-        .withColumn("is_first", F.col("ok") & F.col("_prev").isNull())
-        .withColumn("changed", F.col("ok") & (F.col("_prev").isNull() | ~_same(F.col("_now"), F.col("_prev"))))
-        .withColumn("recovered", F.col("ok") & F.col("_prev").isNotNull() & ~F.coalesce("_prev_obs", F.lit(True)))
-        .withColumn("went_down", ~F.col("ok") & F.col("_prev").isNotNull() & F.coalesce("_prev_obs", F.lit(False)))
-        .withColumn("is_dead", ~F.col("ok") & (F.lit(base_s <= 0) | (F.col("fails") >= max_failures)))
-        .withColumn("ever_ok", F.col("ok") | F.col("_prev").isNotNull())
-        .withColumn("prev_title", F.col("_prev.title"))
+        full.withColumns(
+            {"_prev": prev, "_prev_obs": F.coalesce("_local_obs", "c_obs"), "fails": fails, "streak": same_sum - same_mark}
+        )
+        .withColumns(
+            {
+                "is_first": F.col("ok") & ~had,
+                "changed": F.col("ok") & (~had | ~_same(F.col("_now"), F.col("_prev"))),
+                "recovered": F.col("ok") & had & ~F.coalesce("_prev_obs", F.lit(True)),
+                "went_down": ~F.col("ok") & had & F.coalesce("_prev_obs", F.lit(False)),
+                "is_dead": ~F.col("ok") & (F.lit(base_s <= 0) | (F.col("fails") >= max_failures)),
+                "ever_ok": F.col("ok") | had,
+                "prev_title": F.col("_prev.title"),
+            }
+        )
         .withColumn("interval_s", _next_interval(base_s, max_s))
     )
     return out.select(
