@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def uuid5(namespace: str, name: Column) -> Column:
     """Name-based UUID (version 5) of a string column under ``namespace``."""
@@ -49,6 +51,20 @@ _LIMBS = 7  # 7 x 32 bits hold any 35-character base58 number
 _ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 
+def _times58_plus(limbs: Column, digit: Column) -> Column:
+    """``limbs * 58 + digit`` over little-endian 32-bit limbs."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), digit.alias("carry"))
+
+    def step(state: Column, limb: Column) -> Column:
+        wide = limb * F.lit(58) + state["carry"]
+        return F.struct(
+            F.concat(state["out"], F.array(wide.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("out"),
+            F.shiftright(wide, 32).alias("carry"),
+        )
+
+    return F.aggregate(limbs, start, step)["out"]
+
+
 def base58check_valid(address: Column) -> Column:
     """Version 0 or 5 Base58Check address with a correct double SHA-256 checksum.
 
@@ -59,29 +75,20 @@ def base58check_valid(address: Column) -> Column:
         lambda ch: F.instr(F.lit(_ALPHABET), ch).cast("bigint") - 1,
     )
     zero = F.array(*[F.lit(0).cast("bigint") for _ in range(_LIMBS)])
+    leading_ones = F.length(address) - F.length(F.regexp_replace(address, "^1+", ""))
 
-    def times58_plus(limbs: Column, digit: Column) -> Column:
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), digit.alias("carry"))
-
-        def step(state: Column, limb: Column) -> Column:
-            wide = limb * F.lit(58) + state["carry"]
-            return F.struct(
-                F.concat(state["out"], F.array(wide.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("out"),
-                F.shiftright(wide, 32).alias("carry"),
-            )
+    def check(number: Column) -> Column:
+        number_bytes = F.ceil(F.length(F.regexp_replace(number, "^0+", "")) / 2)
+        payload = number.substr(_LIMBS * 8 - 49, 42)
+        checksum = F.lower(number.substr(_LIMBS * 8 - 7, 8))
+        expected = F.sha2(F.unhex(F.sha2(F.unhex(payload), 256)), 256).substr(1, 8)
+        return (leading_ones + number_bytes == 25) & payload.substr(1, 2).isin("00", "05") & (checksum == expected)
 
-        return F.aggregate(limbs, start, step)["out"]
+    def as_hex(found: Column) -> Column:
+        limbs = F.aggregate(found, zero, _times58_plus)
+        return F.array_join(F.transform(F.reverse(limbs), lambda limb: F.lpad(F.hex(limb), 8, "0")), "")
 
-    limbs = F.aggregate(digits, zero, times58_plus)
-    number = F.array_join(F.transform(F.reverse(limbs), lambda limb: F.lpad(F.hex(limb), 8, "0")), "")
-    significant = F.regexp_replace(number, "^0+", "")
-    number_bytes = F.ceil(F.length(significant) / 2)
-    leading_ones = F.length(address) - F.length(F.regexp_replace(address, "^1+", ""))
-    payload = number.substr(_LIMBS * 8 - 49, 42)
-    checksum = F.lower(number.substr(_LIMBS * 8 - 7, 8))
-    expected = F.sha2(F.unhex(F.sha2(F.unhex(payload), 256)), 256).substr(1, 8)
-    shape = F.length(address).between(26, 35) & ~F.exists(digits, lambda d: d < 0)
+    valid_digits = bind(digits, lambda d: F.when(~F.exists(d, lambda v: v < 0), as_hex(d)))
     return F.when(
-        shape,
-        (leading_ones + number_bytes == 25) & payload.substr(1, 2).isin("00", "05") & (checksum == expected),
+        F.length(address).between(26, 35), F.coalesce(bind(valid_digits, check), F.lit(False))
     ).otherwise(F.lit(False))

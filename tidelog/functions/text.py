@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with ``value`` evaluated once, for expressions that use a costly input many times."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def squash(column: Column) -> Column:
     """Collapse Unicode whitespace runs to one blank and strip the ends."""
     return F.regexp_replace(F.regexp_replace(column, r"(?U)\s+", " "), r"^ | $", "")

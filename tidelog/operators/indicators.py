@@ -54,9 +54,21 @@ HANDLE_STOPWORDS = (
 ANY_CHAR = "[\\s\\S\U0001f600]"
 
 
+PAD = "\x00"
+
+
 def before_window(chars: int) -> str:
-    """Look-behind capturing the ``chars`` characters before a match (fewer at the start of the text)."""
-    return f"(?<=(^{ANY_CHAR}{{0,{chars - 1}}}|{ANY_CHAR}{{{chars}}}))"
+    """Look-behind capturing the ``chars`` characters before a match in text made by ``padded``."""
+    return f"(?<=({ANY_CHAR}{{{chars}}}))"
+
+
+def padded(text: Column, chars: int) -> Column:
+    """Text with ``chars`` filler characters in front, so a window of fixed width exists before every match."""
+    return F.concat(F.lit(PAD * chars), text)
+
+
+def unpadded(window: Column) -> Column:
+    return F.ltrim(window, F.lit(PAD))
 
 
 # The look-ahead runs first, so the window is only measured at real candidates.
@@ -85,8 +97,8 @@ def key_fingerprints(text: Column) -> Column:
     # Pairs of (preceding window, hex); both arrays come from the same pattern, so they line up.
     near = F.filter(
         F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(_BARE_KEY), F.lit(1)).alias("before"),
-            F.regexp_extract_all(text, F.lit(_BARE_KEY), F.lit(2)).alias("hex"),
+            F.regexp_extract_all(padded(text, KEY_WINDOW), F.lit(_BARE_KEY), F.lit(1)).alias("before"),
+            F.regexp_extract_all(padded(text, KEY_WINDOW), F.lit(_BARE_KEY), F.lit(2)).alias("hex"),
         ),
         lambda m: m["before"].rlike(KEY_WORDS),
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squash
-from .indicators import ANY_CHAR, before_window
+from ..functions.text import bind, squash
+from .indicators import ANY_CHAR, PAD, before_window, padded, unpadded
 
 MAX_CREDENTIALS = 500
 MAX_LISTINGS = 200
@@ -51,9 +51,11 @@ def _record(currency: str | None):
     """Turn one (before, price, after) match into a listing struct; ``currency`` is None when the match names it."""
 
     def build(m: Column) -> Column:
-        cut = F.length(m["pre"]) > PRODUCT_CHARS
-        window = F.when(cut, m["pre"].substr(2, PRODUCT_CHARS)).otherwise(m["pre"])
-        mid_word = cut & ~m["pre"].substr(1, 1).rlike(r"(?U)^\s") & window.contains(" ")
+        return bind(unpadded(m["pre"].substr(2, PRODUCT_CHARS)), lambda window: fields(m, window))
+
+    def fields(m: Column, window: Column) -> Column:
+        edge = m["pre"].substr(1, 1)
+        mid_word = (edge != PAD) & ~edge.rlike(r"(?U)^\s") & window.contains(" ")
         trimmed = F.when(mid_word, F.substring(window, F.instr(window, " ") + 1, F.length(window))).otherwise(window)
         named = F.upper(F.regexp_extract(m["hit"], r"([A-Za-z]+)\z", 1))
         return F.struct(
@@ -75,7 +77,7 @@ def _priced(text: Column) -> Column:
         # The look-ahead runs first, so the window is only measured where a price starts.
         pattern = f"(?U)(?={price}){before_window(PRODUCT_CHARS + 1)}({price}){after}"
         hits = F.arrays_zip(
-            *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "pre"), (2, "hit"), (3, "post"))]
+            *[F.regexp_extract_all(padded(text, PRODUCT_CHARS + 1), F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "pre"), (2, "hit"), (3, "post"))]
         )
         kept = F.filter(hits, lambda m: ~F.right(m["pre"], F.lit(RANGE_CHARS)).rlike(RANGE_BEFORE))
         parts.append(F.when(text.rlike(hint), F.transform(kept, _record(currency))).otherwise(F.expr(
@@ -84,15 +86,20 @@ def _priced(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def _record_key(r: Column) -> Column:
+    return F.concat_ws("\x00", F.round(r["price"], 8).cast("string"), r["currency"], r["product"])
+
+
 def _first_of_each(records: Column, cap: int) -> Column:
     """Keep the first record of every (price, currency, product), at most ``cap``, in order."""
-    key = lambda r: F.concat_ws("\x00", F.round(r["price"], 8).cast("string"), r["currency"], r["product"])
-    keys = F.transform(records, key)
-    firsts = F.filter(
-        F.transform(records, lambda r, i: F.struct(r.alias("r"), (F.array_position(keys, key(r)) == i + 1).alias("keep"))),
-        lambda x: x["keep"],
-    )
-    return F.slice(F.transform(firsts, lambda x: x["r"]), 1, cap)
+
+    def firsts(rs: Column) -> Column:
+        def pick(keys: Column) -> Column:
+            return F.filter(rs, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+        return bind(F.transform(rs, _record_key), pick)
+
+    return F.slice(bind(records, firsts), 1, cap)
 
 
 def extract_listings(
