@@ -1,37 +1,31 @@
-"""Joins on keys that may hold a large share of all rows."""
+"""Lookups on keys that may hold a large share of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more than one in HOT_SHARE rows is hot, so at most HOT_SHARE keys can be hot.
+# A key with more than 1/HOT_SHARE of the rows is hot, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
+# Below this many rows a single task can hold any key, and looking for hot keys costs more than it saves.
+SKEW_FLOOR = 5_000_000
 
 
 def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame:
     """Keys of ``df`` with more than ``total / HOT_SHARE`` rows: at most ``HOT_SHARE`` rows by arithmetic."""
     threshold = max(total // HOT_SHARE, 1)
-    return df.groupBy(key).count().filter(F.col("count") > threshold).select(F.col(key).alias("_hot"))
+    return df.groupBy(key).count().filter(F.col("count") > threshold).select(key)
 
 
-def salted_lookup(
-    big: DataFrame, key: str, spread: str, lookup: DataFrame, total: int, salts: int = 64, how: str = "inner"
-) -> DataFrame:
-    """Join ``big`` to ``lookup`` (one row per key) with hot keys of ``big`` spread over ``salts`` tasks.
+def join_lookup(big: DataFrame, key: str, lookup: DataFrame, total: int, floor: int = SKEW_FLOOR) -> DataFrame:
+    """Inner join of ``big`` to ``lookup`` (one row per key) that never gathers a hot key in one task.
 
-    ``spread`` names a column of ``big`` that varies within a hot key.  The hot list is broadcast: its size is bounded
-    by ``HOT_SHARE`` whatever the data.
+    Rows of hot keys meet a broadcast of the at most ``HOT_SHARE`` matching lookup rows and are not shuffled; the other
+    rows take an ordinary shuffle join.
     """
+    if total < floor:
+        return big.join(lookup, key)
     hot = F.broadcast(hot_keys(big, key, total))
-    left = (
-        big.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts))))
-        .drop("_hot")
-    )
-    marked = lookup.join(hot, F.col(key) == F.col("_hot"), "left")
-    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    )
-    right = marked.withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    hot_part = big.join(F.broadcast(lookup.join(hot, key, "left_semi")), key)
+    cold_part = big.join(hot, key, "left_anti").join(lookup, key)
+    return hot_part.unionByName(cold_part)

@@ -3,29 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables written between the rounds of an iterative job, so that each round starts from files, not from lineage.
+
+    Files survive the loss of any executor.  ``keep`` generations of a name stay; older ones are removed.
+    """
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        self.spark, self.keep = spark, keep
+        self.root = f"{scratch_root(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+        self.written: dict[str, list[str]] = {}
+        self.count = 0
+
+    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = f"{self.root}/{name}-{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        generations = self.written.setdefault(name, [])
+        generations.append(path)
+        while len(generations) > self.keep:
+            self._remove(generations.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_table(df: DataFrame, max_rows: int) -> DataFrame:
