@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def hostname(url: Column) -> Column:
     """Lower-cased host without user info or port; empty string when there is none."""
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    bare = F.regexp_replace(authority, r"^.*@", "")
-    bracketed = F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)
-    plain = F.regexp_replace(bare, r":.*$", "")
-    return F.lower(F.when(bare.startswith("["), bracketed).otherwise(plain))
+    # One pattern: scheme, optional user info, then either a bracketed literal or everything up to port or path.
+    return F.lower(
+        F.regexp_replace(
+            F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1), r"^\[|\]$", ""
+        )
+    )
 
 
 def is_onion(url: Column) -> Column:
@@ -111,30 +114,36 @@ def _v6_special(name: Column) -> Column:
 
     Global unicast starts with a first group of 2000-3fff; within it only documentation and protocol blocks are special.
     """
-    head = F.regexp_extract(name, r"^([0-9a-f]{0,4})", 1)
-    first = F.coalesce(F.conv(F.when(head == "", "0").otherwise(head), 16, 10).cast("bigint"), F.lit(0))
-    second = F.regexp_extract(name, r"^[0-9a-f]{0,4}:([0-9a-f]{0,4})", 1)
-    second_n = F.coalesce(F.conv(F.when(second == "", "0").otherwise(second), 16, 10).cast("bigint"), F.lit(0))
-    global_range = first.between(0x2000, 0x3FFF)
-    protocol_block = (first == 0x2001) & (second_n < 0x200)
-    documentation = (first == 0x2001) & (second_n == 0xDB8)
-    documentation_2 = (first == 0x3FFF) & (second_n < 0x1000)
-    six_to_four = first == 0x2002
-    return ~global_range | protocol_block | documentation | documentation_2 | six_to_four
+
+    def group(pattern: str) -> Column:
+        return F.coalesce(F.conv(F.concat(F.lit("0"), F.regexp_extract(name, pattern, 1)), 16, 10).cast("bigint"), F.lit(0))
+
+    def special(g: Column) -> Column:
+        first, second = g["first"], g["second"]
+        return (
+            ~first.between(0x2000, 0x3FFF)
+            | ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8)))
+            | ((first == 0x3FFF) & (second < 0x1000))
+            | (first == 0x2002)
+        )
+
+    groups = F.struct(group(r"^([0-9a-f]{0,4})").alias("first"), group(r"^[0-9a-f]{0,4}:([0-9a-f]{0,4})").alias("second"))
+    return bind(groups, special)
 
 
 def is_publishable(host: Column) -> Column:
     """Whether a host may appear in a pack sent to someone else."""
-    name = bare_host(host)
+    return F.coalesce(bind(bare_host(host), _name_publishable), F.lit(False))
+
+
+def _name_publishable(name: Column) -> Column:
     local = name.isin(*LOCAL_NAMES)
     for suffix in LOCAL_SUFFIXES:
         local = local | name.endswith(suffix)
     v6 = name.contains(":") & name.rlike(r"^[0-9a-f:.]+$")
-    return F.coalesce(
-        F.when(name == "", F.lit(False))
-        .when(local, F.lit(False))
-        .when(_is_v4(name), ~_v4_special(_v4_number(name)))
+    return (
+        F.when((name == "") | local, F.lit(False))
+        .when(_is_v4(name), ~bind(_v4_number(name), _v4_special))
         .when(v6, ~_v6_special(name))
-        .otherwise(F.lit(True)),
-        F.lit(False),
+        .otherwise(F.lit(True))
     )

@@ -10,6 +10,7 @@ PAGE_UNREACHABLE = "page_unreachable"
 PAGE_RECOVERED = "page_recovered"
 PAGE_DEAD = "page_dead"
 INDICATOR_NEW = "indicator_new"
+ALL_KINDS = (PAGE_NEW, PAGE_CHANGED, PAGE_UNREACHABLE, PAGE_RECOVERED, PAGE_DEAD, INDICATOR_NEW)
 NOTABLE_KINDS = (PAGE_UNREACHABLE, PAGE_RECOVERED, PAGE_DEAD, INDICATOR_NEW)
 OUTAGE_KINDS = (PAGE_UNREACHABLE, PAGE_DEAD)
 
