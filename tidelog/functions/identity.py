@@ -48,15 +48,16 @@ def token_bucket(token: Column, dim: int) -> Column:
 
 
 _LIMBS = 7  # 7 x 32 bits hold any 35-character base58 number
+_GROUP = 5  # digits folded at once: 58^5 x 2^32 stays below 2^63
 _ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 
-def _times58_plus(limbs: Column, digit: Column) -> Column:
-    """``limbs * 58 + digit`` over little-endian 32-bit limbs."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), digit.alias("carry"))
+def _shift_plus(limbs: Column, group: Column) -> Column:
+    """``limbs * 58^5 + group`` over little-endian 32-bit limbs."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), group.alias("carry"))
 
     def step(state: Column, limb: Column) -> Column:
-        wide = limb * F.lit(58) + state["carry"]
+        wide = limb * F.lit(58**_GROUP) + state["carry"]
         return F.struct(
             F.concat(state["out"], F.array(wide.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("out"),
             F.shiftright(wide, 32).alias("carry"),
@@ -68,10 +69,10 @@ def _times58_plus(limbs: Column, digit: Column) -> Column:
 def base58check_valid(address: Column) -> Column:
     """Version 0 or 5 Base58Check address with a correct double SHA-256 checksum.
 
-    The number is folded digit by digit into 32-bit limbs, so the whole test stays in the JVM.
+    The number is folded five digits at a time into 32-bit limbs, so the whole test stays in the JVM.
     """
     digits = F.transform(
-        F.filter(F.split(address, ""), lambda ch: ch != ""),
+        F.filter(F.split(F.lpad(address, _LIMBS * _GROUP, "1"), ""), lambda ch: ch != ""),
         lambda ch: F.instr(F.lit(_ALPHABET), ch).cast("bigint") - 1,
     )
     zero = F.array(*[F.lit(0).cast("bigint") for _ in range(_LIMBS)])
@@ -85,7 +86,11 @@ def base58check_valid(address: Column) -> Column:
         return (leading_ones + number_bytes == 25) & payload.substr(1, 2).isin("00", "05") & (checksum == expected)
 
     def as_hex(found: Column) -> Column:
-        limbs = F.aggregate(found, zero, _times58_plus)
+        groups = F.transform(
+            F.sequence(F.lit(0), F.lit(_LIMBS - 1)),
+            lambda g: F.aggregate(F.slice(found, g * _GROUP + 1, _GROUP), F.lit(0).cast("bigint"), lambda acc, d: acc * 58 + d),
+        )
+        limbs = F.aggregate(groups, zero, _shift_plus)
         return F.array_join(F.transform(F.reverse(limbs), lambda limb: F.lpad(F.hex(limb), 8, "0")), "")
 
     valid_digits = bind(digits, lambda d: F.when(~F.exists(d, lambda v: v < 0), as_hex(d)))

@@ -8,7 +8,7 @@ from ..functions import hosts
 from ..functions.identity import base58check_valid
 from ..operators import gate, indicators, parse, records
 from . import Query
-from .inputs import table
+from .inputs import table, texts
 
 # Public example addresses: the first pair carries a correct checksum, the second pair has one digit changed.
 GOOD_ADDRESSES = ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy")
@@ -31,7 +31,7 @@ def planted(spark, sf):
         F.when(n % 2 == 0, F.concat(F.lit("PGP key 0x"), own_key, F.lit(" "))).otherwise(F.lit("")),
         F.when(n % 3 == 0, F.lit("-----BEGIN PGP PUBLIC KEY BLOCK----- cut ")).otherwise(F.lit("")),
     )
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.concat(F.lit("http://"), "source", F.lit(".onion/d"), s).alias("page_url"), F.concat("text", suffix).alias("text"), "doc_id", "lang"
     )
 
@@ -129,7 +129,7 @@ def _rules(spark):
 
 
 def _gate_input(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.concat(F.lit("http://"), "source", F.lit(".onion/d"), F.col("doc_id").cast("string")).alias("url"),
         "text",
         F.when(F.col("doc_id") % 10 == 3, "image/png").otherwise("text/html").alias("content_type"),
@@ -159,7 +159,7 @@ SELECT url, CASE WHEN bad OR media THEN false ELSE len(hits) = 0 END AS store_co
 
 
 def html_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", "html")
+    return texts(spark, sf, "pages").select("page_id", "url", "html")
 
 
 def _parsed(spark, sf):
@@ -174,7 +174,7 @@ def _links(spark, sf):
 
 
 _BODY_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?</head>', ''), '(?s)<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g')"
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;', '&')"
+_UNESCAPE = "regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g')"
 PARSED_SQL = rf"""parsed AS (
   SELECT page_id, url, trim({_UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title,
     array_to_string(list_filter(list_transform(string_split({_BODY_TEXT}, chr(1)), lambda x: regexp_replace({_UNESCAPE.format('x')}, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ') AS text,

@@ -74,7 +74,7 @@ KNOWN_SQL = """known AS (SELECT url, any_value(hostname) AS hostname, bool_or(pi
 
 def _admitted(spark, sf):
     children = fr.discovered(scored(spark, sf), max_depth=4, threshold=0.06, allow_clearnet=True)
-    return fr.admit(children, _known(spark, sf), host_cap=4, pinned_cap=7).select(
+    return fr.admit(children, _known(spark, sf), host_cap=25, pinned_cap=100).select(
         "url", "hostname", "parent_url", F.col("depth").cast("bigint").alias("depth"), F.round("score", 6).alias("score"), "targeted"
     )
 
@@ -160,7 +160,7 @@ QUERIES = {
     "admitted_links": Query(
         _admitted,
         f"""WITH {_ADMIT_SQL} SELECT url, hostname, parent_url, d AS depth, round(score, 6) AS score, targeted FROM rk LEFT JOIN hc USING (hostname)
-        WHERE r <= CASE WHEN coalesce(p, false) THEN 7 ELSE 4 END - coalesce(n, 0)""",
+        WHERE r <= CASE WHEN coalesce(p, false) THEN 100 ELSE 25 END - coalesce(n, 0)""",
     ),
     "next_fetch_batch": Query(
         _batch,

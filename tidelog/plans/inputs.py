@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
+from ..session import spread
 
 BASE_S, MAX_S, MAX_FAILURES = 3600, 28_800, 3
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows need heavy per-row work, spread over all cores when it is stored in few splits."""
+    return spread(table(spark, sf_dir, name))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetch observation per event: url from the user, body from the event type, failure for ``error``."""
     e = table(spark, sf_dir, "events")

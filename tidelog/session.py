@@ -49,6 +49,15 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work all cores when the input is a handful of files.
+
+    Only inputs with fewer splits than the cluster has cores are redistributed, so a large table is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_table(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a rule-like table for broadcast once its row count is shown to be within ``max_rows``.
 
