@@ -14,7 +14,7 @@ class Query(NamedTuple):
     sql: str | None
 
 
-_MODULES = ("history", "state", "extract", "graph", "frontier", "lookup", "alerts", "operations", "exports")
+_MODULES = ("history", "state", "extract", "graph", "frontier", "lookup", "alerts", "operations", "exports", "records")
 
 
 def registry() -> dict[str, Query]:
