@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
 from ..session import Scratch
-from .shingles import mix, ragged, shingle_sets
+from .shingles import fixed_lists, mix, shingle_blocks, shingle_sets
 
 SEEDS = 8
 # A token in more windows than this is frequent: it goes to the end of every order.
 FREQUENT = 32
 # Most frequent tokens that are broadcast (8 bytes each); the threshold rises until they fit.
 MAX_FREQUENT = 1 << 20
-_PAIR = "a long, na int, b long, nb int"
+# Bits of the bitmap that bounds the overlap of two sets before they are compared.
+BITMAP = 4096
+# 2**ID_BITS bits (2 MB) tell which texts may be wanted again; with more ids the bitmap only lets more texts through.
+ID_BITS = 24
 
 
 def prefix_size(n, percent: int):
@@ -40,30 +43,46 @@ def _fold(tokens: np.ndarray, bits: int) -> np.ndarray:
     return tokens >> np.uint64(64 - bits)
 
 
-def _node(tokens: np.ndarray) -> int:
-    """Identity of a set of tokens: two independent folds of all its hashes."""
-    if not len(tokens):
-        return 0
-    a = mix(tokens).sum(dtype=np.uint64, keepdims=True)
-    b = np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))
-    return int(mix(a * np.uint64(3) + b).view(np.int64)[0])
+def _nodes(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Identity of each row's set: two independent folds of all its hashes; 0 for an empty set."""
+    nodes = np.zeros(len(offsets) - 1, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        a = np.add.reduceat(mix(tokens), offsets[full])
+        b = np.bitwise_xor.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), offsets[full])
+        nodes[full] = mix(a * np.uint64(3) + b)
+    return nodes.view(np.int64)
 
 
 def _salted(tokens: np.ndarray, salt: int) -> np.ndarray:
     return mix(tokens ^ mix(np.array([salt], dtype=np.uint64)))
 
 
-def _profiles(words: int):
+def _bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One bit for each of ``BITMAP`` parts of the hash space in which a row has a token."""
+    marks = np.zeros((len(offsets) - 1, BITMAP), dtype=bool)
+    marks[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), (tokens >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def _profiles(words: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, seeds = [], [], []
-            for tokens in shingle_sets(batch.column(1), words):
-                sizes.append(len(tokens))
-                nodes.append(_node(tokens))
-                seeds.append(np.array([_salted(tokens, s).min() for s in range(SEEDS)] if len(tokens) else [], dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), ragged(seeds, pa.int64())], ["doc_id", "n", "node", "seeds"]
-            )
+            at = 0
+            for tokens, offsets in shingle_blocks(batch.column(carried), words):
+                rows = len(offsets) - 1
+                full = np.flatnonzero(np.diff(offsets))
+                seeds = np.zeros((rows, SEEDS), dtype=np.uint64)
+                if len(full):
+                    for s in range(SEEDS):
+                        seeds[full, s] = np.minimum.reduceat(_salted(tokens, s), offsets[full])
+                own = batch.slice(at, rows).columns[:carried]
+                at += rows
+                names = batch.schema.names[:carried]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(np.diff(offsets)), pa.array(_nodes(tokens, offsets)), fixed_lists(seeds), fixed_lists(_bitmaps(tokens, offsets))],
+                    [*names, "n", "node", "seeds", "bitmap"],
+                )
 
     return run
 
@@ -94,19 +113,20 @@ def _prefixes(words: int, percent: int, bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            for tokens in shingle_sets(batch.column(0), words):
-                if len(tokens):
-                    hot = _in(tokens, frequent, bits)
-                    size = prefix_size(len(tokens), percent)
-                    cold = tokens[~hot][:size]
-                    last = tokens[hot][: size - len(cold)]
-                    out.append((np.concatenate((cold, last)), _node(tokens), len(tokens), len(cold)))
-                if len(out) == 200:
+            for tokens, offsets in shingle_blocks(batch.column(0), words):
+                hot = _in(tokens, frequent, bits)
+                out: list[tuple] = []
+                for node, a, b in zip(_nodes(tokens, offsets).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    if b > a:
+                        size = prefix_size(b - a, percent)
+                        own, late = tokens[a:b], hot[a:b]
+                        if late[:size].any():
+                            cold = own[~late][:size]
+                            out.append((np.concatenate((cold, own[late][: size - len(cold)])), node, b - a, len(cold)))
+                        else:
+                            out.append((own[:size], node, b - a, size))
+                if out:
                     yield _posting_rows(out)
-                    out = []
-            if out:
-                yield _posting_rows(out)
 
     return run
 
@@ -118,38 +138,41 @@ def _posting_rows(out: list[tuple]) -> pa.RecordBatch:
         [
             pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
             pa.array(np.repeat(np.array([x[1] for x in out], dtype=np.int64), sizes)),
-            pa.array(np.repeat(np.array([x[2] for x in out], dtype=np.int32), sizes)),
+            pa.array(np.repeat(np.array([x[2] for x in out], dtype=np.int64), sizes)),
             pa.array(hot),
         ],
         ["token", "node", "n", "hot"],
     )
 
 
-def _sets(words: int):
+def _sets(words: int, shared):
+    """``(node, tokens)`` of the texts whose id may be wanted (a fixed-size bitmap of id hashes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_map = shared.value
         for batch in batches:
-            nodes, blobs = [], []
-            for tokens in shingle_sets(batch.column(0), words):
-                nodes.append(_node(tokens))
-                blobs.append(tokens.tobytes())
-                if len(nodes) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
-                    nodes, blobs = [], []
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
+            slot = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = (words_map[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            texts = batch.column(1).filter(pa.array(wanted))
+            for tokens, offsets in shingle_blocks(texts, words):
+                blobs = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(tokens, offsets)), pa.array(blobs, pa.binary())], ["node", "tokens"])
 
     return run
 
 
-def _shares_prefix(a: np.ndarray, b: np.ndarray, salt: int, percent: int, bits: int, frequent: np.ndarray) -> bool:
-    heads = []
-    for tokens in (a, b):
-        rank = _salted(tokens, salt)
-        hot = _in(tokens, frequent, bits)
-        size = prefix_size(len(tokens), percent)
-        order = np.lexsort((rank, hot))[:size]
-        heads.append(tokens[order])
-    return bool(np.isin(heads[0], heads[1]).any())
+def _heads(tokens: np.ndarray, salt: int, percent: int, bits: int, frequent: np.ndarray) -> np.ndarray:
+    """Prefix of a set under the order (frequent last, salted hash)."""
+    size = prefix_size(len(tokens), percent)
+    rank = (_salted(tokens, salt) >> np.uint64(1)) | (_in(tokens, frequent, bits).astype(np.uint64) << np.uint64(63))
+    return np.sort(tokens[np.argpartition(rank, size - 1)[:size]])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
 def _verify(percent: int, bits: int, shared, orders: tuple[int, ...]):
@@ -161,33 +184,59 @@ def _verify(percent: int, bits: int, shared, orders: tuple[int, ...]):
             kept = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
-                ok = all(_shares_prefix(a, b, salt, percent, bits, frequent) for salt in orders)
+                ok = all(_common(_heads(a, salt, percent, bits, frequent), _heads(b, salt, percent, bits, frequent)) for salt in orders)
                 if ok:
-                    both = len(a) + len(b)
-                    common = both - len(np.union1d(a, b))
-                    ok = 100 * common >= percent * (both - common)
+                    common = _common(a, b)
+                    ok = 100 * common >= percent * (len(a) + len(b) - common)
                 kept.append(ok)
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
+def _may_link(percent: int):
+    """No pair passes whose bitmaps already show too many tokens of one set that the other lacks."""
+
+    def lacking(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, k: acc + k)
+
+    most = F.least(F.col("na") - lacking("bitmap_a", "bitmap_b"), F.col("nb") - lacking("bitmap_b", "bitmap_a"))
+    return most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
+def _id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``2**ID_BITS`` id hashes, the same size for any number of ids."""
+    slot = _slot(F.col("id"))
+    words = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << ID_BITS}L) & 63 as int))")).alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(1 << (ID_BITS - 6), dtype=np.uint64)
+    out[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _slot(column):
+    return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, bits: int, shared, orders: tuple[int, ...], scratch: Scratch, name: str) -> DataFrame:
     """Verified edges ``(a, b)`` of candidate ``pairs``; only texts of nodes in a pair are hashed again."""
-    pairs = scratch.cut(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("min_id").alias("rep"))
-    texts = docs.join(wanted.select("rep").distinct(), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "node long, tokens binary").join(wanted.select("node"), "node", "left_semi")
-    sets = scratch.cut(sets.groupBy("node").agg(F.any_value("tokens").alias("tokens")), f"{name}-sets")
+    spark = docs.sparkSession
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bitmap_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bitmap_b"))
+    pairs = scratch.cut(pairs.join(left, "a").join(right, "b").filter(_may_link(percent)).select("a", "b"), f"{name}-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.cut(nodes.join(ends, "node", "left_semi").select("node", F.col("min_id").alias("id")), f"{name}-wanted")
+    ids = spark.sparkContext.broadcast(_id_bitmap(wanted))
+    sets = docs.select(_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(_sets(words, ids), "node long, tokens binary")
+    sets = scratch.cut(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("tokens").alias("tokens")), f"{name}-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return full.mapInArrow(_verify(percent, bits, shared, orders), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per input row.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` and the ``carry`` columns, one row per input row.
 
     Documents link when ``100 * |A and B| >= percent * |A or B|`` over their distinct ``words``-word shingles;
     ``component_id`` is the smallest id reachable by links.  A null or word-free text has ``n_shingles`` 0, links with nothing
@@ -196,9 +245,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = scratch.cut(docs.mapInArrow(_profiles(words), "doc_id long, n long, node long, seeds array<long>"), "profile")
-    nodes = scratch.cut(profile.filter("n > 0").groupBy("node").agg(F.max("n").cast("int").alias("n"), F.min("doc_id").alias("min_id"), F.any_value("seeds").alias("seeds")), "nodes")
+    carried = {"doc_id": "long"} | {name: kind for name, kind in docs.select(*carry).dtypes}
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in carried.items())
+    profile = docs.mapInArrow(_profiles(words, len(carried)), f"{schema}, n long, node long, seeds array<long>, bitmap array<long>")
+    profile = scratch.cut(profile, "profile")
+    nodes = profile.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("min_id"), F.any_value("seeds").alias("seeds"), F.any_value("bitmap").alias("bitmap"))
+    nodes = scratch.cut(nodes, "nodes")
+    profile = profile.select(*carried, "n", "node")
 
     slots = nodes.select("node", "n", F.posexplode("seeds").alias("slot", "value"))
     pivots = slots.groupBy("slot", "value").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -227,7 +281,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = windows.filter(F.col("count") > limit).select("token").toArrow().column(0).to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(np.sort(chosen))
 
-    postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared), "token long, node long, n int, hot boolean")
+    postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared), "token long, node long, n long, hot boolean")
     candidates = _candidates(postings, roots, percent, scratch)
     links = _linked(candidates, docs, nodes, words, percent, bits, shared, (101, 102), scratch, "order")
     far = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -239,8 +293,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = scratch.cut(first.select("node", "min_id", F.coalesce("top", "near").alias("top")), "tops")
     names = first.groupBy("top").agg(F.min("min_id").alias("component_id"))
     named = first.join(names, "top").select("node", "component_id")
-    linked = profile.filter("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = profile.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carry)
+    alone = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carry)
     return linked.unionByName(alone)
 
 

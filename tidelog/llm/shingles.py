@@ -56,8 +56,8 @@ def blocks(bounds: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         first = last
 
 
-def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
-    """For every row its distinct shingle hashes in ascending order (uint64).
+def shingle_blocks(column: pa.Array, words: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every block of rows the distinct shingle hashes of each row in ascending order (uint64), and the rows' offsets.
 
     A text with fewer than ``words`` words has its whole sequence as one shingle; one without words has none.
     """
@@ -77,26 +77,34 @@ def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
         prefix = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], dtype=np.uint64, out=prefix[1:])
         hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        spans = np.searchsorted(starts, cuts)
+        spans = np.searchsorted(starts, cuts).tolist()
         full = max(len(hashes) - words + 1, 0)
         joined = np.zeros(full, dtype=np.uint64)
         for j in range(words):
             joined += hashes[j : j + full] * factors[j]
         joined = mix(joined)
-        for row in range(last - first):
-            a, b = int(spans[row]), int(spans[row + 1])
+        sets = []
+        for a, b in zip(spans[:-1], spans[1:], strict=True):
             if b - a >= words:
-                yield np.unique(joined[a : b - words + 1])
+                row = np.sort(joined[a : b - words + 1])
+                sets.append(row[np.concatenate(([True], row[1:] != row[:-1]))])
             elif b > a:
                 short = (hashes[a:b] * factors[: b - a]).sum(dtype=np.uint64, keepdims=True)
-                yield mix(short ^ np.uint64((b - a) << 56))
+                sets.append(mix(short ^ np.uint64((b - a) << 56)))
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                sets.append(joined[:0])
+        sizes = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
+        yield np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
+    """The sets of ``shingle_blocks`` row by row."""
+    for tokens, offsets in shingle_blocks(column, words):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield tokens[a:b]
 
 
-def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """A list column from one array per row."""
-    sizes = np.fromiter((len(v) for v in values), dtype=np.int64, count=len(values))
-    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, type=kind))
+def fixed_lists(matrix: np.ndarray) -> pa.Array:
+    """A list<long> column from a matrix with one row per row."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1).view(np.int64)))
