@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained_items
 from .ngram_join import jaccard_components
+from .quality_rules import quality_verdicts
+from .sharding import shard_by_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,55 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=16)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op3_sharding": op3_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_decontamination": op10_decontamination,
+}
+
+
+
+def _shingle_ctes(name: str, table: str, key: str) -> str:
+    """CTEs ``<name>_words`` and ``<name>`` (key, shingle): distinct 5-word shingles, or the whole sequence of fewer words."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""{name}_words AS (
+  SELECT {key}, [w FOR w IN regexp_split_to_array({lower}, '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM {table} WHERE text IS NOT NULL
+), {name} AS (
+  SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]
+                                     WHEN len(ws) > 0 THEN ['#' || len(ws) || ' ' || array_to_string(ws, ' ')] ELSE [] END) AS shingle
+  FROM {name}_words
+)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+WITH RECURSIVE {_shingle_ctes("s", "documents", "doc_id")},
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots ON roots.x = d.doc_id
+""",
+    "op10_decontamination": f"""
+WITH {_shingle_ctes("s", "documents", "doc_id")}, {_shingle_ctes("t", "benchmark", "item_id")},
+sizes AS (SELECT item_id, count(*) AS n FROM t GROUP BY item_id)
+SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared
+FROM s JOIN t USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+""",
+}
