@@ -5,7 +5,7 @@ global order.  Order A sorts frequent tokens last and the rest by hash; its pref
 hashes, again with frequent tokens last; a pair of order A must also share a prefix token under both before its sets are
 compared in full.
 
-Large groups of near copies never become pairs.  Equal sets are one node.  Star edges from the smallest node of each MinHash
+Large groups of near copies never become pairs.  Equal sets are one node.  Star edges from the most central node of each MinHash
 bucket, compared in full, put most near copies into one component at linear cost; the exact join then looks only at pairs of
 nodes from different components, which is all that connectivity needs.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clusters import connected_components
@@ -108,7 +108,7 @@ def _in(tokens: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _prefixes(words: int, percent: int, bits: int, shared):
-    """``(token, node, n, frequent)`` of the prefix of each set under order A."""
+    """``(token, node, n, place, frequent)`` of the prefix of each set under order A."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -133,15 +133,17 @@ def _prefixes(words: int, percent: int, bits: int, shared):
 
 def _posting_rows(out: list[tuple]) -> pa.RecordBatch:
     sizes = [len(x[0]) for x in out]
-    hot = np.concatenate([np.arange(len(x[0])) >= x[3] for x in out])
+    at = np.concatenate([np.arange(len(x[0])) for x in out])
+    hot = at >= np.repeat([x[3] for x in out], sizes)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
             pa.array(np.repeat(np.array([x[1] for x in out], dtype=np.int64), sizes)),
             pa.array(np.repeat(np.array([x[2] for x in out], dtype=np.int64), sizes)),
+            pa.array(at),
             pa.array(hot),
         ],
-        ["token", "node", "n", "hot"],
+        ["token", "node", "n", "at", "hot"],
     )
 
 
@@ -255,7 +257,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = profile.select(*carried, "n", "node")
 
     slots = nodes.select("node", "n", F.posexplode("seeds").alias("slot", "value"))
-    pivots = slots.groupBy("slot", "value").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # The pivot of a bucket is its node with the most company over all slots: of a family of copies, the one they come from.
+    shared = slots.join(slots.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), ["slot", "value"])
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    pivots = shared.join(company, "node").groupBy("slot", "value").agg(F.max(F.struct("company", "node", "n")).alias("p"))
     fits = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
     stars = (
         slots.join(pivots.select("slot", "value", F.col("p.node").alias("a"), F.col("p.n").alias("na")), ["slot", "value"])
@@ -281,7 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = windows.filter(F.col("count") > limit).select("token").toArrow().column(0).to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(np.sort(chosen))
 
-    postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared), "token long, node long, n long, hot boolean")
+    postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared), "token long, node long, n long, at long, hot boolean")
     candidates = _candidates(postings, roots, percent, scratch)
     links = _linked(candidates, docs, nodes, words, percent, bits, shared, (101, 102), scratch, "order")
     far = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -299,17 +304,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _candidates(postings: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes from different components that share a prefix token and fit in size."""
-    from pyspark.sql import Window
-
-    cold = postings.filter(~F.col("hot")).select("token", "node", "n")
-    shared = cold.withColumn("lo", F.min("node").over(Window.partitionBy("token"))).withColumn("hi", F.max("node").over(Window.partitionBy("token"))).filter("lo != hi")
-    shared = shared.select("token", "node", "n").unionByName(postings.filter("hot").select("token", "node", "n"))
-    near = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root")).distinct()
-    near = scratch.cut(near, "near")
+    """Distinct pairs ``(a, b)`` of nodes from different components that share a prefix token at places that allow a link."""
+    columns = ["token", "node", "n", "at"]
+    company = Window.partitionBy("token")
+    cold = postings.filter(~F.col("hot")).withColumn("lo", F.min("node").over(company)).withColumn("hi", F.max("node").over(company))
+    shared = cold.filter("lo != hi").select(columns).unionByName(postings.filter("hot").select(columns))
+    near = scratch.cut(shared.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")).distinct(), "near")
     mixed = near.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
     near = scratch.cut(near.join(mixed, "token", "left_semi"), "mixed")
-    a = near.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("nb") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("nb") * percent)
-    return a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    a = near.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
+    b = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
+    # At the first common token of a pair that links, what is left of both sets still holds the overlap that a link needs.
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
