@@ -5,7 +5,7 @@ global order.  Order A sorts frequent tokens last and the rest by hash; its pref
 hashes, again with frequent tokens last; a pair of order A must also share a prefix token under both before its sets are
 compared in full.
 
-Large groups of near copies never become pairs.  Equal sets are one node.  Star edges from the most central node of each MinHash
+Large groups of near copies never become pairs.  Equal sets are one node.  Star edges from the most central nodes of each MinHash
 bucket, compared in full, put most near copies into one component at linear cost; the exact join then looks only at pairs of
 nodes from different components, which is all that connectivity needs.
 """
@@ -24,6 +24,7 @@ from ..session import Scratch
 from .shingles import fixed_lists, mix, shingle_blocks, shingle_sets
 
 SEEDS = 8
+PIVOTS = 6
 # A token in more windows than this is frequent: it goes to the end of every order.
 FREQUENT = 32
 # Most frequent tokens that are broadcast (8 bytes each); the threshold rises until they fit.
@@ -99,6 +100,26 @@ def _windows(words: int, percent: int, bits: int):
     return run
 
 
+def _tails(words: int, percent: int, bits: int, shared):
+    """Folded tokens behind the window, of the texts whose window holds too few tokens that are not frequent for a prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            for tokens, offsets in shingle_blocks(batch.column(0), words):
+                hot = _in(tokens, frequent, bits)
+                found = []
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    size = prefix_size(b - a, percent)
+                    window = size * 3 // 2
+                    if b - a > window and window - int(hot[a : a + window].sum()) < size:
+                        found.append(_fold(tokens[a + window : b], bits))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    return run
+
+
 def _in(tokens: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
     if not len(frequent):
         return np.zeros(len(tokens), dtype=bool)
@@ -197,7 +218,7 @@ def _verify(percent: int, bits: int, shared, orders: tuple[int, ...]):
 
 
 def _may_link(percent: int):
-    """No pair passes whose bitmaps already show too many tokens of one set that the other lacks."""
+    """False for pairs whose bitmaps already show too many tokens of one set that the other lacks."""
 
     def lacking(x: str, y: str):
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, k: acc + k)
@@ -257,13 +278,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = profile.select(*carried, "n", "node")
 
     slots = nodes.select("node", "n", F.posexplode("seeds").alias("slot", "value"))
-    # The pivot of a bucket is its node with the most company over all slots: of a family of copies, the one they come from.
+    # The pivots of a bucket are its nodes with the most company over all slots: of a family of copies, those they come from.
     shared = slots.join(slots.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), ["slot", "value"])
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    pivots = shared.join(company, "node").groupBy("slot", "value").agg(F.max(F.struct("company", "node", "n")).alias("p"))
+    first = Window.partitionBy("slot", "value").orderBy(F.desc("company"), "node")
+    pivots = shared.join(company, "node").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PIVOTS)
     fits = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
     stars = (
-        slots.join(pivots.select("slot", "value", F.col("p.node").alias("a"), F.col("p.n").alias("na")), ["slot", "value"])
+        slots.join(pivots.select("slot", "value", F.col("node").alias("a"), F.col("n").alias("na")), ["slot", "value"])
         .filter((F.col("a") != F.col("node")) & fits)
         .groupBy("a", F.col("node").alias("b"))
         .count()
@@ -274,20 +296,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = scratch.cut(connected_components(edges), "roots")
 
     bits = min(64, max(16, int(profile.agg(F.sum("n")).first()[0] or 1).bit_length() + 8))
-    windows = docs.select("text").mapInArrow(_windows(words, percent, bits), "token long").groupBy("token").count().filter(F.col("count") > FREQUENT)
-    windows = scratch.cut(windows, "windows")
-    spectrum = windows.groupBy("count").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("count")).limit(MAX_FREQUENT).collect()
-    limit, total = FREQUENT, 0
-    for row in spectrum:
-        total += row["tokens"]
-        if total > MAX_FREQUENT:
-            limit = row["count"]
-            break
-    chosen = windows.filter(F.col("count") > limit).select("token").toArrow().column(0).to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(np.sort(chosen))
-
+    shared = _frequent(docs, words, percent, bits, scratch)
     postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared), "token long, node long, n long, at long, hot boolean")
-    candidates = _candidates(postings, roots, percent, scratch)
+    candidates = _candidates(postings, roots, nodes, percent, scratch)
     links = _linked(candidates, docs, nodes, words, percent, bits, shared, (101, 102), scratch, "order")
     far = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     far = scratch.cut(far.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far")
@@ -303,17 +314,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(alone)
 
 
-def _candidates(postings: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _frequent(docs: DataFrame, words: int, percent: int, bits: int, scratch: Scratch):
+    """Broadcast of the frequent tokens: at most ``MAX_FREQUENT`` folded hashes.
+
+    Tokens are counted in windows of one and a half prefixes; texts whose window is mostly frequent are counted whole.
+    """
+    spark = docs.sparkSession
+
+    def often(tokens: DataFrame, name: str) -> DataFrame:
+        return scratch.cut(tokens.groupBy("token").count().filter(F.col("count") > FREQUENT), name)
+
+    def chosen(counts: DataFrame):
+        limit, total = FREQUENT, 0
+        for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("count")).limit(MAX_FREQUENT).collect():
+            total += row["tokens"]
+            if total > MAX_FREQUENT:
+                limit = row["count"]
+                break
+        kept = counts.filter(F.col("count") > limit).select("token").distinct().toArrow().column(0).to_numpy()
+        return spark.sparkContext.broadcast(np.sort(kept.view(np.uint64)))
+
+    first = often(docs.select("text").mapInArrow(_windows(words, percent, bits), "token long"), "windows")
+    more = often(docs.select("text").mapInArrow(_tails(words, percent, bits, chosen(first)), "token long"), "tails")
+    return chosen(first.unionByName(more))
+
+
+def _candidates(postings: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Distinct pairs ``(a, b)`` of nodes from different components that share a prefix token at places that allow a link."""
     columns = ["token", "node", "n", "at"]
     company = Window.partitionBy("token")
     cold = postings.filter(~F.col("hot")).withColumn("lo", F.min("node").over(company)).withColumn("hi", F.max("node").over(company))
     shared = cold.filter("lo != hi").select(columns).unionByName(postings.filter("hot").select(columns))
     near = scratch.cut(shared.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")).distinct(), "near")
-    mixed = near.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    near = scratch.cut(near.join(mixed, "token", "left_semi"), "mixed")
-    a = near.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
-    b = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
+    mixed = near.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("token", "size")
+    near = near.join(mixed, "token")
+    # In large buckets a pair must also pass a folded bitmap before it becomes a row.
+    folded = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(BITMAP // 64 - 8), F.lit(8)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.get("bitmap", j + k))))
+    large = near.filter(F.col("size") > FREQUENT).join(nodes.select("node", "bitmap"), "node").select(*columns, "root", folded.alias("bitmap"))
+    small = near.filter(F.col("size") <= FREQUENT).select(*columns, "root", F.lit(None).cast("array<bigint>").alias("bitmap"))
+    near = scratch.cut(large.unionByName(small), "mixed")
+    a, b = (near.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("root").alias(f"r{x}"), F.col("bitmap").alias(f"bitmap_{x}")) for x in "ab")
     # At the first common token of a pair that links, what is left of both sets still holds the overlap that a link needs.
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
+    may = F.col("bitmap_a").isNull() | F.col("bitmap_b").isNull() | _may_link(percent)
+    return a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough & may).select("a", "b").distinct()
