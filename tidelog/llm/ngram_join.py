@@ -259,10 +259,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` and the ``carry`` columns, one row per input row.
+    """``(doc_id, n_shingles, component_id, component_key)`` and the ``carry`` columns, one row per input row.
 
     Documents link when ``100 * |A and B| >= percent * |A or B|`` over their distinct ``words``-word shingles;
-    ``component_id`` is the smallest id reachable by links.  A null or word-free text has ``n_shingles`` 0, links with nothing
+    ``component_id`` is the smallest id reachable by links, ``component_key`` tells components apart even where no id is known.  A null or word-free text has ``n_shingles`` 0, links with nothing
     and is its own component.  Rows that repeat an id are kept; a row with a null id takes part, its component is the smallest
     id that is not null.  An empty table gives no rows; other columns are ignored.  Shingles are compared by 64-bit hashes.
     """
@@ -308,9 +308,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = first.join(merged.select(F.col("node").alias("near"), F.col("root").alias("top")), "near", "left")
     first = scratch.cut(first.select("node", "min_id", F.coalesce("top", "near").alias("top")), "tops")
     names = first.groupBy("top").agg(F.min("min_id").alias("component_id"))
-    named = first.join(names, "top").select("node", "component_id")
-    linked = profile.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carry)
-    alone = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carry)
+    named = first.join(names, "top").select("node", "component_id", F.col("top").alias("component_key"))
+    linked = profile.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component_key", *carry)
+    alone = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"), *carry)
     return linked.unionByName(alone)
 
 

@@ -204,4 +204,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rules = learn_rules(labelled_statistics(scratch.cut(stats, "statistics"), labels), scratch)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     judged = with_statistics(docs.select(whole, F.col(text_col).alias("text")), "text")
-    return judged.filter(~F.col("base_failed") & verdict(rules).isNull()).select("row.*")
+    judged = judged.select("row", (~F.col("base_failed") & verdict(rules).isNull()).alias("kept"), F.monotonically_increasing_id().alias("seen"))
+    # The row number keeps the optimizer from pushing the filter below the statistics, where it would compute them again and again.
+    return judged.filter(F.col("kept") & (F.col("seen") >= 0)).select("row.*")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
 from .decontaminate import contained_items
@@ -15,6 +16,7 @@ from .secret_scan import scan
 from .sharding import shard_by_bytes
 from .suffix_dedup import remove_repeats
 from .token_files import tokenized_documents
+from .tool_calls import link_tool_calls
 from .toxicity import toxicity_scores
 
 
@@ -23,7 +25,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_table(spark, sf_dir, "documents")).drop("component_key")
+
+
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "summarize": {"text": ("string", True)},
+    "lookup": {"key": ("string", True), "strict": ("boolean", True)},
+}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn is read as a call, every later user turn as the result of the turn before it.
+
+    The table has no tool calls of its own; names, arguments (some with errors) and needs follow from turn and text length.
+    """
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    size, kind = F.length("text"), F.col("turn") % 3
+    call = lambda at: F.concat(F.lit("c"), at.cast("string"))
+    said = turns.filter("role = 'assistant'")
+    arguments = (
+        F.when(kind == 0, F.when(size % 5 == 0, F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").cast("string").alias("limit")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit")))))
+        .when(kind == 1, F.when(size % 7 == 0, F.lit("{ }")).otherwise(F.to_json(F.struct("text"))))
+        .otherwise(F.when(size % 3 == 0, F.to_json(F.struct(F.lit(True).alias("strict"), F.col("conv_id").cast("string").alias("key"), F.lit("x").alias("note")))).otherwise(F.lit("{broken")))
+    )
+    name = F.when(size % 11 == 0, "erase").when(kind == 0, "search").when(kind == 1, "summarize").otherwise("lookup")
+    step = F.when(F.col("conv_id") % 10 == 0, F.lit(2)).otherwise(F.lit(-2))
+    calls = said.select("conv_id", call(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), name.alias("name"), arguments.alias("arguments"), F.array(call(F.col("turn") + step)).alias("depends_on"))
+    results = turns.filter("role = 'user' AND turn >= 2").select("conv_id", call(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return link_tool_calls(calls, results, TOOLS)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +92,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_tool_calls": op2_tool_calls,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
@@ -96,6 +127,38 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, l
 roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots ON roots.x = d.doc_id
+""",
+    "op2_tool_calls": """
+WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, length(text) AS size FROM conversations),
+calls AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, 'c' || (turn + CASE WHEN conv_id % 10 = 0 THEN 2 ELSE -2 END) AS need,
+    CASE WHEN size % 11 = 0 THEN 'erase' WHEN turn % 3 = 0 THEN 'search' WHEN turn % 3 = 1 THEN 'summarize' ELSE 'lookup' END AS name,
+    CASE WHEN turn % 3 = 0 THEN CASE WHEN size % 5 = 0 THEN json_object('limit', CAST(turn AS VARCHAR), 'query', text) ELSE json_object('limit', turn, 'query', text) END
+         WHEN turn % 3 = 1 THEN CASE WHEN size % 7 = 0 THEN '{}'::JSON ELSE json_object('text', text) END
+         WHEN size % 3 = 0 THEN json_object('key', CAST(conv_id AS VARCHAR), 'note', 'x', 'strict', true) END AS arguments,
+    CASE WHEN turn % 3 = 2 AND size % 3 <> 0 THEN ['malformed arguments']
+         WHEN size % 11 = 0 THEN ['unknown tool']
+         WHEN turn % 3 = 0 AND size % 5 = 0 THEN ['type limit']
+         WHEN turn % 3 = 1 AND size % 7 = 0 THEN ['missing text']
+         WHEN turn % 3 = 2 THEN ['unexpected note'] ELSE CAST([] AS VARCHAR[]) END AS errors
+  FROM t WHERE role = 'assistant'
+),
+bad AS (SELECT DISTINCT a.conv_id FROM calls a JOIN calls b ON b.conv_id = a.conv_id AND b.call_id = a.need WHERE b.turn >= a.turn),
+levels AS (
+  SELECT conv_id, call_id, 0 AS level FROM calls WHERE conv_id IN (SELECT conv_id FROM bad)
+    AND NOT EXISTS (SELECT 1 FROM calls b WHERE b.conv_id = calls.conv_id AND b.call_id = calls.need)
+  UNION ALL SELECT c.conv_id, c.call_id, l.level + 1 FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.need
+),
+placed AS (
+  SELECT c.*, l.level, row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(l.level, 0), c.turn) - 1 AS place
+  FROM calls c LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
+),
+results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content FROM t WHERE role = 'user' AND turn >= 2)
+SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, CAST(p.place AS BIGINT) AS place, CAST(p.level AS INTEGER) AS level,
+  CASE WHEN p.conv_id IS NULL THEN ['result without call'] ELSE p.errors END AS errors,
+  CAST(json_object('arguments', p.arguments, 'call_id', coalesce(p.call_id, r.call_id), 'errors', CASE WHEN p.conv_id IS NULL THEN ['result without call'] ELSE p.errors END,
+    'name', p.name, 'result', r.content) AS VARCHAR) AS message
+FROM placed p FULL JOIN results r ON r.conv_id = p.conv_id AND r.call_id = p.call_id
 """,
     "op10_decontamination": f"""
 WITH {_shingle_ctes("s", "documents", "doc_id")}, {_shingle_ctes("t", "benchmark", "item_id")},

@@ -88,8 +88,9 @@ def with_pieces(docs: DataFrame, text_col: str) -> DataFrame:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, value, before, after)``, a row per candidate; ``start`` counts code points from 0."""
-    cut = with_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").filter(F.size("_pieces") > 1).select("doc_id", "_pieces")
-    at = F.explode(F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2))).alias("at")
+    cut = with_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "_pieces")
+    odd = F.when(F.size("_pieces") > 1, F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2)))
+    at = F.explode(odd).alias("at")
     # Places of all pieces in one pass over them.
     ends = F.aggregate("_pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
     rows = cut.withColumn("_starts", ends).select("doc_id", "_pieces", "_starts", at)
