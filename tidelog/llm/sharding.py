@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-# A text with more than 1/HOT_UNITS of all bytes is divided; there are fewer than HOT_UNITS such texts.
-HOT_UNITS = 1024
+# A text whose copies fill more than 1/HOT_SHARE of a shard is divided; there are fewer than HOT_SHARE * shards such texts.
+HOT_SHARE = 50
 PARTS = 4096
 MAX_RANGES = 4096
 RANGE_BYTES = 64 << 20
@@ -55,16 +55,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row per input row, under the law ``bytes``.
 
     The size of a record is the UTF-8 length of its text plus 1 (null and empty: 1).  Shards differ from the mean by less than
-    ``total / HOT_UNITS`` bytes plus one record.  ``slot`` numbers the records of a shard from 0 without gaps.  Null ids sort
+    a ``HOT_SHARE``-th plus one record.  ``slot`` numbers the records of a shard from 0 without gaps.  Null ids sort
     first; rows that repeat an id keep their own slots; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.cut(_sizes(docs, id_col, text_col), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = max(total // HOT_UNITS, 1)
+    limit = max(total // (HOT_SHARE * shards), 1)
     hot = rows.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > limit).select("key", F.lit(True).alias("hot"))
-    # At most HOT_UNITS rows: each holds more than a HOT_UNITS-th of all bytes.
+    # Fewer than HOT_SHARE * shards rows: each holds more than that part of all bytes.
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
     rows = rows.join(F.broadcast(hot), "key", "left").select("doc_id", "size", "text_crc32", "key", part.alias("part"))
 
