@@ -46,3 +46,13 @@ def test_long_conversation_in_blocks(spark):
     calls = [(7, f"c{i}", i, "add", '{"a":1,"b":2}', [f"c{i - 1}"]) for i in range(1500)]
     rows = run(spark, calls, [])
     assert sorted((r.place, r.call_id) for r in rows) == sorted((i, f"c{i}") for i in range(1500))
+
+
+def test_inverted_chains_and_several_needs(spark):
+    calls = [(5, f"c{i:03d}", i, "add", '{"a":1,"b":2}', [f"c{i + 1:03d}"]) for i in range(100)]
+    calls += [(5, "c100", 100, "add", '{"a":1,"b":2}', ["m"]), (5, "m", 101, "add", '{"a":1,"b":2}', ["z1", "z9"]), (5, "z1", 102, "add", "{}", ["z2"]), (5, "z2", 103, "add", "{}", None), (5, "z9", 104, "add", "{}", None)]
+    calls += [(6, "a", 0, "add", "{}", ["b"]), (6, "b", 1, "add", "{}", ["c"]), (6, "c", 2, "add", "{}", ["b"]), (6, "d", 3, "add", "{}", ["a", "e"]), (6, "e", 4, "add", "{}", [])]
+    level = {(r.conv_id, r.call_id): r.level for r in run(spark, calls, [])}
+    assert level[5, "z2"] == level[5, "z9"] == 0 and level[5, "z1"] == 1 and level[5, "m"] == 2 and level[5, "c100"] == 3
+    assert all(level[5, f"c{i:03d}"] == 103 - i for i in range(100))
+    assert level[6, "e"] == 0 and all(level[6, c] == -1 for c in "abcd")

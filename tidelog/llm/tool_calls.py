@@ -42,23 +42,47 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def _levels(calls: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(conv_id, call_id, level)`` of calls in conversations out of order; -1 for calls on or behind a cycle."""
+    """``(conv_id, call_id, level)`` of calls in conversations out of order; -1 for calls on or behind a cycle.
+
+    Calls with one need form chains; pointer doubling finds the end and the length of each in a logarithm of its length.  Only
+    calls with several needs are then released round by round.
+    """
+    spark = calls.sparkSession
     keys = ["conv_id", "call_id"]
-    need = ["conv_id", "need"]
     bad = needs.filter(F.col("need_at") >= F.col("position")).select("conv_id").distinct()
     waiting = scratch.cut(calls.join(bad, "conv_id", "left_semi").select(*keys), "waiting")
     edges = scratch.cut(needs.join(bad, "conv_id", "left_semi").select(*keys, "need"), "edges")
-    placed, level = None, 0
-    while True:
-        ready = scratch.cut(waiting.join(edges, keys, "left_anti").select(*keys), f"ready-{level}")
+    degree = scratch.cut(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("to")), "degree")
+    longest = degree.filter("n = 1").groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+
+    loop = Scratch(spark)
+    chains = loop.cut(degree.filter("n = 1").select(*keys, "to", F.lit(1).cast("long").alias("steps")), "chains")
+    for _ in range(int(longest).bit_length()):
+        # A pointer to a call with one need goes on to where that one points; any other call is the end of the chain.
+        ahead = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        chains = chains.join(ahead, ["conv_id", "to"], "left").select(*keys, F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+        chains = loop.cut(chains, "chains")
+    single = degree.filter("n = 1").select("conv_id", F.col("call_id").alias("to"))
+    ended = scratch.cut(chains.join(single, ["conv_id", "to"], "left_anti").select(*keys, "to", "steps"), "ended")
+
+    # Ends without needs have level 0; ends with several needs wait for the ends of all of these.
+    placed = scratch.cut(waiting.join(degree, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level")), "placed-0")
+    end_of = ended.select("conv_id", F.col("call_id").alias("need"), "to", "steps")
+    several = edges.join(degree.filter("n > 1"), keys, "left_semi").join(end_of, ["conv_id", "need"], "left")
+    several = scratch.cut(several.select(*keys, F.coalesce("to", "need").alias("to"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
+    while not several.isEmpty():
+        known = placed.select("conv_id", F.col("call_id").alias("to"), "level")
+        state = several.join(known, ["conv_id", "to"], "left").groupBy(*keys).agg(
+            F.max(F.col("level") + F.col("steps") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready")
+        )
+        ready = loop.cut(state.filter("ready").select(*keys, "level"), "ready")
         if ready.isEmpty():
-            rest = waiting.withColumn("level", F.lit(-1))
-            return rest if placed is None else placed.unionByName(rest)
-        got = ready.withColumn("level", F.lit(level))
-        placed = got if placed is None else placed.unionByName(got)
-        waiting = scratch.cut(waiting.join(ready, keys, "left_anti"), "waiting")
-        edges = scratch.cut(edges.join(ready.select("conv_id", F.col("call_id").alias("need")), need, "left_anti"), "edges")
-        level += 1
+            break
+        placed = loop.cut(placed.unionByName(ready), "placed")
+        several = loop.cut(several.join(ready, keys, "left_anti"), "several")
+    inner = ended.join(placed.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).select(*keys, (F.col("level") + F.col("steps")).alias("level"))
+    known = placed.unionByName(inner)
+    return waiting.join(known, keys, "left").select(*keys, F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
