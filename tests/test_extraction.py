@@ -66,7 +66,9 @@ def test_single_rules(spark, text, expected):
 
 def test_cap_and_context(spark):
     text = " ".join(f"CVE-2024-{10000 + i}" for i in range(300)) + " x" * 100
-    rows = extract_indicators(spark.createDataFrame([("p", text)], "page_url STRING, text STRING")).collect()
+    pages = spark.createDataFrame([("p", text)], "page_url STRING, text STRING")
+    assert extract_indicators(pages).count() == 300
+    rows = extract_indicators(pages, max_per_type=200).collect()
     assert len(rows) == 200 and rows[0]["value"] == "CVE-2024-10000"
     assert rows[0]["context"] == text[: len("CVE-2024-10000") + 80]
 
@@ -143,7 +145,7 @@ def test_normalize_links(spark):
     assert [r["url"] for r in normalize_links(df).collect()] == ["http://h.onion/c", None, None, None, None, "http://other.onion/Z"]
 
 
-def test_gate_precedence_and_join_path(spark, monkeypatch):
+def test_gate_precedence_and_blocks_of_rules(spark, monkeypatch):
     pages = spark.createDataFrame(
         [("u1", "fine", "text/html", "AA"), ("u2", "has BAD word", "text/html", "bb"), ("u3", "bad", "image/png", "cc"), ("u4", "bad and worse", None, "dd")],
         "url STRING, text STRING, content_type STRING, content_sha256 STRING",
@@ -161,8 +163,13 @@ def test_gate_precedence_and_join_path(spark, monkeypatch):
         "u3": ("media", False, False, []),
         "u4": ("blocklist", True, False, ["w", "b"]),
     }
-    monkeypatch.setattr("tidelog.operators.gate.INLINE_RULES", 1)
+    monkeypatch.setattr("tidelog.operators.gate.RULES_PER_BLOCK", 1)
     assert run() == inline
+    # Two captures of one url are judged each by its own text.
+    twice = spark.createDataFrame([("u", "alpha text", None, "x"), ("u", "nothing here", None, "y")], pages.schema)
+    many = spark.createDataFrame([(i, f"c{i}", "alpha" if i == 7 else f"rule{i}x") for i in range(600)], rules.schema)
+    monkeypatch.setattr("tidelog.operators.gate.RULES_PER_BLOCK", 100)
+    assert {r["text"]: r["decision"]["blocked"] for r in gate(twice, many, known).collect()} == {"alpha text": True, "nothing here": False}
     assert {r["url"]: r["text"] for r in storable(gate(pages, rules, known)).collect()} == dict.fromkeys(("u1", "u2", "u3", "u4"))
 
 

@@ -143,6 +143,18 @@ def test_admission_counts_known_pages(spark):
         got.setdefault(r["hostname"], []).append(r["url"][-1])
     assert {h: sorted(v) for h, v in got.items()} == {"a.onion": ["1"], "p.onion": ["1", "2", "3"], "z.onion": ["0", "1"]}
     assert frontier.admit(spark.createDataFrame(rows, "url STRING, parent_url STRING, depth INT, score DOUBLE, targeted BOOLEAN, position INT"), known, 0, 0).count() == 16
+    one = frontier.admit(spark.createDataFrame(rows, "url STRING, parent_url STRING, depth INT, score DOUBLE, targeted BOOLEAN, position INT"), known, 0, 3)
+    assert {r["hostname"]: r["n"] for r in one.groupBy("hostname").agg(F.count(F.lit(1)).alias("n")).collect()} == {"a.onion": 5, "p.onion": 2, "z.onion": 6}
+
+
+def test_idn_hosts_are_discovered_and_admitted(spark):
+    links = spark.createDataFrame([("http://b\u00fccher.example/a", 1), ("http://plain.example/a", 2), ("http://\u00fc..x/", 3), (None, 4)], "url STRING, position INT")
+    links = links.select("url", F.lit("p").alias("parent_url"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(False).alias("targeted"), "position")
+    found = frontier.discovered(links, allow_clearnet=True)
+    assert found.count() == 2
+    known = spark.createDataFrame([], "url STRING, hostname STRING, pinned BOOLEAN")
+    assert {r["hostname"] for r in frontier.admit(found, known).collect()} == {"xn--bcher-kva.example", "plain.example"}
+    assert frontier.discovered(links, allow_clearnet=True, allowed_hosts=["xn--bcher-kva.example"]).count() == 1
 
 
 # --- alerts ---
@@ -187,11 +199,11 @@ def test_content_alerts_merge_complete_bodies(spark):
     assert sorted(r["page_url"] for r in al.content_alerts(lists, matches, pages, seen).filter("watchlist_id = 1").collect()) == ["u3"]
 
 
-def test_keyword_join_path_equals_inline(spark, monkeypatch):
+def test_keyword_passes_give_the_same_matches(spark, monkeypatch):
     pages = spark.createDataFrame([(f"u{i}", "h", f"word{i % 5} text") for i in range(20)], "url STRING, hostname STRING, content STRING")
     lists = spark.createDataFrame([(i, "k", "keyword", f"WORD{i}", None, True) for i in range(6)], WATCHLISTS)
     inline = sorted(map(tuple, al._keyword_matches(lists, pages).collect()))
-    monkeypatch.setattr(al, "INLINE_KEYWORDS", 2)
+    monkeypatch.setattr(al, "KEYWORDS_PER_PASS", 2)
     assert sorted(map(tuple, al._keyword_matches(lists, pages).collect())) == inline and len(inline) == 20
 
 
@@ -255,6 +267,9 @@ def test_version_changes_and_retention(spark):
     changes = history.version_changes(v, F.floor(F.col("version_id") / 2)).orderBy("after_id").collect()
     got = [(r["before_id"], r["after_id"], r["added"], r["removed"]) for r in changes]
     assert got == [(0, 1, ["c", "d"], ["b"]), (1, 2, [], [])]
+    texts = ["x\nx\ny", "x\ny\nx\nz\nz", "z\nx\nz\nx\ny"]
+    again = spark.createDataFrame([(i, "p", NOW, "t", c, b"x", "h", False, False) for i, c in enumerate(texts)], VERSIONS)
+    assert [(r["added"], r["removed"], r["moved"]) for r in history.version_changes(again).orderBy("after_id").collect()] == [(["z", "z"], [], False), ([], [], True)]
     cited = spark.createDataFrame([(0,), (9,)], "version_id BIGINT")
     blocked = spark.createDataFrame([("blocked",)], "page_url STRING")
     assert sorted(r["version_id"] for r in history.retained_versions(v, cited, blocked, 1).collect()) == [0, 2]
@@ -287,6 +302,11 @@ def test_manifest_verifies_and_tampering_shows(spark):
     bad = members.withColumn("bytes", F.when(F.col("name").endswith(".body"), F.encode(F.lit("!"), "UTF-8")).otherwise(F.col("bytes")))
     problems = {r["problem"] for r in evidence.verify_manifest(m, bad, evidence.checksums(members)).collect()}
     assert problems == {"checksum mismatch", "body does not match the manifest", "inconsistent verification claim"}
+    versions = pages.limit(1).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("version_id"), F.lit(False).alias("legacy"), F.lit('{"agent": "a1"}').alias("capture_metadata"))
+    old = versions.withColumn("content", F.concat("content", F.col("version_id").cast("string")))
+    m2, members2 = evidence.manifest(old, historical=True), evidence.artefacts(old, historical=True)
+    assert evidence.verify_manifest(m2, members2, evidence.checksums(members2)).count() == 0
+    assert {(r["version_id"], r["collector"]["agent"], r["hostname"]) for r in m2.collect()} == {(1, "a1", "h"), (2, "a1", "h")}
     assert evidence.same_members(members, evidence.checksums(members).filter(~F.col("name").endswith(".html"))).count() == 1
 
 
@@ -320,7 +340,7 @@ def test_readers_and_writers(spark, tmp_path):
     writers.write_regression_examples(examples, str(tmp_path / "ex"))
     assert readers.read_reviewed_examples(spark, str(tmp_path / "ex")).first()["expected"] == "x"
     (tmp_path / "v2.json").write_text(json.dumps({"schema_version": 2, "examples": [{"review_id": 1}]}))
-    with pytest.raises(Exception, match="Unsupported example schema"):
+    with pytest.raises(Exception, match="another schema version"):
         readers.read_reviewed_examples(spark, str(tmp_path / "v2.json")).collect()
     writers.write_indicator_csv(spark.createDataFrame([("p", "btc", 'a"b'), ("p", "email", "x@y")], "page_url STRING, ioc_type STRING, value STRING"), str(tmp_path / "csv"), "actor")
     assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()] == [("btc", 'a"b', "p")]

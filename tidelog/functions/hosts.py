@@ -26,7 +26,7 @@ def scope_host(url: Column) -> Column:
     """Canonical host of an acceptable crawl URL, null otherwise.
 
     Acceptable: at most 2048 characters, no whitespace or control characters, http or https, a host, no user info and
-    a valid port.  Hosts outside ASCII need IDNA and yield null here; see ``operators.frontier.idna_hosts``.
+    a valid port.  Hosts outside ASCII need IDNA and yield null here; see ``operators.frontier.with_scope_host``.
     """
     authority = F.regexp_extract(url, r"(?i)^https?://([^/?#]*)", 1)
     port = F.regexp_extract(authority, r":([^:\]@]*)$", 1)

@@ -38,7 +38,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def humanize(seconds: Column) -> Column:
-    """A duration in the unit a person would pick."""
+    """Seconds as text with one decimal at most, in the largest unit that keeps it above one."""
 
     def one_decimal(value: Column) -> Column:
         return F.format_string("%.1f", F.bround(value, 1))

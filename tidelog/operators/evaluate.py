@@ -52,12 +52,15 @@ def pass_rate(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"))
 
 
-def regression_examples(feedback: DataFrame, versions: DataFrame, limit: int = 500, chars: int = 20_000) -> DataFrame:
-    """The first reviewed examples by id with their page text."""
+def regression_examples(feedback: DataFrame, versions: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """Reviewed examples with their page text; ``limit`` keeps the first by id, ``chars`` the head of each text."""
     v = versions.select("version_id", "content", "body_sha256")
-    rows = feedback.join(v, "version_id").orderBy("review_id").limit(limit)
+    rows = feedback.join(v, "version_id")
+    if limit is not None:
+        rows = rows.orderBy("review_id").limit(limit)
+    text = F.coalesce("content", F.lit(""))
     return rows.select(
-        "review_id", "extractor", F.col("value").alias("expected"), "verdict", F.substring(F.coalesce("content", F.lit("")), 1, chars).alias("text"), "body_sha256", "reason"
+        "review_id", "extractor", F.col("value").alias("expected"), "verdict", (text if chars is None else F.substring(text, 1, chars)).alias("text"), "body_sha256", "reason"
     )
 
 

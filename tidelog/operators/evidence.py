@@ -7,21 +7,24 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hosts import hostname
 from ..functions.predicates import retained
 from ..functions.text import redact
+from ..session import Scratch
 
-REPORT_CHARS = 20_000
 
-
-def _member(kind: str) -> Column:
-    return F.concat(F.lit("pages/"), F.sha2("url", 256), F.lit("."), F.lit(kind))
+def _member(kind: str, historical: bool) -> Column:
+    # Versions of one page have members of their own.
+    key = F.concat("url", F.lit(" "), F.col("version_id").cast("string")) if historical else F.col("url")
+    return F.concat(F.lit("pages/"), F.sha2(key, 256), F.lit("."), F.lit(kind))
 
 
 def manifest(pages: DataFrame, indicators: DataFrame | None = None, historical: bool = False) -> DataFrame:
     """One manifest row per captured page (or per version, which never carries current indicators).
 
-    ``pages``: ``url, title, content, html, raw_body, content_sha256, body_truncated, content_captured_at, fetched_at``.
-    Hashes are computed where the bytes are; the bytes do not travel on.
+    ``pages``: ``url, title, content, html, raw_body, content_sha256, body_truncated, content_captured_at, fetched_at``; versions
+    also ``version_id, legacy, capture_metadata`` (JSON, given back as ``collector``).  Hashes are computed where the bytes are;
+    the bytes do not travel on.
     """
     body_hash = F.sha2("raw_body", 256)
     has_body, has_html = F.col("raw_body").isNotNull(), F.coalesce(F.col("html") != "", F.lit(False))
@@ -32,18 +35,21 @@ def manifest(pages: DataFrame, indicators: DataFrame | None = None, historical:
         if historical
         else F.when(F.col("content_captured_at").isNotNull(), "successful_capture").otherwise("legacy_last_fetch_unverified")
     )
+    version = [F.col("version_id"), F.col("legacy"), F.from_json("capture_metadata", "map<string,string>").alias("collector")] if historical else []
     out = rows.select(
         "url",
+        hostname(F.col("url")).alias("hostname"),
+        *version,
         "title",
         F.coalesce("content_captured_at", "fetched_at").alias("fetched_at"),
         source.alias("timestamp_source"),
         F.col("content_sha256").alias("body_sha256"),
         F.col("body_truncated").alias("truncated"),
-        _member("txt").alias("text_file"),
+        _member("txt", historical).alias("text_file"),
         F.sha2(F.coalesce("content", F.lit("")), 256).alias("text_sha256"),
-        F.when(has_html, _member("html")).alias("html_file"),
+        F.when(has_html, _member("html", historical)).alias("html_file"),
         F.when(has_html, F.sha2("html", 256)).alias("html_sha256"),
-        F.when(has_body, _member("body")).alias("body_file"),
+        F.when(has_body, _member("body", historical)).alias("body_file"),
         verified.alias("body_verifiable"),
         (verified & F.coalesce(~F.col("body_truncated"), F.lit(False))).alias("complete_body_verifiable"),
     )
@@ -53,16 +59,17 @@ def manifest(pages: DataFrame, indicators: DataFrame | None = None, historical:
     return out.join(found, "url", "left")
 
 
-def artefacts(pages: DataFrame) -> DataFrame:
-    """``(name, bytes)`` members that a manifest over the same pages refers to."""
+def artefacts(pages: DataFrame, historical: bool = False) -> DataFrame:
+    """``(name, bytes)`` members that a manifest over the same pages refers to; pages that are not retained have none."""
     parts = F.array_compact(
         F.array(
-            F.struct(_member("txt").alias("name"), F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("bytes")),
-            F.when(F.coalesce(F.col("html") != "", F.lit(False)), F.struct(_member("html").alias("name"), F.encode("html", "UTF-8").alias("bytes"))),
-            F.when(F.col("raw_body").isNotNull(), F.struct(_member("body").alias("name"), F.col("raw_body").alias("bytes"))),
+            F.struct(_member("txt", historical).alias("name"), F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("bytes")),
+            F.when(F.coalesce(F.col("html") != "", F.lit(False)), F.struct(_member("html", historical).alias("name"), F.encode("html", "UTF-8").alias("bytes"))),
+            F.when(F.col("raw_body").isNotNull(), F.struct(_member("body", historical).alias("name"), F.col("raw_body").alias("bytes"))),
         )
     )
-    return pages.select(F.explode(parts).alias("p")).select("p.*")
+    rows = pages if historical else pages.filter(retained())
+    return rows.select(F.explode(parts).alias("p")).select("p.*")
 
 
 def checksums(members: DataFrame) -> DataFrame:
@@ -71,7 +78,8 @@ def checksums(members: DataFrame) -> DataFrame:
 
 def verify_manifest(rows: DataFrame, members: DataFrame, listed: DataFrame) -> DataFrame:
     """Violations ``(name, problem)`` of a manifest, its members and its checksum list; none means consistent."""
-    actual = checksums(members)
+    # Every body is hashed once; the checks below read the narrow table.
+    actual = Scratch(rows.sparkSession).cut(checksums(members), "checksums")
     both = actual.withColumnRenamed("sha256", "_actual").join(listed.withColumnRenamed("sha256", "_listed"), "name", "full")
     problem = (
         F.when(F.col("_actual").isNull(), "listed but missing")
@@ -92,7 +100,8 @@ def verify_manifest(rows: DataFrame, members: DataFrame, listed: DataFrame) -> D
     matches = F.coalesce(F.col("_body") == F.col("body_sha256"), F.lit(False))
     whole = matches & F.coalesce(~F.col("truncated"), F.lit(False))
     wrong = (F.col("body_verifiable") != matches) | (F.col("complete_body_verifiable") != whole)
-    claims = bodies.filter(wrong).select(F.col("url").alias("name"), F.lit("inconsistent verification claim").alias("problem"))
+    subject = F.concat_ws(" ", "url", F.col("version_id").cast("string")) if "version_id" in rows.columns else F.col("url")
+    claims = bodies.filter(wrong).select(subject.alias("name"), F.lit("inconsistent verification claim").alias("problem"))
     return sets.unionByName(claim("text", "text_sha256")).unionByName(claim("html", "html_sha256")).unionByName(claim("body", "body_sha256")).unionByName(claims)
 
 
@@ -115,7 +124,7 @@ def chronology(items: DataFrame, versions: DataFrame, terms: Iterable[str] = ())
     """
     terms = list(terms)
     if any(not t.strip() or len(t) > 512 for t in terms):
-        raise ValueError("Redactions must be nonempty literal strings, at most 512 characters each")
+        raise ValueError("each redaction term needs 1 to 512 characters and must not be blank")
     return exhibits(items, versions).select(
         "case_id",
         "item_id",
@@ -125,6 +134,6 @@ def chronology(items: DataFrame, versions: DataFrame, terms: Iterable[str] = ())
         redact(F.col("page_url"), terms).alias("source"),
         redact(F.coalesce("verdict", F.lit("")), terms).alias("assessment"),
         redact(F.coalesce("notes", F.lit("")), terms).alias("interpretation"),
-        redact(F.coalesce("content", F.lit("")).substr(1, REPORT_CHARS), terms).alias("excerpt"),
+        redact(F.coalesce("content", F.lit("")), terms).alias("excerpt"),
         F.when(F.col("available"), F.lit("")).otherwise("Capture unavailable: removed by retention or policy").alias("remark"),
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hosts import hostname, in_scope, is_onion, scope_host
+from ..functions.hosts import hostname, scope_host
 from ..session import small_table
 from .search import hashed_vector, sparse_dot
 
@@ -41,7 +42,7 @@ def keyword_score(anchor: Column, url: Column, words: Sequence[str]) -> Column:
 
 
 def structural_prior(url: Column) -> Column:
-    """Dead ends win ties: a login page of a shop is still a login page."""
+    """Factor by the words of the url; where both kinds of words occur, the lower factor holds."""
     return F.when(url.rlike(DEAD_END), DEAD_END_FACTOR).when(url.rlike(HIGH_VALUE), HIGH_VALUE_FACTOR).otherwise(1.0)
 
 
@@ -72,10 +73,39 @@ def discovered(
 
     Filters run before any ranking, so the shuffle that follows only sees admissible links.
     """
-    rows = links.filter(in_scope(F.col("url"), allowed_hosts) & (F.col("score") >= threshold) & (F.col("depth") < max_depth))
+    rows = with_scope_host(links.filter((F.col("score") >= threshold) & (F.col("depth") < max_depth)))
+    rows = rows.filter(F.col("scope_host").isin(*allowed_hosts) if allowed_hosts else F.col("scope_host").isNotNull())
     if not allow_clearnet:
-        rows = rows.filter(is_onion(F.col("url")))
-    return rows.withColumn("depth", F.col("depth") + 1)
+        rows = rows.filter(F.col("scope_host").endswith(".onion"))
+    return rows.drop("scope_host").withColumn("depth", F.col("depth") + 1)
+
+
+def _ascii_urls(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Urls with their hosts in IDNA form; null where a host cannot be encoded."""
+    pattern = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)([^:/?#]*)(.*)$", re.S)
+
+    def one(url: str | None) -> str | None:
+        found = pattern.match(url) if url else None
+        if not found:
+            return None
+        try:
+            return found[1] + found[2].rstrip(".").encode("idna").decode().lower() + found[3]
+        except UnicodeError:
+            return None
+
+    for batch in batches:
+        yield pd.Series([one(url) for url in batch], index=batch.index, dtype="object")
+
+
+def with_scope_host(rows: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``scope_host``, the canonical ASCII host of an acceptable url, else null; hosts outside ASCII go through IDNA.
+
+    Python only sees urls with a letter outside ASCII.
+    """
+    plain = F.col(url).rlike(r"^[\x00-\x7f]*$")
+    encoded = rows.withColumn("_ascii_url", F.pandas_udf(_ascii_urls, "string")(F.when(~plain & (F.length(url) <= 2048), F.col(url))))
+    spelled = F.coalesce("_ascii_url", F.when(plain, F.col(url)))
+    return encoded.withColumn("_spelled", spelled).withColumn("scope_host", scope_host(F.col("_spelled"))).drop("_ascii_url", "_spelled")
 
 
 def admit(
@@ -88,20 +118,19 @@ def admit(
     """
     place = F.struct("position", "parent_url")
     first = (
-        candidates.filter((F.col("depth") <= max_depth) & scope_host(F.col("url")).isNotNull())
+        with_scope_host(candidates.filter(F.col("depth") <= max_depth))
+        .filter(F.col("scope_host").isNotNull())
         .groupBy("url")
-        .agg(F.min_by(F.struct("parent_url", "depth", "score", "targeted"), place).alias("c"), F.min(place).alias("place"))
+        .agg(F.min_by(F.struct("parent_url", "depth", "score", "targeted"), place).alias("c"), F.min(place).alias("place"), F.any_value("scope_host").alias("hostname"))
     )
-    fresh = first.join(known.select("url"), "url", "left_anti").withColumn("hostname", scope_host(F.col("url")))
+    fresh = first.join(known.select("url"), "url", "left_anti")
     hosts = known.groupBy("hostname").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_or("pinned"), F.lit(False)).alias("_pinned"))
     limits = hosts.select("hostname", "_n", F.when(F.col("_pinned"), pinned_cap).otherwise(host_cap).alias("_cap"))
-    ranked = fresh
+    # Each host has its own cap; zero means none.  Where both are set, a task keeps at most the larger many rows of a host.
+    order = Window.partitionBy("hostname").orderBy("place", "url")
+    ranked = fresh.withColumn("_r", F.row_number().over(order))
     if host_cap and pinned_cap:
-        # A constant bound first: each task keeps at most that many rows per host before the shuffle.
-        order = Window.partitionBy("hostname").orderBy("place", "url")
-        ranked = fresh.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(host_cap, pinned_cap))
-    else:
-        ranked = fresh.withColumn("_r", F.lit(0))
+        ranked = ranked.filter(F.col("_r") <= max(host_cap, pinned_cap))
     joined = ranked.join(limits, "hostname", "left")
     cap = F.coalesce("_cap", F.lit(host_cap))
     room = cap - F.coalesce("_n", F.lit(0))
@@ -185,27 +214,25 @@ def scope_preview(state: DataFrame, max_depth: int, hosts: list[str] | None = No
     return rows.agg(F.count(F.lit(1)).alias("pages"))
 
 
+def _idna(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, str | None] = {}
+    for batch in batches:
+        for host in batch.dropna().unique():
+            if host not in known:
+                try:
+                    known[host] = host.rstrip(".").encode("idna").decode().lower()
+                except UnicodeError:
+                    known[host] = None
+        yield pd.Series([known.get(host) for host in batch], index=batch.index, dtype="object")
+
+
 def idna_hosts(hosts: DataFrame, column: str = "hostname") -> DataFrame:
     """Add ``ascii_host``: ASCII hosts as they are, others through IDNA (null when not encodable).
 
-    Only the distinct non-ASCII hosts reach Python.
+    Python sees null for every ASCII host, so a batch of them costs next to nothing and nothing is shuffled.
     """
-
-    @F.pandas_udf("string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(host):
-            try:
-                return host.rstrip(".").encode("idna").decode().lower()
-            except UnicodeError:
-                return None
-
-        for batch in batches:
-            yield batch.map(one, na_action="ignore")
-
     foreign = ~F.col(column).rlike(r"^[\x00-\x7f]*$")
-    encoded = hosts.filter(foreign).select(F.col(column).alias("_h")).distinct().withColumn("_ascii", encode("_h"))
-    return (
-        hosts.join(encoded, F.col(column) == F.col("_h"), "left")
-        .withColumn("ascii_host", F.when(foreign, F.col("_ascii")).otherwise(F.lower(F.regexp_replace(column, r"\.+$", ""))))
-        .drop("_h", "_ascii")
-    )
+    plain = F.lower(F.regexp_replace(column, r"\.+$", ""))
+    encode = F.pandas_udf(_idna, "string")
+    encoded = hosts.withColumn("_ascii", encode(F.when(foreign, F.col(column))))
+    return encoded.withColumn("ascii_host", F.when(foreign, F.col("_ascii")).otherwise(plain)).drop("_ascii")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import MEDIA_PREFIXES
 
-# Rule files up to this size become one projection; longer ones are joined.
-INLINE_RULES = 500
+# Rules tested by one expression; longer lists take several expressions in the same projection chain.
+RULES_PER_BLOCK = 100
 _NO_CATEGORIES = "cast(array() as array<string>)"
 
 
@@ -49,20 +49,17 @@ def gate(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, store_media:
         .drop("_sha", "_known")
     )
     haystack = F.concat("url", F.lit("\n"), F.coalesce("text", F.lit("")))
-    listed = rules.orderBy("position").limit(INLINE_RULES + 1).collect()
-    if len(listed) <= INLINE_RULES:
-        hits = [F.when(haystack.rlike("(?iU)" + r["pattern"]), F.lit(r["category"])) for r in listed]
-        matched = F.array_compact(F.array(*hits)) if hits else F.expr(_NO_CATEGORIES)
-        decided = _decide(rows.withColumn("_matched", matched), F.col("_matched"), store_media)
-        return decided.drop("_bad", "_matched")
-    found = (
-        rows.select("url", haystack.alias("_hay"))
-        .join(rules, F.expr("_hay rlike concat('(?iU)', pattern)"))
-        .groupBy("url")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "category"))), lambda m: m["category"]).alias("_matched"))
-    )
-    joined = rows.join(found, "url", "left").withColumn("_matched", F.coalesce("_matched", F.expr(_NO_CATEGORIES)))
-    return _decide(joined, F.col("_matched"), store_media).drop("_bad", "_matched")
+    # The rules are configuration.  Every row is matched by itself, whatever their number, so the plan has no join and streams.
+    listed = rules.orderBy("position").collect()
+    rows = rows.withColumn("_hay", haystack)
+    blocks = []
+    for at in range(0, len(listed), RULES_PER_BLOCK):
+        hits = [F.when(F.col("_hay").rlike("(?iU)" + r["pattern"]), F.lit(r["category"])) for r in listed[at : at + RULES_PER_BLOCK]]
+        blocks.append(f"_block{at}")
+        rows = rows.withColumn(blocks[-1], F.array_compact(F.array(*hits)))
+    matched = F.concat(*blocks) if blocks else F.expr(_NO_CATEGORIES)
+    decided = _decide(rows.withColumn("_matched", matched), F.col("_matched"), store_media)
+    return decided.drop("_bad", "_hay", "_matched", *blocks)
 
 
 def storable(gated: DataFrame) -> DataFrame:

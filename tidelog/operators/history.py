@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,6 @@ from ..functions.identity import audit_digest
 from ..functions.ordered import id_chunk, previous_row, top_rows
 from ..functions.text import humanize, seconds_between
 
-DIFF_CHARS = 100_000
 STALL_THRESHOLD = 2
 RECENT_PASSES = 10
 
@@ -40,20 +44,30 @@ def version_listing(versions: DataFrame, url: str, limit: int = 50) -> DataFrame
 
 
 def version_changes(versions: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Lines added and removed between consecutive versions of every page (first 100,000 characters)."""
-    lean = versions.select("page_url", "version_id", "captured_at", F.substring(F.coalesce("content", F.lit("")), 1, DIFF_CHARS).alias("content"), (F.length("content") > DIFF_CHARS).alias("cut"))
-    paired = previous_row(
-        lean, ["page_url"], ["version_id"], chunk if chunk is not None else id_chunk("version_id"), ["version_id", "content", "cut"], "before"
-    ).filter(F.col("before").isNotNull())
-    lines = lambda c: F.split(c, r"\r\n|\n|\r")
-    return paired.select(
-        "page_url",
-        F.col("before.version_id").alias("before_id"),
-        F.col("version_id").alias("after_id"),
-        F.array_except(lines(F.col("content")), lines(F.col("before.content"))).alias("added"),
-        F.array_except(lines(F.col("before.content")), lines(F.col("content"))).alias("removed"),
-        (F.coalesce("cut", F.lit(False)) | F.coalesce("before.cut", F.lit(False))).alias("truncated"),
-    )
+    """Lines added and removed between consecutive versions of every page, as often as they were, over whole texts.
+
+    Lines count as a multiset: a line that stands twice and then once was removed once.  ``moved`` marks versions whose texts
+    differ although no line was added or removed.  Versions are paired by their ids; the two texts of a pair join afterwards.
+    """
+    keys = versions.select("page_url", "version_id")
+    paired = previous_row(keys, ["page_url"], ["version_id"], chunk if chunk is not None else id_chunk("version_id"), ["version_id"], "before")
+    paired = paired.filter(F.col("before").isNotNull()).select("page_url", F.col("before.version_id").alias("before_id"), F.col("version_id").alias("after_id"))
+    texts = versions.select("version_id", F.coalesce("content", F.lit("")).alias("content"))
+    both = paired.join(texts.select(F.col("version_id").alias("before_id"), F.col("content").alias("_old")), "before_id")
+    both = both.join(texts.select(F.col("version_id").alias("after_id"), F.col("content").alias("_new")), "after_id")
+    difference = F.pandas_udf(_line_difference, "added array<string>, removed array<string>").asNondeterministic()
+    both = both.withColumn("_d", difference("_old", "_new"))
+    moved = (F.size("_d.added") == 0) & (F.size("_d.removed") == 0) & (F.col("_old") != F.col("_new"))
+    return both.select("page_url", "before_id", "after_id", "_d.added", "_d.removed", moved.alias("moved"))
+
+
+def _line_difference(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for olds, news in batches:
+        rows = []
+        for old, new in zip(olds, news, strict=True):
+            was, now = (Counter(re.split(r"\r\n|\n|\r", text)) for text in (old, new))
+            rows.append((list((now - was).elements()), list((was - now).elements())))
+        yield pd.DataFrame(rows, columns=["added", "removed"])
 
 
 # --- retention ----------------------------------------------------------------------------------------------------

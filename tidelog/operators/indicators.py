@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.identity import base58check_valid
 from ..functions.keyblock import ARMOUR, armour_fingerprint
 
-MAX_PER_TYPE = 200
 MAX_VALUE_CHARS = 512
 CONTEXT_CHARS = 80
 
@@ -115,7 +114,7 @@ def _is_contact(address: Column) -> Column:
     return domain.endswith(".onion") | domain.isin(*CONTACT_DOMAINS)
 
 
-def extract_indicators(pages: DataFrame, url: str = "page_url", text: str = "text", max_per_type: int = MAX_PER_TYPE) -> DataFrame:
+def extract_indicators(pages: DataFrame, url: str = "page_url", text: str = "text", max_per_type: int | None = None) -> DataFrame:
     """``(page_url, ioc_type, value, context)`` rows of every page, at most ``max_per_type`` per type and page."""
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = pages.select(F.col(url).alias("page_url"), t.alias("_text"), key_fingerprints(t).alias("_keys"))
@@ -166,7 +165,7 @@ def extract_indicators(pages: DataFrame, url: str = "page_url", text: str = "tex
         "email": F.filter(mails, lambda a: ~_is_contact(a)),
         "handle": F.col("_handles"),
     }
-    packed = F.concat(*[_tagged(F.slice(values, 1, max_per_type), kind) for kind, values in per_type.items()])
+    packed = F.concat(*[_tagged(values if max_per_type is None else F.slice(values, 1, max_per_type), kind) for kind, values in per_type.items()])
     # The lower-cased text is computed once per page, below the explode.
     rows = staged.select("page_url", "_text", F.lower("_text").alias("_lower"), F.explode(packed).alias("i"))
     at = F.expr("locate(lower(i.value), _lower)")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import bind, squash
 from .indicators import ANY_CHAR, PAD, before_window, padded, unpadded
 
-MAX_CREDENTIALS = 500
-MAX_LISTINGS = 200
 PRODUCT_CHARS = 70
 RANGE_CHARS = 24
 
@@ -28,7 +26,7 @@ PRICE_PATTERNS = (
 RANGE_BEFORE = r"(?iU)(?:\b(?:from|to|between|upto|up\s+to)\s*|[-–—~]\s*)\z"
 
 
-def extract_credentials(pages: DataFrame, url: str = "page_url", text: str = "text", max_per_page: int = MAX_CREDENTIALS) -> DataFrame:
+def extract_credentials(pages: DataFrame, url: str = "page_url", text: str = "text", max_per_page: int | None = None) -> DataFrame:
     """Breach-lookup rows.  The secret is hashed in the projection that finds it and never leaves it."""
     t = F.coalesce(F.col(text), F.lit(""))
     pairs = F.arrays_zip(
@@ -37,7 +35,7 @@ def extract_credentials(pages: DataFrame, url: str = "page_url", text: str = "te
     )
     distinct = F.array_distinct(F.transform(pairs, lambda p: F.struct(F.lower(p["mail"]).alias("mail"), p["secret"].alias("secret"))))
     safe = F.transform(
-        F.slice(distinct, 1, max_per_page),
+        distinct if max_per_page is None else F.slice(distinct, 1, max_per_page),
         lambda p: F.struct(
             p["mail"].substr(1, 320).alias("email"),
             F.substring_index(p["mail"], "@", -1).substr(1, 255).alias("domain"),
@@ -69,7 +67,7 @@ def _record(currency: str | None):
 
 
 def _priced(text: Column) -> Column:
-    """Array of ``(price, currency, product, context)`` in discovery order, de-duplicated and capped."""
+    """Array of ``(price, currency, product, context)`` in discovery order."""
     after = f"(?=({ANY_CHAR}{{0,{PRODUCT_CHARS}}}))"
     parts = []
     for price, currency, hint in PRICE_PATTERNS:
@@ -90,8 +88,8 @@ def _record_key(r: Column) -> Column:
     return F.concat_ws("\x00", F.round(r["price"], 8).cast("string"), r["currency"], r["product"])
 
 
-def _first_of_each(records: Column, cap: int) -> Column:
-    """Keep the first record of every (price, currency, product), at most ``cap``, in order."""
+def _first_of_each(records: Column, cap: int | None) -> Column:
+    """Keep the first record of every (price, currency, product), in order, at most ``cap`` of them if given."""
 
     def firsts(rs: Column) -> Column:
         def pick(keys: Column) -> Column:
@@ -99,11 +97,12 @@ def _first_of_each(records: Column, cap: int) -> Column:
 
         return bind(F.transform(rs, _record_key), pick)
 
-    return F.slice(bind(records, firsts), 1, cap)
+    kept = bind(records, firsts)
+    return kept if cap is None else F.slice(kept, 1, cap)
 
 
 def extract_listings(
-    pages: DataFrame, url: str = "page_url", text: str = "text", blocks: str | None = None, max_per_page: int = MAX_LISTINGS
+    pages: DataFrame, url: str = "page_url", text: str = "text", blocks: str | None = None, max_per_page: int | None = None
 ) -> DataFrame:
     """Priced listings of every page.
 

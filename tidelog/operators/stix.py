@@ -117,6 +117,7 @@ def actor_objects(actors: DataFrame, producer: str) -> DataFrame:
         *_common("threat-actor", seed, producer, created),
         F.col("label").alias("name"),
         F.concat(
+            # Description text of the exported objects.
             F.lit("Cluster of "),
             F.col("identifiers").cast("string"),
             F.lit(" reused identifier(s) observed across "),
@@ -167,9 +168,9 @@ def bundle_objects(
 def bundle_id(objects: DataFrame) -> DataFrame:
     """Content-derived id of one bundle document.
 
-    A bundle is one document, so its id needs all object ids in order.  Above ``MAX_BUNDLE_OBJECTS`` the id is null and
-    the objects are meant to be written as JSON lines.
+    A bundle is one document, so its id needs all object ids in order.  More than ``MAX_BUNDLE_OBJECTS`` objects are refused
+    with an error: pass a limited export, or write the objects as JSON lines, which need no bundle.
     """
     numbered = objects.select("id").distinct().orderBy("id").limit(MAX_BUNDLE_OBJECTS + 1)
     joined = numbered.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ";").alias("ids"))
-    return joined.select("n", F.when(F.col("n") <= MAX_BUNDLE_OBJECTS, stix_id("bundle", F.col("ids"))).alias("id"))
+    return joined.select("n", F.when(F.col("n") <= MAX_BUNDLE_OBJECTS, stix_id("bundle", F.col("ids"))).otherwise(F.raise_error(F.lit(f"a bundle holds at most {MAX_BUNDLE_OBJECTS} objects"))).alias("id"))

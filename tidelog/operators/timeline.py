@@ -197,6 +197,7 @@ def page_events(annotated: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in annotated.columns else F.lit(None).cast("string")
     found = F.array_compact(
         F.array(
+            # The summaries are output that readers of the timeline match on.
             event(F.col("went_down"), 1, PAGE_UNREACHABLE, F.concat(F.lit("Stopped responding: "), stored_name), error),
             event(
                 F.col("is_dead"),

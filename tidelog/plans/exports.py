@@ -103,9 +103,29 @@ def _manifest(spark, sf):
     )
 
 
+def _versioned(spark, sf):
+    """Three versions of every stored document: the first two intact, the body of the third altered after its hash was taken."""
+    v = F.col("version_id")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("http://"), "source", F.lit(".onion/d"), F.col("doc_id").cast("string")).alias("url"), "text", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("version_id"))
+    content = F.concat("text", F.lit(" v"), v.cast("string"))
+    return d.select(
+        "url", F.lit(None).cast("string").alias("title"), content.alias("content"), F.lit(None).cast("string").alias("html"), F.encode(F.when(v == 2, F.concat(content, F.lit("!"))).otherwise(content), "UTF-8").alias("raw_body"),
+        F.sha2(content, 256).alias("content_sha256"), F.lit(False).alias("body_truncated"), F.lit(None).cast("timestamp").alias("content_captured_at"), F.lit(None).cast("timestamp").alias("fetched_at"),
+        v, (v == 0).alias("legacy"), F.concat(F.lit('{"agent": "a'), v.cast("string"), F.lit('"}')).alias("capture_metadata"),
+    )
+
+
+def _historical(spark, sf):
+    pages = _versioned(spark, sf)
+    rows, members = evidence.manifest(pages, historical=True), evidence.artefacts(pages, historical=True)
+    bad = evidence.verify_manifest(rows, members, evidence.checksums(members)).select(F.col("name").alias("body_file"), "problem")
+    shown = rows.select("url", "version_id", "hostname", "legacy", F.col("collector")["agent"].alias("agent"), "body_file", "text_sha256", "body_verifiable")
+    return shown.join(bad, "body_file", "left")
+
+
 def _verified(spark, sf):
     """Verification of the manifest above: the altered bodies are the violations."""
-    pages = _captured(spark, sf).filter(~F.col("blocked"))
+    pages = _captured(spark, sf)
     members = evidence.artefacts(pages)
     return evidence.verify_manifest(evidence.manifest(pages), members, evidence.checksums(members))
 
@@ -239,6 +259,12 @@ QUERIES = {
         _manifest,
         f"""WITH {CAPTURED_SQL}, ni AS (SELECT page_url AS url, count(*) AS n FROM indicators GROUP BY 1) SELECT mani.*, coalesce(n, 0) AS n_indicators FROM mani LEFT JOIN ni USING (url)""",
     ),
+    "historical_manifest": Query(
+        _historical,
+        """WITH v AS (SELECT doc_id, source, 'http://' || source || '.onion/d' || doc_id AS url, text || ' v' || k AS content, CAST(k AS INTEGER) AS version_id FROM documents, range(3) r(k))
+        SELECT 'pages/' || sha256(url || ' ' || version_id) || '.body' AS body_file, url, version_id, source || '.onion' AS hostname, version_id = 0 AS legacy, 'a' || version_id AS agent, sha256(content) AS text_sha256,
+          version_id <> 2 AS body_verifiable, CASE WHEN version_id = 2 THEN 'body does not match the manifest' END AS problem FROM v""",
+    ),
     "evidence_violations": Query(
         _verified,
         f"""WITH {CAPTURED_SQL} SELECT 'pages/' || sha256(url) || '.body' AS name, 'body does not match the manifest' AS problem FROM cap WHERE NOT blocked AND has_body AND NOT verified""",
@@ -246,7 +272,7 @@ QUERIES = {
     "case_chronology": Query(
         _chronology,
         f"""WITH {PLANTED_SQL} SELECT l.doc_id % 5 AS case_id, l.doc_id AS item_id, toxic = 0 AS available, 'http://[REDACTED]/d' || l.doc_id AS source, 'note of [REDACTED] ' || l.doc_id AS interpretation,
-          sha256(CASE WHEN toxic = 0 THEN replace(replace(substr(p.text, 1, 20000), 'secret', '[REDACTED]'), 'the', '[REDACTED]') ELSE '' END) AS excerpt_sha256,
+          sha256(CASE WHEN toxic = 0 THEN replace(replace(p.text, 'secret', '[REDACTED]'), 'the', '[REDACTED]') ELSE '' END) AS excerpt_sha256,
           CASE WHEN toxic = 0 THEN strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(l.doc_id AS INTEGER)), '%Y-%m-%d %H:%M:%S.%f') END AS captured_at FROM labels l JOIN planted p USING (doc_id)""",
     ),
     "host_packs": Query(
@@ -279,8 +305,8 @@ QUERIES = {
     ),
     "regression_examples": Query(
         _regression,
-        f"""WITH {PLANTED_SQL} SELECT doc_id AS review_id, 'seller' || (doc_id % 89) AS expected, CASE WHEN doc_id % 3 = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, sha256(substr(text, 1, 20000)) AS text_sha256, sha256(text) AS body_sha256
-        FROM planted ORDER BY doc_id LIMIT 500""",
+        f"""WITH {PLANTED_SQL} SELECT doc_id AS review_id, 'seller' || (doc_id % 89) AS expected, CASE WHEN doc_id % 3 = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, sha256(text) AS text_sha256, sha256(text) AS body_sha256
+        FROM planted""",
     ),
     "reprocessed_credentials": Query(
         _reprocessed,

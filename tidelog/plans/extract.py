@@ -149,6 +149,17 @@ def _gate(spark, sf):
     )
 
 
+def _many_rules(spark, sf):
+    """A rule for each of 700 parts against documents under twenty repeated urls: every row is judged by its own text."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("position"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("category"), F.concat(F.lit(r"\bd"), F.col("p_partkey").cast("string"), F.lit(r"\b")).alias("pattern"))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("http://"), "source", F.lit(".onion/")).alias("url"), F.concat(F.lit("page d"), (F.col("doc_id") * 3).cast("string"), F.lit(" and D"), (F.col("doc_id") * 5).cast("string"), F.lit(" x")).alias("text"),
+        F.lit("text/html").alias("content_type"), F.lit("none").alias("content_sha256"),
+    )
+    found = gate.gate(rows, parts.filter("position <= 700"), spark.createDataFrame([], "sha256 STRING"))
+    return found.select("doc_id", "decision.blocked", F.array_join("decision.categories", ",").alias("categories"))
+
+
 _GATE_SQL = r"""WITH bad AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 p AS (SELECT 'http://' || source || '.onion/d' || doc_id AS url, 'http://' || source || '.onion/d' || doc_id || chr(10) || text AS hay, doc_id % 10 = 3 AS media, sha256(text) IN (SELECT sha FROM bad) AS bad FROM documents),
 m AS (SELECT *, list_filter([CASE WHEN regexp_matches(hay, '(?i)worthless') THEN 'finance' END, CASE WHEN regexp_matches(hay, '(?i)\bthe\s+of\b') THEN 'greeting' END,
@@ -245,6 +256,11 @@ def _publishable(spark, sf):
 
 QUERIES = {
     "gate_decisions": Query(_gate, _GATE_SQL),
+    "gate_many_rules": Query(
+        _many_rules,
+        """WITH n AS (SELECT doc_id, greatest(doc_id * 3, 0) AS a, doc_id * 5 AS b FROM documents), m AS (SELECT DISTINCT doc_id, p_partkey FROM n JOIN part ON p_partkey <= 700 AND p_partkey IN (a, b))
+        SELECT doc_id, count(p_partkey) > 0 AS blocked, coalesce(string_agg('c' || p_partkey % 7, ',' ORDER BY p_partkey), '') AS categories FROM n LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
+    ),
     "parsed_pages": Query(_parsed, f"WITH {PARSED_SQL} SELECT page_id, p.url, title, text, (SELECT count(*) FROM links l WHERE l.url = p.url) AS n_links FROM parsed p"),
     "page_links": Query(_links, f"WITH {PARSED_SQL} SELECT url, position, target, anchor_text, target_host FROM links"),
     "scope_hosts": Query(

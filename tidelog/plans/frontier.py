@@ -79,6 +79,22 @@ def _admitted(spark, sf):
     )
 
 
+def _admitted_one_cap(spark, sf):
+    """Only pinned hosts are capped."""
+    children = fr.discovered(scored(spark, sf), max_depth=4, threshold=0.06, allow_clearnet=True)
+    return fr.admit(children, _known(spark, sf), host_cap=0, pinned_cap=40).select("url", "hostname", "parent_url")
+
+
+def _idn_scope(spark, sf):
+    """Suppliers as accented hosts, some with ports, user info or blanks."""
+    n = F.col("s_suppkey")
+    host = F.concat(F.lit("b\u00fccher"), n.cast("string"), F.lit(".Example"))
+    url = F.when(n % 4 == 0, F.concat(F.lit("http://"), host, F.lit("/a"))).when(n % 4 == 1, F.concat(F.lit("https://"), host, F.lit(":8080/b"))).when(n % 4 == 2, F.concat(F.lit("http://u@"), host, F.lit("/"))).otherwise(
+        F.concat(F.lit("http://"), host, F.lit("/a b"))
+    )
+    return fr.with_scope_host(table(spark, sf, "supplier").select("s_suppkey", url.alias("url"))).select("s_suppkey", F.col("scope_host").alias("host"))
+
+
 _ADMIT_SQL = (
     LINKS_SQL
     + ",\n"
@@ -155,6 +171,9 @@ def _rediscovered(spark, sf):
 
 _RULE = "CASE WHEN n % 8 IN (0, 4, 7) THEN 0.05::DOUBLE WHEN n % 8 IN (1, 3, 5) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
 
+# What follows the ASCII letters in the IDNA form of "bücher" and a number of so many digits.
+_PUNYCODE = "CASE length(CAST(s_suppkey AS VARCHAR)) WHEN 1 THEN '3ya' WHEN 2 THEN 'n2a' WHEN 3 THEN '65a' WHEN 4 THEN 'q9a' WHEN 5 THEN '9db' WHEN 6 THEN 'thb' END"
+
 QUERIES = {
     "link_scores": Query(_scores, f"WITH {LINKS_SQL} SELECT parent_url, position, url, round(score, 6) AS score FROM scored"),
     "admitted_links": Query(
@@ -162,6 +181,11 @@ QUERIES = {
         f"""WITH {_ADMIT_SQL} SELECT url, hostname, parent_url, d AS depth, round(score, 6) AS score, targeted FROM rk LEFT JOIN hc USING (hostname)
         WHERE r <= CASE WHEN coalesce(p, false) THEN 100 ELSE 25 END - coalesce(n, 0)""",
     ),
+    "admitted_links_one_cap": Query(
+        _admitted_one_cap,
+        f"""WITH {_ADMIT_SQL} SELECT url, hostname, parent_url FROM rk LEFT JOIN hc USING (hostname) WHERE NOT coalesce(p, false) OR r <= 40 - coalesce(n, 0)""",
+    ),
+    "idn_scope_hosts": Query(_idn_scope, f"SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN 'xn--bcher' || s_suppkey || '-' || {_PUNYCODE} || '.example' END AS host FROM supplier"),
     "next_fetch_batch": Query(
         _batch,
         f"""WITH {STATE_SQL} SELECT url, score, depth::BIGINT AS depth FROM (SELECT * FROM st WHERE hostname IN ({", ".join(repr(h) for h in _HOSTS)}) AND depth <= 5

@@ -87,6 +87,15 @@ AUDIT_SQL = """au AS (SELECT event_id AS id, sha256('chain' || (event_id - 1)) A
 ac AS (SELECT id, entry_hash, prev = coalesce(lag(entry_hash) OVER (ORDER BY id), repeat('0', 64)) AS linked, NOT edited AS digest_ok FROM au)"""
 
 
+# Lines counted per version; an added line counts as often as the later version has it more.
+_DIFF_SQL = """p AS (SELECT page_url, version_id AS after_id, coalesce(content, '') AS content, lag(version_id) OVER w AS before_id, lag(coalesce(content, '')) OVER w AS old FROM {0} WINDOW w AS (PARTITION BY page_url ORDER BY version_id)),
+  l AS (SELECT version_id, line, count(*) AS n FROM (SELECT version_id, unnest(regexp_split_to_array(coalesce(content, ''), '\\r\\n|\\n|\\r')) AS line FROM {0}) GROUP BY ALL),
+  d AS (SELECT after_id, line, 1 AS side, n FROM p JOIN l ON l.version_id = after_id WHERE before_id IS NOT NULL UNION ALL SELECT after_id, line, -1, n FROM p JOIN l ON l.version_id = before_id),
+  t AS (SELECT after_id, line, sum(side * n) AS k FROM d GROUP BY ALL),
+  s AS (SELECT after_id, coalesce(sum(k) FILTER (k > 0), 0) AS added, coalesce(-sum(k) FILTER (k < 0), 0) AS removed FROM t GROUP BY after_id)
+SELECT page_url, before_id, after_id, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, added = 0 AND removed = 0 AND content <> old AS moved FROM p JOIN s USING (after_id) WHERE before_id IS NOT NULL"""
+
+
 def _retained(spark, sf):
     v = versions(spark, sf)
     cited = table(spark, sf, "events").filter("value > 180").select(F.col("event_id").alias("version_id"))
@@ -96,7 +105,7 @@ def _retained(spark, sf):
 
 def _changes(spark, sf):
     d = hi.version_changes(versions(spark, sf))
-    return d.select("page_url", "before_id", "after_id", F.size("added").cast("bigint").alias("added"), F.size("removed").cast("bigint").alias("removed"))
+    return d.select("page_url", "before_id", "after_id", F.size("added").cast("bigint").alias("added"), F.size("removed").cast("bigint").alias("removed"), "moved")
 
 
 def _doc_versions(spark, sf):
@@ -108,7 +117,7 @@ def _doc_versions(spark, sf):
 
 def _doc_changes(spark, sf):
     d = hi.version_changes(_doc_versions(spark, sf))
-    return d.select("page_url", "before_id", "after_id", F.size("added").cast("bigint").alias("added"), F.size("removed").cast("bigint").alias("removed"))
+    return d.select("page_url", "before_id", "after_id", F.size("added").cast("bigint").alias("added"), F.size("removed").cast("bigint").alias("removed"), "moved")
 
 
 def _purged(spark, sf):
@@ -129,7 +138,6 @@ def _listing(spark, sf):
     return out.select("version_id", "page_url", "body_sha256", "body_retained", "body_truncated", iso_micros(F.col("captured_at")).alias("captured_at"))
 
 
-_LINE = "string_split_regex(substr({0}, 1, 100000), '\\r\\n|\\n|\\r')"
 
 QUERIES = {
     "run_listing": Query(
@@ -175,18 +183,10 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY version_id DESC) AS r FROM ok)
         SELECT page_url, version_id FROM r WHERE r <= {KEEP} OR version_id IN (SELECT event_id FROM events WHERE value > 180)""",
     ),
-    "version_changes": Query(
-        _changes,
-        f"""WITH {CAPTURES_SQL}, {VERSIONS_SQL}, p AS (SELECT page_url, version_id AS after_id, content, lag(version_id) OVER w AS before_id, lag(content) OVER w AS old FROM versions WINDOW w AS (PARTITION BY page_url ORDER BY version_id))
-        SELECT page_url, before_id, after_id, len(list_distinct(list_filter({_LINE.format('content')}, lambda x: NOT list_contains({_LINE.format('old')}, x)))) AS added,
-          len(list_distinct(list_filter({_LINE.format('old')}, lambda x: NOT list_contains({_LINE.format('content')}, x)))) AS removed FROM p WHERE before_id IS NOT NULL""",
-    ),
+    "version_changes": Query(_changes, f"WITH {CAPTURES_SQL}, {VERSIONS_SQL}, {_DIFF_SQL.format('versions')}"),
     "document_changes": Query(
         _doc_changes,
-        f"""WITH v AS (SELECT source || '/' || lang AS page_url, doc_id AS version_id, text AS content FROM documents),
-        p AS (SELECT page_url, version_id AS after_id, content, lag(version_id) OVER w AS before_id, lag(content) OVER w AS old FROM v WINDOW w AS (PARTITION BY page_url ORDER BY version_id))
-        SELECT page_url, before_id, after_id, len(list_distinct(list_filter({_LINE.format('content')}, lambda x: NOT list_contains({_LINE.format('old')}, x)))) AS added,
-          len(list_distinct(list_filter({_LINE.format('old')}, lambda x: NOT list_contains({_LINE.format('content')}, x)))) AS removed FROM p WHERE before_id IS NOT NULL""",
+        f"""WITH v AS (SELECT source || '/' || lang AS page_url, doc_id AS version_id, text AS content FROM documents), {_DIFF_SQL.format('v')}""",
     ),
     "version_listing": Query(
         _listing,

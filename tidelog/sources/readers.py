@@ -81,5 +81,5 @@ def pack_sources(packs: DataFrame) -> DataFrame:
 def read_reviewed_examples(spark: SparkSession, path: str) -> DataFrame:
     """Exported review examples; any schema version but 1 is refused when rows are read."""
     raw = spark.read.schema(REVIEWED_EXAMPLES).option("multiLine", True).json(path)
-    version = F.when(F.col("schema_version") == 1, F.col("schema_version")).otherwise(F.raise_error(F.lit("Unsupported example schema")))
+    version = F.when(F.col("schema_version") == 1, F.col("schema_version")).otherwise(F.raise_error(F.lit("examples of another schema version than 1")))
     return raw.select(version.alias("_v"), F.explode("examples").alias("e")).filter(F.col("_v") == 1).select("e.*")
