@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -44,6 +45,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine: this stands in for the cluster's shared folder
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidelog-bench")
@@ -51,6 +53,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
