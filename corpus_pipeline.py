@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.byte_bpe import decode, encode
+from tidelog.llm.byte_bpe import encode_checked
 from tidelog.llm.decontaminate import contained_items
 from tidelog.llm.ngram_join import jaccard_components
 from tidelog.llm.quality_rules import keep_good
@@ -58,8 +58,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_tokens, ids, text_sha256)``: ids as they are in the rank file, digest of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
-    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
+    return encode_checked(docs, path, public_tokenizers.PATTERN, ("doc_id", "lang", "source"))
 
 
 STAGES = [

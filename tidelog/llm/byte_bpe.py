@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 NONE = np.int32(0x7FFFFFFF)
 # Longer pieces (rare runs without a break) take a heap instead of a matrix row, which would cost the square of their length.
 LONGEST_ROW = 128
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 ROW_CELLS = 1 << 20
 
 
@@ -199,17 +199,17 @@ class Encoder:
             yield self.flat[np.arange(len(shift)) + shift]
 
 
-def _slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    total = 0
-    for text in texts:
-        part.append(text)
-        total += len(text or "")
+def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of about ``size`` letters with their first rows; only one run is a Python list at a time."""
+    at, part, total = 0, [], 0
+    for row, text in enumerate(column):
+        part.append(text.as_py())
+        total += len(part[-1] or "")
         if total >= size:
-            yield part
-            part, total = [], 0
+            yield at, part
+            at, part, total = row + 1, [], 0
     if part:
-        yield part
+        yield at, part
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -224,13 +224,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for at, part in _slices(batch.column(1)):
                 found = list(encoder.encode(part))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], ["row", "ids"])
-                at += len(part)
 
     kind = docs.schema["row"].dataType.simpleString()
     out = docs.mapInArrow(run, f"row {kind}, ids array<int>")
@@ -253,6 +251,28 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     return out.select(*[F.col(f"row.`{c}`") for c in kept], F.col("decoded").alias(bytes_col))
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The ``carry`` columns with ``n_tokens``, ``ids`` and ``text_sha256``, the digest of the bytes that the ids decode to.
+
+    Encoding and decoding share one pass, so a task runs one Python worker and the text does not come back from it.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern)
+        for batch in batches:
+            for at, part in _slices(batch.column(1)):
+                found = list(encoder.encode(part))
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                digests = [hashlib.sha256(encoder.vocabulary.decode(x)).hexdigest() for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids, pa.array(digests)], ["row", "ids", "text_sha256"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"row {kind}, ids array<int>, text_sha256 string")
+    return out.select(*[F.col(f"row.`{c}`") for c in carry], F.size("ids").alias("n_tokens"), "ids", "text_sha256")
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row: ids hashed as little-endian uint32, decoded bytes hashed."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -260,14 +280,12 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for at, part in _slices(batch.column(1)):
                 sizes, ids_hash, text_hash = [], [], []
                 for ids in encoder.encode(part):
                     sizes.append(len(ids))
                     ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_hash.append(hashlib.sha256(encoder.vocabulary.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(part)
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -95,6 +95,7 @@ def shingle_blocks(column: pa.Array, words: int = 5) -> Iterator[tuple[np.ndarra
                 sets.append(joined[:0])
         sizes = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
         yield np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    pa.default_memory_pool().release_unused()
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
