@@ -48,7 +48,7 @@ PLANTED_SQL = f"""planted AS (
 _CONTACT = ", ".join(f"'{d}'" for d in indicators.CONTACT_DOMAINS)
 _STOP = ", ".join(f"'{w}'" for w in indicators.HANDLE_STOPWORDS)
 _MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-# First 200 distinct values per type and page; no page of the driver tables comes near that cap, so DISTINCT suffices.
+# Distinct values per type and page.
 INDICATORS_SQL = (
     PLANTED_SQL
     + rf""",
@@ -192,7 +192,7 @@ PARSED_SQL = rf"""parsed AS (
     regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS anchors,
     regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages),
 hrefs AS (SELECT url, root, host, unnest(range(1, len(hrefs) + 1)) AS i, hrefs, anchors FROM parsed),
-links AS (SELECT url, lower(host) AS target_host, {_UNESCAPE.format("root || hrefs[i]")} AS target, substr(trim({_UNESCAPE.format("anchors[i]")}), 1, 200) AS anchor_text,
+links AS (SELECT url, lower(host) AS target_host, {_UNESCAPE.format("root || hrefs[i]")} AS target, trim({_UNESCAPE.format("anchors[i]")}) AS anchor_text,
     row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS position
   FROM (SELECT * FROM hrefs QUALIFY row_number() OVER (PARTITION BY url, hrefs[i] ORDER BY i) = 1))"""
 

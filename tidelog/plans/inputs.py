@@ -25,7 +25,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetch observation per event: url from the user, body from the event type, failure for ``error``."""
-    e = table(spark, sf_dir, "events")
+    return captures_of(table(spark, sf_dir, "events"))
+
+
+def captures_of(e: DataFrame) -> DataFrame:
+    """``captures`` of a batch or a stream of events."""
     ok = F.col("event_type") != "error"
     host = F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string"), F.lit(".example"))
     return e.select(

@@ -34,7 +34,8 @@ def live_annotations(stream: DataFrame, base_s: float = 86_400, max_s: float = 6
     """The columns of ``operators.timeline.annotate`` for a stream, plus ``late``.
 
     State per page is the last good hash, flags and counters.  A capture older than what its page has already seen
-    changes nothing and comes out with ``late`` set, so that a batch run can repair it.
+    changes nothing and comes out with ``late`` set, so that a batch run can repair it.  A ``forced`` column works as in the
+    batch form.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,12 +46,15 @@ def live_annotations(stream: DataFrame, base_s: float = 86_400, max_s: float = 6
         rows = pd.concat(list(batches)).sort_values(["fetched_at", "capture_id"], kind="stable")
         out = []
         for row in rows.to_dict("records"):
+            forced = row.pop("forced", None)
             ok, now_blocked = bool(row["ok"]), bool(row["blocked"]) if row["blocked"] is not None else False
             at = int(pd.Timestamp(row["fetched_at"]).value // 1000)
             flags = dict(changed=False, is_first=False, recovered=False, went_down=False, is_dead=False, late=False, interval_s=None, prev_title=title)
             if last_us is not None and (at, row["capture_id"]) <= (last_us, last_id):
                 out.append({**row, **flags, "late": True, "ever_ok": has_ok, "fails": fails, "streak": streak})
                 continue
+            if forced is True:  # a re-queued page starts counting failures anew; its outage goes on
+                fails = 0
             if ok:
                 flags["is_first"] = not has_ok
                 flags["changed"] = not has_ok or sha != row["content_sha256"] or blocked != now_blocked
@@ -71,7 +75,7 @@ def live_annotations(stream: DataFrame, base_s: float = 86_400, max_s: float = 6
         yield pd.DataFrame(out)[[*_COLUMNS, "changed", "is_first", "recovered", "went_down", "is_dead", "ever_ok", "fails", "streak", "interval_s", "prev_title", "late"]]
 
     return (
-        stream.select(*_COLUMNS)
+        stream.select(*_COLUMNS, *(["forced"] if "forced" in stream.columns else []))
         .groupBy("page_url")
         .applyInPandasWithState(step, _INPUT + _EXTRA, _STATE, "append", GroupStateTimeout.NoTimeout)
     )
