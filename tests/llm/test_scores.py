@@ -114,3 +114,27 @@ def test_no_findings(spark):
     assert scan(docs).count() == 0 and candidates(docs).count() == 0
     assert {r.text for r in redact(docs).collect()} == {"plain words", None}
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_finds_short_punctuated_and_letters_only_secrets(spark):
+    rows, _ = secret_rows()
+    planted = [
+        ("login password={} now", "hunter2"), ("pwd: '{}' is set", "S3cret!pass"), ("my passwd = {}, and", "Correct-Horse9!Battery"),
+        ("see postgres://user:{}@db.example/x", "p4ssw0rd"), ('{{"api_key": "{}"}}', "QwErTyUiOpAsDfGhJkLz"), ("DB_PASSWORD={};Server=x", "bluemonkey"),
+        ("in /etc/app1/config/files/password={} here", "k#9!xq"), ('token="{}" x', "two words; 'quoted"), ("?token={}&user=someone", "zebra!crossing"),
+    ]
+    want = {1000 + i: v for i, (_, v) in enumerate(planted)}
+    texts = {1000 + i: t.format(v) for i, (t, v) in enumerate(planted)}
+    texts |= {2000: "the password: ******** hidden", 2001: "password=${PASSWORD} set", 2002: "the secret: internationalisation2 of words", 2003: "if token == another then"}
+    common = [(3000 + i, "several frequent ordinary things") for i in range(50)] + [(2004, "the secret: ordinary things")]
+    docs = spark.createDataFrame(rows + list(texts.items()) + common, "doc_id long, text string")
+    got = [r for r in scan(docs).collect() if r.doc_id >= 1000]
+    found = {r.doc_id: r.value_sha256 for r in got if r.is_secret and r.doc_id != 2002}
+    assert found == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in want.items()}
+    assert all(hashlib.sha256(texts[r.doc_id][r.start : r.start + r["length"]].encode()).hexdigest() == r.value_sha256 for r in got if r.doc_id in texts)
+    masked = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert all(masked[i] == texts[i].replace(v, "[SECRET]") for i, v in want.items())
+    assert masked[2000] == texts[2000] and masked[2004] == "the secret: ordinary things"
+    long = "a" * 40_000
+    odd = spark.createDataFrame([(1, f"token={long}"), (2, "token=" + "&" * 40_000), (3, 'secret="' + "\\\\" * 20_000), (4, "pwd" * 20_000), (5, "://" + long)], "doc_id long, text string")
+    assert {r.doc_id: r["length"] for r in candidates(odd).select("doc_id", F.length("value").alias("length")).collect()}[1] == 40_000

@@ -1,8 +1,9 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long tokens with a digit.  Each is described by its length, its character classes and the transitions between
+Candidates are long tokens with a digit, values of any characters assigned to a name for secrets, and passwords in the user part
+of an address.  Each is described by its length, its character classes and the transitions between
 them, how much of it common words of the corpus cover, whether it stands in a path, and the words around it.  A random forest
-trained on labelled findings votes on it.  The trees are unfolded into nested conditional expressions, so scanning and
+trained on labelled findings, and on fixed examples of the last two forms, votes on it.  The trees are unfolded into nested conditional expressions, so scanning and
 redacting are one projection per text: no join, no shuffle, no Python.
 """
 
@@ -21,6 +22,8 @@ from ..session import Scratch
 MARK = "\x01"
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])([A-Za-z0-9+/_\-]{16,}+={0,2})"
 SHORTEST = 16
+# Marks of values that are assigned or in an address, until the long tokens around them are marked too (Unicode noncharacters).
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 # Labelled findings used to train, half of each class where there are enough.
 SAMPLE = 20_000
 TREES = 24
@@ -33,6 +36,26 @@ ID_WORDS = r"(?i)(sha1|sha256|md5|checksum|commit|uuid|etag|isbn|iban|card|phone
 KNOWN_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35})$"
 ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?$"
 
+# A name for secrets, its separator and an authentication scheme, then a quoted value or one up to the next blank, of 6 characters or
+# more.  Without quotes it ends before the next field of a list and leaves out the marks that end a sentence.  The counts bound
+# the depth of the matcher.
+SEPARATOR = r"[A-Za-z0-9_\-]{0,40}+[\"']?\s{0,2}(?::?=|:)\s{0,2}(?:(?i:bearer|basic)\s{1,2})?[\"']?"
+VALUE = (
+    r"(?<=\")(?=[^\"\r\n]{6})(?:[^\"\\\r\n]++|\\.){1,500}+(?=\")|(?<=')(?=[^'\r\n]{6})(?:[^'\\\r\n]++|\\.){1,500}+(?=')"
+    r"|(?=[^\s\"'=]\S{5})[^\s&;,<]*(?:(?!</|[&;,][\w.\-]+\s?=)[&;,<][^\s&;,<]*){0,200}(?<![,;.\"'])"
+)
+USER_PART = r"://[^\s:/@\"'<>]*+:"
+NAMED = rf"({KEY_WORDS.replace('(?i)(', '(?i:')}{SEPARATOR})({VALUE})|({USER_PART})([^\s/\"'<>]+)(?=@[A-Za-z0-9\[])"
+# What stands in place of a value.
+PLACEHOLDER = r"(?i)^([*x.\-_]+|<.*>|\$?\{.*\}|\$\w+|%\w+%|\[.*\]|null|none|true|false|undefined|required|optional|changeme|your.*)$"
+# Fixed examples that join the labelled findings: a corpus may hold few of these forms.  They are a fifth of each class at least.
+SECRET_VALUES = (
+    "hunter2", "S3cret!pass", "Correct-Horse9!Battery", "p4ssw0rd", "qwertyuiop", "dragonfly", "Tr0ub4dor&3", "letmein!", "zxcvbnm",
+    "QmzTrwLpKd", "kJhGfDsAqWeRtYuIoP", "abcdefghijklmnopqrstuvwxyz", "a8#kQ!2x", "~Vx9$pL@7", "sunshine", "Blue.Sky/42", "iloveyou", "Wint3r", "9f8e7d6c", "MNBVCXZLKJHGFDSA",
+)
+EMPTY_VALUES = ("********", "<password>", "${PASSWORD}", "{{token}}", "%TOKEN%", "xxxxxxxx", "required", "changeme", "undefined", "your-token")
+CONTEXTS = (("password=", " "), ("pwd: '", "'"), ('"token": "', '"'), ("api_key = ", "\n"), ("the secret: ", " "))
+
 FEATURES = (
     "length", "digits", "upper", "lower", "hex", "transitions", "distinct", "dictionary",
     "path", "key_word", "id_word", "assigned", "quoted", "base64",
@@ -42,7 +65,8 @@ FEATURES = (
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
     """The ``size`` most frequent plain words of 4 to 10 letters over all texts."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), "[^a-z]+"))).alias("word"))
-    counts = words.filter(F.length("word").between(4, 10)).groupBy("word").count()
+    # A word of one text only is not frequent; it may be a secret.
+    counts = words.filter(F.length("word").between(4, 10)).groupBy("word").count().filter("count > 1")
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
@@ -82,10 +106,17 @@ def feature_columns(value: Column, before: Column, after: Column, words: list[st
 
 def with_pieces(docs: DataFrame, text_col: str) -> DataFrame:
     """Add ``_pieces``: the text cut at its candidates, which have the odd places (counting from 0)."""
-    marked = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, " "), CANDIDATE, f"{MARK}$1{MARK}")
+    named = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK + OPEN + CLOSE, "   "), NAMED, f"$1$3{OPEN}$2$4{CLOSE}")
+    marked = F.regexp_replace(named, f"{OPEN}([^{CLOSE}]*+){CLOSE}|{CANDIDATE}", f"{MARK}$1$2{MARK}")
     return docs.withColumn("_pieces", F.split(marked, MARK, -1))
 
 
+def _around(at: Column) -> tuple[Column, Column]:
+    """The text before and after the piece ``at``; another candidate may be part of it."""
+    before = F.concat(F.coalesce(F.get("_pieces", at - 2), F.lit("")), F.get("_pieces", at - 1))
+    return F.right(before, F.lit(80)), F.left(F.get("_pieces", at + 1), F.lit(40))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, value, before, after)``, a row per candidate; ``start`` counts code points from 0."""
     cut = with_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "_pieces")
@@ -94,12 +125,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Places of all pieces in one pass over them.
     ends = F.aggregate("_pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
     rows = cut.withColumn("_starts", ends).select("doc_id", "_pieces", "_starts", at)
+    before, after = _around(F.col("at"))
     return rows.select(
         "doc_id",
         F.get("_starts", F.col("at")).alias("start"),
         F.get("_pieces", F.col("at")).alias("value"),
-        F.right(F.get("_pieces", F.col("at") - 1), F.lit(80)).alias("before"),
-        F.left(F.get("_pieces", F.col("at") + 1), F.lit(40)).alias("after"),
+        before.alias("before"),
+        after.alias("after"),
     )
 
 
@@ -150,19 +182,30 @@ def _parse(lines: list[str]) -> Tree | float:
     return Tree(int(feature), float(threshold), low, _parse(lines))
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
+def labelled_findings(found: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Add ``label`` to candidates that a format decides, and drop the others.
 
-    1: a published key format, or a value assigned to a name for secrets.  0: digits only, or letters with at most two digits.
+    1: a published key format, a value assigned to a name for secrets, or a password in an address.  0: a placeholder or one of the
+    frequent ``words`` in place of a value; elsewhere digits only, or letters with at most two digits.
     """
     value, before = F.col("value"), F.col("before")
+    named = before.rlike(f"({KEY_WORDS}{SEPARATOR}|{USER_PART})$")
     label = (
-        F.when(value.rlike(KNOWN_FORMATS) | before.rlike(ASSIGNED), 1)
+        F.when(named & (value.rlike(PLACEHOLDER) | F.lower(value).isin(words or [])), 0)
+        .when(value.rlike(KNOWN_FORMATS) | before.rlike(f"{ASSIGNED}|{USER_PART}$"), 1)
+        .when(named, F.lit(None).cast("int"))
         .when(value.rlike("^[0-9]+$") | (F.length(F.regexp_replace(value, "[^0-9]", "")) <= 2), 0)
     )
     return found.withColumn("label", label).filter(F.col("label").isNotNull())
 
 
+def examples(words: list[str]) -> list[tuple[str, str, str, float]]:
+    """``(value, before, after, label)``: fixed secrets and placeholders in ``CONTEXTS``, and frequent words of the corpus there."""
+    plain = [w for w in words if len(w) >= 6][:10]
+    rows = [(v, b, a, k) for k, vs in ((1.0, SECRET_VALUES), (0.0, (*EMPTY_VALUES, *plain))) for v in vs for b, a in CONTEXTS]
+    return rows + [(v, "postgres://admin:", "@db", 1.0) for v in SECRET_VALUES]
+
+
 def train(findings: DataFrame, words: list[str], scratch: Scratch, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Forest:
     """A forest from ``findings (value, before, after, label)``, at most ``sample`` of them, chosen by a hash of their content.
 
@@ -175,6 +218,11 @@ def train(findings: DataFrame, words: list[str], scratch: Scratch, sample: int =
     classes = {r["label"] for r in rows.select("label").distinct().collect()}
     if len(classes) < 2:
         return Forest(words, [classes.pop() if classes else 1.0])
+    fixed = findings.sparkSession.createDataFrame(examples(words), "value string, before string, after string, label double")
+    for k, n in ((r["label"], r["count"]) for r in rows.groupBy("label").count().collect()):
+        same = fixed.filter(F.col("label") == k).select("label", *named)
+        times = max(1, n // (4 * same.count()))
+        rows = rows.unionByName(same.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_n"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     model = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=23).fit(vectors)
     grown = []
@@ -189,7 +237,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finding
     scratch = Scratch(docs.sparkSession)
     words = dictionary(docs, text_col)
     if findings is None:
-        findings = scratch.cut(labelled_findings(candidates(docs, id_col, text_col)), "labelled")
+        findings = scratch.cut(labelled_findings(candidates(docs, id_col, text_col), words), "labelled")
     return train(findings, words, scratch)
 
 
@@ -215,7 +263,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     cut = with_pieces(docs.select(whole, F.col(f"`{text_col}`").alias("text")), "text")
 
     def masked(piece: Column, at: Column) -> Column:
-        before, after = F.right(F.get("_pieces", at - 1), F.lit(80)), F.left(F.get("_pieces", at + 1), F.lit(40))
+        before, after = _around(at)
         return F.when((at % 2 == 1) & (forest.votes(piece, before, after) >= 0.5), F.lit(mask)).otherwise(piece)
 
     cut = cut.withColumn("_masked", F.when(F.size("_pieces") > 1, F.transform("_pieces", masked)))
