@@ -195,3 +195,23 @@ def test_hashed_vectors_have_unit_norm(spark):
         want[zlib.crc32(t.encode()) % 16] += 1
     norm = sum(x * x for x in want) ** 0.5
     assert v == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+def test_many_rules_read_all_rules_and_whole_texts(spark, tmp_path):
+    import re
+
+    from tidelog.plans.extract import QUERIES
+
+    words = {0: "old text d1900 and D7", 1: "xd1900 d19001 d1900_", 2: None, 3: "Kd8 d\u0131 (d1200)", 4: ""}
+    spark.createDataFrame([(i, t, "s") for i, t in words.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1, 2001).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.doc_id: r for r in QUERIES["gate_many_rules"].plan(spark, str(tmp_path)).collect()}
+    for i, t in words.items():
+        hay = f"{t or ''} page d{i * 3} and D{i * 5} x"
+        want = [f"c{k % 7}" for k in range(1, 2001) if re.search(rf"\bd{k}\b", hay, re.I)]
+        assert (got[i].blocked, got[i].categories) == (bool(want), ",".join(want)), i
+    assert got[0].categories == f"c{7 % 7},c{1900 % 7}"
+    mixed = [(1, "a", r"\bfoo\b"), (2, "b", "o+"), (3, None, "foo"), (4, "d", "kiss")] + [(5 + i, "z", f"none{i}") for i in range(120)]
+    rules = spark.createDataFrame(mixed, "position int, category string, pattern string")
+    page = spark.createDataFrame([("u", "a FOO \u212a\u0131\u017fs", "text/html", "0")], "url string, text string, content_type string, content_sha256 string")
+    assert gate(page, rules, spark.createDataFrame([], "sha256 string")).first()["decision"]["categories"] == ["a", "b", "d"]

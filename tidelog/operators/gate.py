@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from ..schemas import MEDIA_PREFIXES
 
 # Rules tested by one expression; longer lists take several expressions in the same projection chain.
 RULES_PER_BLOCK = 100
+# Rules that are plain characters, between word bounds or not, hold only where those characters are.
+_PLAIN = re.compile(r"(?:\\b)?([A-Za-z0-9_ ]+)(?:\\b)?")
+# Letters that match an ASCII letter whatever the case, besides its own two forms.
+_FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
 _NO_CATEGORIES = "cast(array() as array<string>)"
 
 
@@ -36,6 +45,24 @@ def _decide(rows: DataFrame, matched: Column, store_media: bool) -> DataFrame:
     )
 
 
+def _near(hay: Column, plain: list[tuple[int, str, str, str]]) -> Column:
+    """Rules ``(at, category, pattern)`` whose plain characters stand in the text, found in one pass over it by an automaton."""
+
+    @F.pandas_udf("array<struct<at: int, category: string, pattern: string>>")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rules: dict[str, list] = {}
+        for at, category, pattern, literal in plain:
+            rules.setdefault(literal.lower(), []).append({"at": at, "category": category, "pattern": pattern})
+        automaton = ahocorasick.Automaton()
+        for literal in rules:
+            automaton.add_word(literal, literal)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([[] if t is None else [r for literal in {x for _, x in automaton.iter(t)} for r in rules[literal]] for t in texts], dtype="object")
+
+    return look(F.lower(F.translate(hay, *_FOLDED)))
+
+
 def gate(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, store_media: bool = False) -> DataFrame:
     """Add struct ``decision(store_content, blocked, reason, categories)``.
 
@@ -52,12 +79,23 @@ def gate(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, store_media:
     # The rules are configuration.  Every row is matched by itself, whatever their number, so the plan has no join and streams.
     listed = rules.orderBy("position").collect()
     rows = rows.withColumn("_hay", haystack)
+    # Of a long list, the rules of plain characters are tested only where those characters occur; the others on every row.
+    plain = [(at, r["category"], r["pattern"], m[1]) for at, r in enumerate(listed) if (m := _PLAIN.fullmatch(r["pattern"]))] if len(listed) > RULES_PER_BLOCK else []
+    looked = {at for at, *_ in plain}
+    rest = [(at, r) for at, r in enumerate(listed) if at not in looked]
     blocks = []
-    for at in range(0, len(listed), RULES_PER_BLOCK):
-        hits = [F.when(F.col("_hay").rlike("(?iU)" + r["pattern"]), F.lit(r["category"])) for r in listed[at : at + RULES_PER_BLOCK]]
-        blocks.append(f"_block{at}")
+    for k in range(0, len(rest), RULES_PER_BLOCK):
+        hits = [F.when(F.col("_hay").rlike("(?iU)" + r["pattern"]), F.struct(F.lit(at).alias("at"), F.lit(r["category"]).alias("category"))) for at, r in rest[k : k + RULES_PER_BLOCK]]
+        blocks.append(f"_block{k}")
         rows = rows.withColumn(blocks[-1], F.array_compact(F.array(*hits)))
-    matched = F.concat(*blocks) if blocks else F.expr(_NO_CATEGORIES)
+    if plain:
+        rows = rows.withColumn("_near", _near(F.col("_hay"), plain))
+        met = F.filter("_near", lambda r: F.rlike(F.col("_hay"), F.concat(F.lit("(?iU)"), r["pattern"])))
+        blocks += ["_near", "_met"]
+        rows = rows.withColumn("_met", F.transform(met, lambda r: F.struct(r["at"].alias("at"), r["category"].alias("category"))))
+    found = [b for b in blocks if b != "_near"]
+    in_order = F.transform(F.array_sort(F.concat(*found)), lambda r: r["category"]) if found else None
+    matched = F.filter(in_order, lambda c: c.isNotNull()) if found else F.expr(_NO_CATEGORIES)
     decided = _decide(rows.withColumn("_matched", matched), F.col("_matched"), store_media)
     return decided.drop("_bad", "_hay", "_matched", *blocks)
 

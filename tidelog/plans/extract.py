@@ -150,13 +150,13 @@ def _gate(spark, sf):
 
 
 def _many_rules(spark, sf):
-    """A rule for each of 700 parts against documents under twenty repeated urls: every row is judged by its own text."""
+    """A rule for each part against all documents under twenty repeated urls: every row is judged by its own text and two planted numbers."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("position"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("category"), F.concat(F.lit(r"\bd"), F.col("p_partkey").cast("string"), F.lit(r"\b")).alias("pattern"))
-    rows = table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("http://"), "source", F.lit(".onion/")).alias("url"), F.concat(F.lit("page d"), (F.col("doc_id") * 3).cast("string"), F.lit(" and D"), (F.col("doc_id") * 5).cast("string"), F.lit(" x")).alias("text"),
+    rows = texts(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("http://"), "source", F.lit(".onion/")).alias("url"), F.concat(F.coalesce("text", F.lit("")), F.lit(" page d"), (F.col("doc_id") * 3).cast("string"), F.lit(" and D"), (F.col("doc_id") * 5).cast("string"), F.lit(" x")).alias("text"),
         F.lit("text/html").alias("content_type"), F.lit("none").alias("content_sha256"),
     )
-    found = gate.gate(rows, parts.filter("position <= 700"), spark.createDataFrame([], "sha256 STRING"))
+    found = gate.gate(rows, parts, spark.createDataFrame([], "sha256 STRING"))
     return found.select("doc_id", "decision.blocked", F.array_join("decision.categories", ",").alias("categories"))
 
 
