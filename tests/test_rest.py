@@ -344,3 +344,14 @@ def test_readers_and_writers(spark, tmp_path):
         readers.read_reviewed_examples(spark, str(tmp_path / "v2.json")).collect()
     writers.write_indicator_csv(spark.createDataFrame([("p", "btc", 'a"b'), ("p", "email", "x@y")], "page_url STRING, ioc_type STRING, value STRING"), str(tmp_path / "csv"), "actor")
     assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()] == [("btc", 'a"b', "p")]
+
+
+def test_host_packs_count_listings_of_every_price(spark, tmp_path):
+    from tidelog.plans.exports import QUERIES
+
+    # Host source2 has prices from 101.50 up only, source1 none, source3 two.
+    docs = [(100 + i, "plain", "en", "source2", 5) for i in range(40)] + [(300 + i, "plain", "en", "source1", 5) for i in range(30)] + [(400, "plain", "en", "source3", 5), (401, "plain", "en", "source3", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.pack, r.hostname): r.evidence for r in QUERIES["host_packs"].plan(spark, str(tmp_path)).collect()}
+    assert got[("commerce", "source2.onion")] == "40 listing(s) extracted" and {h for p, h in got if p == "commerce"} == {"source2.onion"}
+    assert {h for p, h in got if p == "actor-infrastructure"} == {"source1.onion", "source3.onion"}

@@ -163,8 +163,8 @@ def _host_state(spark, sf):
 
 
 def _packs(spark, sf):
-    # Only prices up to 20 count as listings here, so that hosts differ.
-    listings = planted_listings(spark, sf).filter("price <= 20")
+    # Hosts differ by what is planted: those whose source number leaves 1 over 3 offer without a price.  Every listing counts.
+    listings = planted_listings(spark, sf, F.coalesce(F.regexp_extract("source", "([0-9]+)", 1).try_cast("int") % 3 != 1, F.lit(True)))
     e = evaluate.host_evidence(_host_state(spark, sf), listings, planted_indicators(spark, sf))
     return evaluate.host_packs(e, min_pages=45).select("pack", "hostname", "url", "note", "last_seen", "evidence")
 

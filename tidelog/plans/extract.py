@@ -15,8 +15,12 @@ GOOD_ADDRESSES = ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "3J98t1WpEZ73CNmQviecrny
 BAD_ADDRESSES = ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLz")
 
 
-def planted(spark, sf):
-    """Documents with a suffix of labelled identifiers built from the document id."""
+def _priced_at(n):
+    return F.concat(F.lit(" only $"), (n % 500 + 1).cast("string"), F.lit(".50 today "))
+
+
+def planted(spark, sf, priced=None):
+    """Documents with a suffix of labelled identifiers built from the document id; with a price where ``priced`` holds, or everywhere."""
     n = F.col("doc_id")
     s = n.cast("string")
     own_key = F.sha1(F.concat(F.lit("k"), s))
@@ -27,7 +31,7 @@ def planted(spark, sf):
         F.lit(" Jabber: im"), (n % 31).cast("string"), F.lit("@exploit.im"),
         F.lit(" eth 0x"), hex40, F.lit(" ref CVE-2024-"), (n % 9000 + 1000).cast("string"),
         F.lit(" btc "), F.element_at(F.array(*[F.lit(a) for a in GOOD_ADDRESSES + BAD_ADDRESSES]), (n % 4 + 1).cast("int")),
-        F.lit(" dump user"), s, F.lit("@leak.example:pw"), s, F.lit("x end widget"), (n % 11).cast("string"), F.lit(" only $"), (n % 500 + 1).cast("string"), F.lit(".50 today "),
+        F.lit(" dump user"), s, F.lit("@leak.example:pw"), s, F.lit("x end widget"), (n % 11).cast("string"), _priced_at(n) if priced is None else F.when(priced, _priced_at(n)).otherwise(" on request "),
         F.when(n % 2 == 0, F.concat(F.lit("PGP key 0x"), own_key, F.lit(" "))).otherwise(F.lit("")),
         F.when(n % 3 == 0, F.lit("-----BEGIN PGP PUBLIC KEY BLOCK----- cut ")).otherwise(F.lit("")),
     )
@@ -100,8 +104,8 @@ creds AS (
       unnest(regexp_extract_all(text, '\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\s*[:|]\s*(\S{3,80})', 2)) AS s FROM planted))"""
 
 
-def planted_listings(spark, sf):
-    return records.extract_listings(planted(spark, sf))
+def planted_listings(spark, sf, priced=None):
+    return records.extract_listings(planted(spark, sf, priced))
 
 
 def _listing_prices(spark, sf):
