@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
+from .centroids import cluster
 from .decontaminate import contained_items
+from .fill_middle import fill_in_middle, restored
 from .ngram_join import jaccard_components
 from .quality_rules import quality_verdicts
 from .secret_scan import scan
@@ -90,6 +92,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", dims=64, scale=64).drop("evaluated")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), seed=42)
+    back = restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_tool_calls": op2_tool_calls,
@@ -101,10 +113,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 
-
 def _shingle_ctes(name: str, table: str, key: str) -> str:
     """CTEs ``<name>_words`` and ``<name>`` (key, shingle): distinct 5-word shingles, or the whole sequence of fewer words."""
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,6 +130,26 @@ def _shingle_ctes(name: str, table: str, key: str) -> str:
 )"""
 
 
+def _rounds_sql(k: int, rounds: int, dims: int) -> str:
+    """CTEs ``c0`` .. ``c<rounds>`` of centroids and ``a0`` .. ``a<rounds>`` of assignments."""
+    finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [
+        f"kept AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor({dims} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings WHERE len(embedding) = {dims} AND {finite})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM kept ORDER BY sha256('1:' || vec_id), q LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(kept.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"d{n} AS MATERIALIZED (SELECT r, c, CAST({distance} AS BIGINT) AS d FROM kept, c{n} c)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY r)")
+        if n < rounds:
+            parts.append(
+                f"m{n} AS (SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{n} JOIN kept USING (r), range(1, {dims + 1}) t(i) GROUP BY c, i), "
+                f"f{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM m{n} GROUP BY c), "
+                f"c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(f.q, c.q) AS q FROM c{n} c LEFT JOIN f{n} f ON f.c = c.c)"
+            )
+    return ",\n".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": f"""
 WITH RECURSIVE {_shingle_ctes("s", "documents", "doc_id")},
@@ -165,5 +198,23 @@ WITH {_shingle_ctes("s", "documents", "doc_id")}, {_shingle_ctes("t", "benchmark
 sizes AS (SELECT item_id, count(*) AS n FROM t GROUP BY item_id)
 SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared
 FROM s JOIN t USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+""",
+    "op11_centroids": f"""
+WITH {_rounds_sql(16, 3, 64)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 a JOIN kept USING (r) JOIN c3 ON c3.c = a.c
+""",
+    "op13_fill_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+  [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(0, 4)] AS hs FROM t),
+v AS (SELECT *, len(w) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50 THEN 'plain'
+  WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b FROM v),
+y AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM x)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM y
 """,
 }
