@@ -13,6 +13,7 @@ from .centroids import cluster
 from .decontaminate import contained_items
 from .fill_middle import fill_in_middle, restored
 from .ngram_join import jaccard_components
+from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .secret_scan import scan
 from .sharding import shard_by_bytes
@@ -96,6 +97,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", dims=64, scale=64).drop("evaluated")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048, ids=False)[0]
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_table(spark, sf_dir, "documents"), seed=42)
     back = restored(F.col("form"), F.col("output"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_centroids": op11_centroids,
+    "op12_packing": op12_packing,
     "op13_fill_middle": op13_fill_middle,
 }
 
