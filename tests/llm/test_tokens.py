@@ -4,13 +4,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from tidelog.llm import token_files
 from tidelog.llm.byte_bpe import decode, encode, round_trip_digests
-from tidelog.llm.token_files import PerfectHash, ShardReader, key_hashes, tokenized_documents, write_shard
+from tidelog.llm.token_files import PerfectHash, ShardReader, key_hashes, read_documents, tokenized_documents, write_shard, write_token_files
 from tidelog.session import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,6 +69,35 @@ def test_token_files_equal_the_library(spark, tables):
         at += n
 
 
+def test_several_shards_repeated_ids_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2500)
+    rows = ODD + texts(8, 90) + [(9, f"copy {i % 3}") for i in range(150)] + [(None, "no id")] * 120 + [(200, "x " * 4000)]
+    df = spark.createDataFrame([(k, t, "u", 5, 6) for k, t in rows], "doc_id long, text string, uri string, hash long, shard int").repartition(3)
+    library = Tokenizer.from_file(WORDS)
+    scratch = Scratch(spark)
+    shards = write_token_files(df, WORDS, 2, scratch)
+    held = {r.shard: r for r in shards.collect()}
+    assert len(held) > 5 and sum(r.docs for r in held.values()) == len(rows)
+    assert all(r.uri.startswith("file:/") for r in held.values())
+    got = [tuple(r) for r in read_documents(shards).collect()]
+    want = sorted((str(k), len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())) for k, t in rows for ids in [library.encode(t or "", add_special_tokens=False).ids])
+    assert sorted((str(k), n, crc) for k, _, n, crc in got) == want
+    at, last = 0, (False, 0)
+    for key, start, n, _ in sorted(got, key=lambda r: r[1]):
+        assert start == at and (key is not None, key or 0) >= last
+        at, last = at + n, (key is not None, key or 0)
+    reader = ShardReader(next(r.uri for r in held.values() if (200, 0) in [(k, 0) for k in ShardReader(r.uri)._section("key", "<i8").tolist()]))
+    assert reader.get(200).tolist() == [*library.encode("x " * 4000, add_special_tokens=False).ids, 2]
+    assert reader.get(201) is None or 201 in {k for k, _ in rows}
+
+
+def test_paths_of_other_stores():
+    assert token_files._filesystem("file:/a/b")[1] == token_files._filesystem("file:///a/b")[1] == "/a/b"
+    assert token_files._filesystem("/a/b:c")[1] == "/a/b:c"
+    with pytest.raises(pa.ArrowInvalid):
+        token_files._filesystem("odd://store/a")
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert round_trip_digests(empty, RANKS, public_tokenizers.PATTERN).count() == 0

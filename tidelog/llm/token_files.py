@@ -1,6 +1,6 @@
 """Token-id shard files with a minimal perfect hash index, written and read by Spark tasks.
 
-Documents are range-partitioned by id; each partition becomes one file.  File layout, little-endian:
+Documents are range-partitioned in id order; each partition becomes one file.  File layout, little-endian:
 
     magic ``TIDX0001`` | u64 header length | JSON header | sections named in the header, each padded to 8 bytes
 
@@ -19,23 +19,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .shingles import mix
+from .unit_ids import tokenizer, word_ids
 
 MAGIC = b"TIDX0001"
 SHARD_BYTES = 32 << 20
 LOAD = 1.5
 LEVELS = 48
-CACHED_WORDS = 600_000
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -91,8 +90,26 @@ class PerfectHash:
 # ---------------------------------------------------------------- files
 
 
+# Schemes that Hadoop and Arrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a path with a scheme; one without is the machine's own disk."""
+    scheme, mark, rest = uri.partition(":")
+    if not mark or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{'/' if scheme == 'file' else ''}{rest.lstrip('/')}")
+
+
+def _shared_folder(spark: SparkSession, folder: str) -> str:
+    """Make ``folder`` and name it with its scheme, as Spark resolves it, so that tasks on any machine write to the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    qualified = files.makeQualified(path).toString()
+    _filesystem(qualified)  # a scheme that Arrow does not know fails here, before any work
+    return qualified
 
 
 def _finger(hashes: np.ndarray) -> np.ndarray:
@@ -176,115 +193,45 @@ class ShardReader:
         return self.ids(int(start[0]), int(length[0])) if found[0] else None
 
 
-# ---------------------------------------------------------------- tokenizing
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-class WordEncoder:
-    """Ids of texts from the ids of their words, for tokenizers that drop white space and never join across it.
-
-    A word is a run without ASCII white space.  Words not met before are encoded together, a line each, and told apart by the
-    offsets of their tokens.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        self.starts = np.zeros(0, dtype=np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        ids, sizes = [self.flat], [self.sizes]
-        for at in range(0, len(words), 4096):
-            lines = [w.decode("utf-8") for w in words[at : at + 4096]]
-            found = self.tokenizer.encode("\n".join(lines), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]])
-            place = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found))
-            line = np.searchsorted(begins, place, side="right") - 1
-            ids.append(np.array(found.ids, dtype=np.int32))
-            sizes.append(np.bincount(line, minlength=len(lines)))
-        self.flat, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if len(self.number) > CACHED_WORDS:
-            self._clear()
-        split = [t.split() if t else [] for t in texts]
-        number, fresh = self.number, []
-        for words in split:
-            for word in set(words):
-                if word not in number:
-                    number[word] = len(number)
-                    fresh.append(word)
-        if fresh:
-            self._learn(fresh)
-        out = []
-        for words in split:
-            which = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-            sizes = self.sizes[which]
-            shift = np.repeat(self.starts[which] - (np.cumsum(sizes) - sizes), sizes)
-            out.append(self.flat[np.arange(len(shift)) + shift])
-        return out
-
-
-def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
-    at, part, total = 0, [], 0
-    for i, value in enumerate(column):
-        part.append(value.as_py())
-        total += len(part[-1] or b"")
-        if total >= size:
-            yield at, part
-            at, part, total = i + 1, [], 0
-    if part:
-        yield at, part
-
-
 # ---------------------------------------------------------------- Spark jobs
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents in ascending id order, one file per range; returns ``(shard, uri, docs, tokens)`` of the files.
 
-    Nulls come first, equal ids are ordered by a hash of the text.  A null or empty text is the end id alone.
+    Nulls come first, equal ids are ordered by a hash of the text.  A null or empty text is the end id alone.  Ranges are cut by id, text
+    hash and a random number, so rows of one id, and copies of one text under it, may fill several files.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    folder = f"{scratch.root}/token-files"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    folder = _shared_folder(spark, f"{scratch.root}/token-files")
+    order = F.asc_nulls_first("doc_id"), F.asc_nulls_first("hash")
+    # Rows that only the random number tells apart are equal, so it does not matter which of them comes first.
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.rand(7).alias("any"))
+    rows = keyed.repartitionByRange(shards, *order, "any").sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
-        vocabulary = max(end_id, encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
+        coder = word_ids(tokenizer_path)
+        vocabulary = max(end_id, tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1)
         width = 2 if vocabulary < 1 << 16 else 4
-        end = np.array([end_id], dtype=f"<u{width}")
         keys, valid, lengths, payload = [], [], [], []
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            valid.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             keys.append(batch.column(0).fill_null(0).to_numpy())
-            valid.append(known)
-            for _, part in _slices(batch.column(1)):
-                for ids in encoder.encode(part):
-                    lengths.append(len(ids) + 1)
-                    payload += [ids.astype(f"<u{width}"), end]
-                payload[:] = [np.concatenate(payload)] if len(payload) > 1 << 14 else payload
+            for _, ids, sizes in coder.encode(batch.column(1)):
+                whole = np.full(len(ids) + len(sizes), end_id, dtype=f"<u{width}")
+                kept = np.ones(len(whole), dtype=bool)
+                kept[np.cumsum(sizes + 1) - 1] = False
+                whole[kept] = ids
+                lengths.append(sizes + 1)
+                payload.append(whole)
         shard = TaskContext.get().partitionId()
         if not keys:
             return
         uri = f"{folder}/shard-{shard:07d}.bin"
-        sizes = np.array(lengths, dtype=np.int64)
+        sizes = np.concatenate(lengths).astype(np.int64)
         write_shard(uri, np.concatenate(keys), np.concatenate(valid), sizes, payload, width)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "docs": [len(sizes)], "tokens": [int(sizes.sum())]})
 
