@@ -49,3 +49,12 @@ def test_a_crowded_table_and_small_blocks_change_nothing(monkeypatch, path, code
         assert encoded(coder(path), texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     finally:
         coder.cache_clear()
+
+
+def test_both_libraries_agree_on_settled_characters():
+    """Every character that the ranks are trusted with, between letters, digits, signs and blanks."""
+    library, learn = Tokenizer.from_file(BYTES), unit_ids._learn_byte_level(BYTES)
+    units = [u for c in range(1, 0x500) for u in (f" a{chr(c)}b", f"1{chr(c)}2", f"!{chr(c)}{chr(c)}?", f" {chr(c)}", f"'{chr(c)}s")]
+    units = [u for u in units if max(u.encode()) < unit_ids.SETTLED]
+    ids, sizes = learn([u.encode() for u in units])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in library.encode_batch(units, add_special_tokens=False)]

@@ -8,8 +8,10 @@ never depend on what the table holds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ import pyarrow as pa
 from .shingles import _SPACE, blocks, mix, text_bytes
 
 BLOCK_BYTES = 1 << 21
-SLOT_BITS = 20
-POOL_IDS = 6_000_000
+SLOT_BITS = 21
+POOL_IDS = 8_000_000
 # Units up to here are held as two 64-bit words in the table; longer ones (one in six hundred) in a dictionary.
 SHORT = 16
 LONG_UNITS = 20_000
@@ -60,7 +62,10 @@ def space_borders(data: np.ndarray) -> np.ndarray:
 
 def spaced_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words with the white space before them, and white space at the end of a text: all bytes belong to a unit."""
-    starts = np.union1d(cuts[:-1][np.diff(cuts) > 0], space_borders(data)).astype(np.int64)
+    edge = np.zeros(len(data), dtype=bool)
+    edge[space_borders(data)] = True
+    edge[cuts[:-1][np.diff(cuts) > 0]] = True
+    starts = np.flatnonzero(edge)
     return starts, np.append(starts[1:], len(data))[: len(starts)]
 
 
@@ -207,31 +212,48 @@ def _learn_lines(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndar
     return learn
 
 
-def _learn_separated(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """For tokenizers with a special token: units with the special token between them, which the library encodes one by one."""
-    own = tokenizer(path)
-    special = {i: t for i, t in own.get_added_tokens_decoder().items()}
-    plain = [(i, t.content) for i, t in sorted(special.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-    contents = [t.content for t in special.values()]
+# The split pattern of the byte-level tokenizers, a fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Below U+0500 (lead bytes up to D3) the regex engines of both libraries agree on letters and digits; newer characters may differ.
+SETTLED = 0xD4
 
-    def alone(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and ids of a byte-level tokenizer file, if its ids are the ranks of its merges; else None."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    parts = model["pre_tokenizer"] or {}
+    if model["normalizer"] or parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True) or model["model"].get("ignore_merges"):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    vocabulary = model["model"]["vocab"]
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    made = [vocabulary["".join(pair)] for pair in merges]
+    single = max(ranks[bytes([b])] for b in range(256))
+    return ranks if made == sorted(made) and made[0] > single and len(set(made)) == len(made) else None
+
+
+def _learn_byte_level(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Units of settled characters by the ranks of the file, the others, and those with an added token, by the library."""
+    import tiktoken
+
+    own, ranks = tokenizer(path), _ranks(path)
+    added = [t.content.encode() for t in own.get_added_tokens_decoder().values()]
+    special = {c.decode(): i for i, c in enumerate(added, 1 << 24)}
+    fast = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks={k: v for k, v in ranks.items() if k not in added}, special_tokens=special) if ranks else None
 
     def learn(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = [], []
-        for at in range(0, len(units), 4096):
-            texts = [u.decode("utf-8", "replace") for u in units[at : at + 4096]]
-            if plain and not any(c in t for t in texts for c in contents):
-                mark, content = plain[0]
-                flat = np.array(own.encode(content.join(texts), add_special_tokens=False).ids, dtype=np.int32)
-                marks = np.flatnonzero(flat == mark)
-                ids.append(np.delete(flat, marks))
-                sizes.append(np.diff(np.concatenate(([-1], marks, [len(flat)]))) - 1)
-            else:
-                each = alone(texts)
-                ids.append(np.array([i for e in each for i in e], dtype=np.int32))
-                sizes.append(np.array([len(e) for e in each], dtype=np.int64))
-        return np.concatenate(ids), np.concatenate(sizes)
+        found: list = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if max(u) < SETTLED and not any(c in u for c in added)] if fast else []
+        for i in plain:
+            found[i] = fast.encode_ordinary(units[i].decode())
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, encoding in zip(rest, own.encode_batch([units[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
+            found[i] = encoding.ids
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes
 
     return learn
 
@@ -245,4 +267,4 @@ def word_ids(path: str) -> TextIds:
 @lru_cache(maxsize=1)
 def byte_level_ids(path: str) -> TextIds:
     """For a byte-level tokenizer whose pieces take white space only at their start; kept by the Python worker."""
-    return TextIds(spaced_words, _learn_separated(path))
+    return TextIds(spaced_words, _learn_byte_level(path))
