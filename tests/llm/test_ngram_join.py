@@ -1,6 +1,9 @@
 import random
 
-from tidelog.llm.ngram_join import jaccard_components
+import numpy as np
+
+from tidelog.llm import ngram_join
+from tidelog.llm.ngram_join import _folds, _nodes, jaccard_components
 
 
 def brute(rows, shingle_set, percent=75):
@@ -63,3 +66,26 @@ def test_empty_table(spark):
 def test_clashing_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, node long, token string")
     assert {r.component_id for r in jaccard_components(df).collect()} == {1}
+
+
+def test_large_buckets_and_frequent_tokens(spark, shingle_set, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    rows = corpus(3)
+    assert run(spark, rows) == brute(rows, shingle_set)
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 40)
+    assert run(spark, rows) == brute(rows, shingle_set)
+
+
+def test_links_found_by_the_token_orders_alone(spark, shingle_set, monkeypatch):
+    """Without star edges every link comes from prefix tokens."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 0)
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows, shingle_set)
+
+
+def test_sets_that_share_one_fold_stay_apart():
+    tokens, offsets = np.arange(1, 13, dtype=np.uint64), np.array([0, 4, 8, 8, 12])
+    nodes, checks = _folds(tokens, offsets)
+    assert len(set(nodes.tolist())) == 4 and nodes[2] == checks[2] == 0
+    apart = _nodes(tokens, offsets, np.sort(nodes[[1]])).view(np.uint64)
+    assert apart[1] != nodes[1] and (apart[[0, 2, 3]] == nodes[[0, 2, 3]]).all()
