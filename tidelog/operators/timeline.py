@@ -41,8 +41,13 @@ def annotate(
     An optional boolean column ``forced`` marks observations requested by a re-queue, which zeroes the failure count
     beforehand without touching the outage state.
     """
+    local = _inside_chunks(captures, chunk_unit)
+    return _resolved(local.join(_carried(_summaries(local)), ["page_url", "_chunk"]), captures.columns, base_s, max_s, max_failures)
+
+
+def _inside_chunks(captures: DataFrame, chunk_unit: str) -> DataFrame:
+    """Every capture with what its own ``(page_url, _chunk)`` says about it."""
     has_forced = "forced" in captures.columns
-    when = F.struct("fetched_at", "capture_id")
     ok = F.coalesce("ok", F.lit(False))
     rows = captures.withColumns(
         {
@@ -64,7 +69,7 @@ def annotate(
     known_prev = F.col("_local_prev").isNotNull()
     repeats = known_prev & F.col("ok") & _same(F.col("_now"), F.col("_local_prev"))
     differs = known_prev & F.col("ok") & ~_same(F.col("_now"), F.col("_local_prev"))
-    local = (
+    return (
         rows.withColumns(
             {
                 "_local_prev": F.last("_now", ignorenulls=True).over(before),
@@ -84,7 +89,11 @@ def annotate(
         .withColumn("_same_mark", F.last(F.when(differs, F.col("_same_sum")), ignorenulls=True).over(upto))
     )
 
-    summary = local.groupBy("page_url", "_chunk").agg(
+
+def _summaries(local: DataFrame) -> DataFrame:
+    """One row per ``(page_url, _chunk)`` that says all a later chunk needs to know of it."""
+    when = F.struct("fetched_at", "capture_id")
+    return local.groupBy("page_url", "_chunk").agg(
         F.max("_fail_sum").alias("n_fail"),
         F.max("_same_sum").alias("n_same"),
         F.max_by("_fail_mark", when).alias("fail_mark"),
@@ -93,6 +102,13 @@ def annotate(
         F.max_by("_now", F.when(F.col("ok"), when)).alias("last_ok"),
         F.max_by("ok", when).alias("last_obs"),
     )
+
+
+CARRIED = ("c_prev", "c_obs", "c_fail", "c_fail_mark", "c_first_same", "c_same", "c_same_mark")
+
+
+def _carried(summary: DataFrame) -> DataFrame:
+    """The state in which every chunk of a page begins."""
     page = Window.partitionBy("page_url").orderBy("_chunk")
     prior = page.rowsBetween(*BEFORE)
     first_same = F.coalesce(
@@ -101,7 +117,7 @@ def annotate(
     mark_at = F.when(F.col("same_mark").isNotNull(), F.col("c_same") + F.col("c_first_same") + F.col("same_mark")).when(
         F.col("first_ok").isNotNull() & (F.col("c_first_same") == 0), F.col("c_same")
     )
-    carried = (
+    return (
         summary.withColumns(
             {
                 "c_prev": F.last("last_ok", ignorenulls=True).over(prior),
@@ -117,10 +133,13 @@ def annotate(
         )
         .withColumn("c_same", F.coalesce(F.sum(F.col("n_same") + F.col("c_first_same")).over(prior), F.lit(0)))
         .withColumn("c_same_mark", F.last(mark_at, ignorenulls=True).over(prior))
-        .select("page_url", "_chunk", "c_prev", "c_obs", "c_fail", "c_fail_mark", "c_first_same", "c_same", "c_same_mark")
+        .select("page_url", "_chunk", *CARRIED)
     )
 
-    full = local.join(carried, ["page_url", "_chunk"])
+
+def _resolved(full: DataFrame, columns: list[str], base_s: float, max_s: float, max_failures: int) -> DataFrame:
+    """Flags and counters from a chunk's own view and the state in which it begins."""
+    known_prev = F.col("_local_prev").isNotNull()
     prev = F.coalesce("_local_prev", "c_prev")
     seen_ok = F.col("ok") | known_prev
     same_sum = F.col("c_same") + F.col("_same_sum") + F.when(seen_ok, F.col("c_first_same")).otherwise(0)
@@ -151,7 +170,7 @@ def annotate(
         .withColumn("interval_s", _next_interval(base_s, max_s))
     )
     return out.select(
-        *captures.columns,
+        *columns,
         "changed",
         "is_first",
         "recovered",
@@ -165,6 +184,49 @@ def annotate(
     )
 
 
+NOTES = ("changed", "is_first", "recovered", "went_down", "is_dead", "ever_ok", "fails", "streak", "interval_s", "prev_title")
+
+
+def chunk_summaries(captures: DataFrame, chunk_unit: str = "day") -> DataFrame:
+    """The summaries that ``repair`` keeps beside an annotated log."""
+    return _summaries(_inside_chunks(captures, chunk_unit))
+
+
+def repair(
+    annotated: DataFrame, summaries: DataFrame, late: DataFrame, base_s: float = 86_400, max_s: float = 604_800, max_failures: int = 3, chunk_unit: str = "day"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Work captures that came too late into an annotated log; returns rows to put in, chunks they replace, and new summaries.
+
+    ``late`` has the columns of the captures; rows that the log holds already, or that repeat, change nothing.  Only chunks with a
+    late row are scanned again.  The summaries of their pages are then carried on, and of the other chunks only those are resolved
+    again that begin in another state than before: a page that converges after a day costs that day.
+    """
+    key = ["page_url", "_chunk"]
+    columns = [c for c in annotated.columns if c not in NOTES]
+    stored = annotated.select(*columns).withColumn("_chunk", time_chunk("fetched_at", chunk_unit))
+    fresh = late.select(*columns).dropDuplicates(["page_url", "capture_id"]).join(annotated.select("page_url", "capture_id"), ["page_url", "capture_id"], "left_anti")
+    fresh = fresh.select(*columns).withColumn("_chunk", time_chunk("fetched_at", chunk_unit))
+    touched = fresh.select(*key).distinct()
+    rows = stored.join(touched, key, "left_semi").unionByName(fresh)
+    local = _inside_chunks(rows.drop("_chunk"), chunk_unit)
+    own = summaries.join(touched.select("page_url").distinct(), "page_url", "left_semi")
+    again = own.join(touched, key, "left_anti").unionByName(_summaries(local))
+    then, now = _carried(own), _carried(again)
+    before = then.select(*key, F.struct(*CARRIED).alias("_then"))
+    moved = now.withColumn("_now", F.struct(*CARRIED)).join(before, key, "left").filter(~F.col("_now").eqNullSafe(F.col("_then"))).select(*key)
+    wanted = moved.unionByName(touched).distinct()
+    other = wanted.join(touched, key, "left_anti")
+    rest = _inside_chunks(stored.join(other, key, "left_semi").drop("_chunk"), chunk_unit)
+    full = local.unionByName(rest).join(now, key)
+    return _resolved(full, columns, base_s, max_s, max_failures), wanted, again
+
+
+def repaired(annotated: DataFrame, changed: DataFrame, chunks: DataFrame, chunk_unit: str = "day") -> DataFrame:
+    """The annotated log with the rows of ``chunks`` replaced by ``changed``."""
+    kept = annotated.withColumn("_chunk", time_chunk("fetched_at", chunk_unit)).join(chunks, ["page_url", "_chunk"], "left_anti").drop("_chunk")
+    return kept.select(*changed.columns).unionByName(changed)
+
+
 def _next_interval(base_s: float, max_s: float) -> Column:
     """Seconds until the next fetch, null when none is due (blocked, dead, or recrawl disabled)."""
     if base_s <= 0:

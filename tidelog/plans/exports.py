@@ -277,9 +277,12 @@ QUERIES = {
     ),
     "host_packs": Query(
         _packs,
-        f"""WITH {INDICATORS_SQL}, {LISTINGS_SQL[len(PLANTED_SQL) + 2 :]},
+        f"""WITH {INDICATORS_SQL},
+        priced AS (SELECT page_url, CASE WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 3 <> 1, true) THEN p.text
+          ELSE replace(p.text, ' only $' || (doc_id % 500 + 1) || '.50 today ', ' on request ') END AS text FROM planted p JOIN documents USING (doc_id)),
+        {LISTINGS_SQL[len(PLANTED_SQL) + 2 :].replace("FROM planted", "FROM priced")},
         hs AS (SELECT page_url, doc_id, regexp_extract(page_url, '^http://([^/]*)', 1) AS hostname, doc_id % 9 <> 0 AS crawled FROM planted),
-        pl AS (SELECT page_url, count(*) AS l FROM listings WHERE price <= 20 GROUP BY 1), pi AS (SELECT page_url, count(*) AS i FROM indicators WHERE ioc_type IN ('btc', 'eth', 'xmr', 'handle', 'pgp_fp', 'contact_email', 'jabber') GROUP BY 1),
+        pl AS (SELECT page_url, count(*) AS l FROM listings GROUP BY 1), pi AS (SELECT page_url, count(*) AS i FROM indicators WHERE ioc_type IN ('btc', 'eth', 'xmr', 'handle', 'pgp_fp', 'contact_email', 'jabber') GROUP BY 1),
         ev AS (SELECT hostname, count(*) FILTER (crawled) AS pages, CAST(coalesce(sum(l), 0) AS BIGINT) AS listings, CAST(coalesce(sum(i), 0) AS BIGINT) AS identifiers, min('Report ' || doc_id) FILTER (crawled) AS note,
           strftime(max(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER))) FILTER (crawled), '%Y-%m-%d') AS last_seen FROM hs LEFT JOIN pl USING (page_url) LEFT JOIN pi USING (page_url) GROUP BY hostname),
         ok AS (SELECT * FROM ev WHERE pages > 0 AND CAST(regexp_extract(hostname, '([0-9]+)', 1) AS INT) % 7 <> 0)

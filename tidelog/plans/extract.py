@@ -19,13 +19,12 @@ def _priced_at(n):
     return F.concat(F.lit(" only $"), (n % 500 + 1).cast("string"), F.lit(".50 today "))
 
 
-def planted(spark, sf, priced=None):
-    """Documents with a suffix of labelled identifiers built from the document id; with a price where ``priced`` holds, or everywhere."""
-    n = F.col("doc_id")
+def suffix(n, priced=None):
+    """Labelled identifiers built from the number ``n``; with a price where ``priced`` holds, or everywhere."""
     s = n.cast("string")
     own_key = F.sha1(F.concat(F.lit("k"), s))
     hex40 = F.when(n % 5 == 0, own_key).otherwise(F.sha1(s))
-    suffix = F.concat(
+    return F.concat(
         F.lit(" Vendor: seller"), (n % 97).cast("string"),
         F.lit(" contact ops"), (n % 53).cast("string"), F.lit("@proton.me or mail victim"), s, F.lit("@corp.example"),
         F.lit(" Jabber: im"), (n % 31).cast("string"), F.lit("@exploit.im"),
@@ -35,18 +34,25 @@ def planted(spark, sf, priced=None):
         F.when(n % 2 == 0, F.concat(F.lit("PGP key 0x"), own_key, F.lit(" "))).otherwise(F.lit("")),
         F.when(n % 3 == 0, F.lit("-----BEGIN PGP PUBLIC KEY BLOCK----- cut ")).otherwise(F.lit("")),
     )
+
+
+def planted(spark, sf, priced=None):
+    """Documents with a suffix of labelled identifiers built from the document id; with a price where ``priced`` holds, or everywhere."""
+    n = F.col("doc_id")
+    s = n.cast("string")
     return texts(spark, sf, "documents").select(
-        F.concat(F.lit("http://"), "source", F.lit(".onion/d"), s).alias("page_url"), F.concat("text", suffix).alias("text"), "doc_id", "lang"
+        F.concat(F.lit("http://"), "source", F.lit(".onion/d"), s).alias("page_url"), F.concat("text", suffix(n, priced)).alias("text"), "doc_id", "lang"
     )
 
 
 _ADDR = "[" + ", ".join(f"'{a}'" for a in GOOD_ADDRESSES + BAD_ADDRESSES) + "]"
-PLANTED_SQL = f"""planted AS (
-  SELECT 'http://' || source || '.onion/d' || doc_id AS page_url, doc_id, lang,
-    text || ' Vendor: seller' || (doc_id % 97) || ' contact ops' || (doc_id % 53) || '@proton.me or mail victim' || doc_id || '@corp.example Jabber: im' || (doc_id % 31)
+SUFFIX_SQL = f"""' Vendor: seller' || (doc_id % 97) || ' contact ops' || (doc_id % 53) || '@proton.me or mail victim' || doc_id || '@corp.example Jabber: im' || (doc_id % 31)
     || '@exploit.im eth 0x' || CASE WHEN doc_id % 5 = 0 THEN sha1('k' || doc_id) ELSE sha1(CAST(doc_id AS VARCHAR)) END || ' ref CVE-2024-' || (doc_id % 9000 + 1000) || ' btc ' || {_ADDR}[doc_id % 4 + 1]
     || ' dump user' || doc_id || '@leak.example:pw' || doc_id || 'x end widget' || (doc_id % 11) || ' only $' || (doc_id % 500 + 1) || '.50 today '
-    || CASE WHEN doc_id % 2 = 0 THEN 'PGP key 0x' || sha1('k' || doc_id) || ' ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '-----BEGIN PGP PUBLIC KEY BLOCK----- cut ' ELSE '' END AS text
+    || CASE WHEN doc_id % 2 = 0 THEN 'PGP key 0x' || sha1('k' || doc_id) || ' ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '-----BEGIN PGP PUBLIC KEY BLOCK----- cut ' ELSE '' END"""
+PLANTED_SQL = f"""planted AS (
+  SELECT 'http://' || source || '.onion/d' || doc_id AS page_url, doc_id, lang,
+    text || {SUFFIX_SQL} AS text
   FROM documents)"""
 
 _CONTACT = ", ".join(f"'{d}'" for d in indicators.CONTACT_DOMAINS)
@@ -262,8 +268,11 @@ QUERIES = {
     "gate_decisions": Query(_gate, _GATE_SQL),
     "gate_many_rules": Query(
         _many_rules,
-        """WITH n AS (SELECT doc_id, greatest(doc_id * 3, 0) AS a, doc_id * 5 AS b FROM documents), m AS (SELECT DISTINCT doc_id, p_partkey FROM n JOIN part ON p_partkey <= 700 AND p_partkey IN (a, b))
-        SELECT doc_id, count(p_partkey) > 0 AS blocked, coalesce(string_agg('c' || p_partkey % 7, ',' ORDER BY p_partkey), '') AS categories FROM n LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
+        # Words by Unicode classes, as word boundaries are; a rule's word is the letter and the number of its part.
+        r"""WITH t AS (SELECT doc_id, 'http://' || source || '.onion/' || chr(10) || coalesce(text, '') || ' page d' || (doc_id * 3) || ' and D' || (doc_id * 5) || ' x' AS hay FROM documents),
+        w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(hay), '[^\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+'), lambda x: regexp_full_match(x, 'd[0-9]+'))) AS word FROM t),
+        m AS (SELECT doc_id, p_partkey FROM w JOIN part ON word = 'd' || p_partkey)
+        SELECT doc_id, count(p_partkey) > 0 AS blocked, coalesce(string_agg('c' || p_partkey % 7, ',' ORDER BY p_partkey), '') AS categories FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
     ),
     "parsed_pages": Query(_parsed, f"WITH {PARSED_SQL} SELECT page_id, p.url, title, text, (SELECT count(*) FROM links l WHERE l.url = p.url) AS n_links FROM parsed p"),
     "page_links": Query(_links, f"WITH {PARSED_SQL} SELECT url, position, target, anchor_text, target_host FROM links"),

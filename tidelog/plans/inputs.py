@@ -28,8 +28,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures_of(table(spark, sf_dir, "events"))
 
 
-def captures_of(e: DataFrame) -> DataFrame:
-    """``captures`` of a batch or a stream of events."""
+def captures_of(e: DataFrame, *more) -> DataFrame:
+    """``captures`` of a batch or a stream of events, with ``more`` columns of them."""
     ok = F.col("event_type") != "error"
     host = F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string"), F.lit(".example"))
     return e.select(
@@ -44,6 +44,7 @@ def captures_of(e: DataFrame) -> DataFrame:
         F.when(ok, F.repeat(F.concat("event_type", F.lit(" ")), F.when(F.col("event_type") == "click", 10).otherwise(20))).alias("content"),
         F.when(F.col("event_type") == "click", F.lit(True)).when(F.col("event_type") != "signup", F.lit(False)).alias("body_truncated"),
         F.when(~ok, F.lit("timeout")).alias("error"),
+        *more,
     )
 
 
