@@ -5,9 +5,10 @@ global order.  Order A sorts frequent tokens last and the rest by hash; its pref
 hashes, again with frequent tokens last; a pair of order A must also share a prefix token under both before its sets are
 compared in full.
 
-Large groups of near copies never become pairs.  Equal sets are one node.  Star edges from the most central nodes of each MinHash
-bucket, compared in full, put most near copies into one component at linear cost; the exact join then looks only at pairs of
-nodes from different components, which is all that connectivity needs.
+Large groups of near copies never become pairs.  Equal sets are one node.  Under each of eight further orders, nodes with the same first
+token are joined to the most central ones among them; pairs that met under three of these orders, compared in full, put most near
+copies into one component at linear cost.  The exact join then looks only at pairs of nodes from different components, which is all
+that connectivity needs.
 """
 
 from __future__ import annotations
@@ -253,10 +254,10 @@ def _slot(column):
     return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, bits: int, frequent, twins: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, bits: int, frequent, twins: np.ndarray, orders: tuple[int, ...], scratch: Scratch, name: str) -> DataFrame:
     """Verified edges ``(a, b)`` of candidate ``pairs``; only texts of nodes in a pair are hashed again.
 
-    A pair must share a prefix token under each of ``ORDERS`` before its sets are brought together.
+    A pair must share a prefix token under each of ``orders`` before its sets are brought together.
     """
     spark = docs.sparkSession
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bitmap_a"))
@@ -265,20 +266,21 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.cut(nodes.join(ends, "node", "left_semi").select("node", F.col("min_id").alias("id")), f"{name}-wanted")
     ids = spark.sparkContext.broadcast(_id_bitmap(wanted))
-    heads = [f"head{i}" for i in range(len(ORDERS))]
+    heads = [f"head{i}" for i in range(len(orders))]
     schema = ", ".join(["node long", "tokens binary", *(f"{h} array<int>" for h in heads)])
-    sets = docs.select(_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(_sets(words, percent, bits, ids, frequent, ORDERS, twins), schema)
+    sets = docs.select(_slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(_sets(words, percent, bits, ids, frequent, orders, twins), schema)
     first = F.any_value(F.struct("tokens", *heads)).alias("s")
     sets = scratch.cut(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(first).select("node", "s.*"), f"{name}-sets")
-    left = sets.select(F.col("node").alias("a"), *(F.col(h).alias(f"{h}_a") for h in heads))
-    right = sets.select(F.col("node").alias("b"), *(F.col(h).alias(f"{h}_b") for h in heads))
-    met = pairs.join(left, "a").join(right, "b")
-    for h in heads:
-        met = met.filter(F.arrays_overlap(f"{h}_a", f"{h}_b"))
-    met = scratch.cut(met.select("a", "b"), f"{name}-met")
+    if orders:
+        left = sets.select(F.col("node").alias("a"), *(F.col(h).alias(f"{h}_a") for h in heads))
+        right = sets.select(F.col("node").alias("b"), *(F.col(h).alias(f"{h}_b") for h in heads))
+        met = pairs.join(left, "a").join(right, "b")
+        for h in heads:
+            met = met.filter(F.arrays_overlap(f"{h}_a", f"{h}_b"))
+        pairs = scratch.cut(met.select("a", "b"), f"{name}-met")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    full = met.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -324,14 +326,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .filter("count >= 3")
         .select("a", "b")
     )
-    edges = scratch.cut(_linked(stars, docs, nodes, words, percent, 64, None, twins, scratch, "star"), "star-edges")
+    edges = scratch.cut(_linked(stars, docs, nodes, words, percent, 64, None, twins, (), scratch, "star"), "star-edges")
     roots = scratch.cut(connected_components(edges), "roots")
 
     bits = min(64, max(16, int(profile.agg(F.sum("n")).first()[0] or 1).bit_length() + 8))
     shared = _frequent(docs, words, percent, bits, scratch)
     postings = docs.select("text").mapInArrow(_prefixes(words, percent, bits, shared, twins), "token long, node long, n long, at long, hot boolean")
     candidates = _candidates(postings, roots, nodes, percent, scratch)
-    links = _linked(candidates, docs, nodes, words, percent, bits, shared, twins, scratch, "order")
+    links = _linked(candidates, docs, nodes, words, percent, bits, shared, twins, ORDERS, scratch, "order")
     far = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     far = scratch.cut(far.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far")
     merged = connected_components(far)
