@@ -37,6 +37,25 @@ def test_hot_text_is_divided(spark):
     assert len({r.shard for r in got if r.doc_id < 4000}) > 4
 
 
+def test_groups_stay_whole_while_a_shard_has_room(spark):
+    rng = random.Random(4)
+    rows = [(i, "x" * 70) for i in range(400)] + [(1000 + i, "y" * 50) for i in range(300)] + [(2000 + i, f"{rng.random()} filler {i}") for i in range(4000)]
+    df = spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, key string, part int").repartition(4)
+    got = shard_by_bytes(df, shards=4).collect()
+    check(rows, got, 4, 2500)
+    assert len({r.shard for r in got if r.doc_id < 400}) == 1 and len({r.shard for r in got if 1000 <= r.doc_id < 1300}) == 1
+
+
+def test_the_splitters_place_the_records():
+    sample = [(i, 1.0) for i in range(1000)]
+    cuts, shard_of = sharding._boundaries(sample, [100.0, 0.0, 300.0], 8)
+    begins = [c for c, a, b in zip(cuts, shard_of[:-1], shard_of[1:]) if b > a]
+    assert begins == [250] and shard_of[0] == 0 and shard_of[-1] == 2
+    assert sharding._boundaries([], [1.0, 2.0], 4) == ([], [1])
+    dealt, loads = sharding._deal([(90, 1), (90, 2), (200, 3)], {3: [(i, 2) for i in range(100)]}, 4, 400)
+    assert dealt[1, -1] != dealt[2, -1] and {p for k, p in dealt if k == 3} == set(range(100)) and max(loads) <= 104
+
+
 def test_nulls_repeats_few_rows_and_empty(spark):
     rows = [(None, None), (None, "a"), (3, ""), (3, ""), (4, "x" * 5000)]
     got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
