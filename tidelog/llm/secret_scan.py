@@ -3,13 +3,15 @@
 Candidates are long tokens with a digit, values of any characters assigned to a name for secrets, and passwords in the user part
 of an address.  Each is described by its length, its character classes and the transitions between
 them, how much of it common words of the corpus cover, whether it stands in a path, and the words around it.  A random forest
-trained on labelled findings, and on fixed examples of the last two forms, votes on it.  The trees are unfolded into nested conditional expressions, so scanning and
+trained on labelled findings, and on generated ones of the last two forms, votes on it.  The trees are unfolded into nested conditional expressions, so scanning and
 redacting are one projection per text: no join, no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -37,23 +39,21 @@ KNOWN_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0
 ASSIGNED = r"(?i)(password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?$"
 
 # A name for secrets, its separator and an authentication scheme, then a quoted value or one up to the next blank, of 6 characters or
-# more.  Without quotes it ends before the next field of a list and leaves out the marks that end a sentence.  The counts bound
-# the depth of the matcher.
+# more.  Without quotes it ends before the next field of a list and leaves out the marks that end a sentence; there the count of
+# marks in the value bounds the depth of the matcher.
 SEPARATOR = r"[A-Za-z0-9_\-]{0,40}+[\"']?\s{0,2}(?::?=|:)\s{0,2}(?:(?i:bearer|basic)\s{1,2})?[\"']?"
 VALUE = (
-    r"(?<=\")(?=[^\"\r\n]{6})(?:[^\"\\\r\n]++|\\.){1,500}+(?=\")|(?<=')(?=[^'\r\n]{6})(?:[^'\\\r\n]++|\\.){1,500}+(?=')"
+    r"(?<=\")(?=[^\"\r\n]{6})(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<=')(?=[^'\r\n]{6})(?:[^'\\\r\n]++|\\.)++(?=')"
     r"|(?=[^\s\"'=]\S{5})[^\s&;,<]*(?:(?!</|[&;,][\w.\-]+\s?=)[&;,<][^\s&;,<]*){0,200}(?<![,;.\"'])"
 )
 USER_PART = r"://[^\s:/@\"'<>]*+:"
 NAMED = rf"({KEY_WORDS.replace('(?i)(', '(?i:')}{SEPARATOR})({VALUE})|({USER_PART})([^\s/\"'<>]+)(?=@[A-Za-z0-9\[])"
 # What stands in place of a value.
 PLACEHOLDER = r"(?i)^([*x.\-_]+|<.*>|\$?\{.*\}|\$\w+|%\w+%|\[.*\]|null|none|true|false|undefined|required|optional|changeme|your.*)$"
-# Fixed examples that join the labelled findings: a corpus may hold few of these forms.  They are a fifth of each class at least.
-SECRET_VALUES = (
-    "hunter2", "S3cret!pass", "Correct-Horse9!Battery", "p4ssw0rd", "qwertyuiop", "dragonfly", "Tr0ub4dor&3", "letmein!", "zxcvbnm",
-    "QmzTrwLpKd", "kJhGfDsAqWeRtYuIoP", "abcdefghijklmnopqrstuvwxyz", "a8#kQ!2x", "~Vx9$pL@7", "sunshine", "Blue.Sky/42", "iloveyou", "Wint3r", "9f8e7d6c", "MNBVCXZLKJHGFDSA",
-)
-EMPTY_VALUES = ("********", "<password>", "${PASSWORD}", "{{token}}", "%TOKEN%", "xxxxxxxx", "required", "changeme", "undefined", "your-token")
+# Generated findings that join the labelled ones: a corpus may hold few of these forms.  They are a fifth of each class at least.
+PER_KIND = 24
+PUNCTUATION = "!#@.-_$%&*+?^~"
+FLAGS = ("null", "none", "true", "false", "undefined", "required", "optional", "changeme", "default", "hidden")
 CONTEXTS = (("password=", " "), ("pwd: '", "'"), ('"token": "', '"'), ("api_key = ", "\n"), ("the secret: ", " "))
 
 FEATURES = (
@@ -105,10 +105,21 @@ def feature_columns(value: Column, before: Column, after: Column, words: list[st
 
 
 def with_pieces(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add ``_pieces``: the text cut at its candidates, which have the odd places (counting from 0)."""
-    named = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK + OPEN + CLOSE, "   "), NAMED, f"$1$3{OPEN}$2$4{CLOSE}")
+    """Add ``_pieces``: the text cut at its candidates, which have the odd places (counting from 0).
+
+    A text that holds one of the marks itself is searched with blanks in their place, and its pieces are cut from what it was.
+    """
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    named = F.regexp_replace(F.translate(own, MARK + OPEN + CLOSE, "   "), NAMED, f"$1$3{OPEN}$2$4{CLOSE}")
     marked = F.regexp_replace(named, f"{OPEN}([^{CLOSE}]*+){CLOSE}|{CANDIDATE}", f"{MARK}$1$2{MARK}")
-    return docs.withColumn("_pieces", F.split(marked, MARK, -1))
+    cut = F.split(marked, MARK, -1)
+    restored = F.transform(F.arrays_zip(_starts(cut).alias("at"), F.transform(cut, lambda p: F.length(p)).alias("n")), lambda p: own.substr(p["at"].cast("int") + 1, p["n"]))
+    return docs.withColumn("_pieces", F.when(own.rlike(f"[{MARK}{OPEN}{CLOSE}]"), F.slice(restored, 1, F.size(cut))).otherwise(cut))
+
+
+def _starts(pieces: Column) -> Column:
+    """Places of all pieces, and of the end, in one pass over them."""
+    return F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
 
 
 def _around(at: Column) -> tuple[Column, Column]:
@@ -122,9 +133,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = with_pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "_pieces")
     odd = F.when(F.size("_pieces") > 1, F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2)))
     at = F.explode(odd).alias("at")
-    # Places of all pieces in one pass over them.
-    ends = F.aggregate("_pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    rows = cut.withColumn("_starts", ends).select("doc_id", "_pieces", "_starts", at)
+    rows = cut.withColumn("_starts", _starts(F.col("_pieces"))).select("doc_id", "_pieces", "_starts", at)
     before, after = _around(F.col("at"))
     return rows.select(
         "doc_id",
@@ -199,15 +208,62 @@ def labelled_findings(found: DataFrame, words: list[str] | None = None) -> DataF
     return found.withColumn("label", label).filter(F.col("label").isNotNull())
 
 
-def examples(words: list[str]) -> list[tuple[str, str, str, float]]:
-    """``(value, before, after, label)``: fixed secrets and placeholders in ``CONTEXTS``, and frequent words of the corpus there."""
-    plain = [w for w in words if len(w) >= 6][:10]
-    rows = [(v, b, a, k) for k, vs in ((1.0, SECRET_VALUES), (0.0, (*EMPTY_VALUES, *plain))) for v in vs for b, a in CONTEXTS]
-    return rows + [(v, "postgres://admin:", "@db", 1.0) for v in SECRET_VALUES]
-
-
-def train(findings: DataFrame, words: list[str], scratch: Scratch, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from ``findings (value, before, after, label)``, at most ``sample`` of them, chosen by a hash of their content.
+def _letters(rng: random.Random, low: int, high: int, signs: str) -> str:
+    return "".join(rng.choice(signs) for _ in range(rng.randint(low, high)))
+
+
+def _word(rng: random.Random) -> str:
+    """A pronounceable word that is in no dictionary."""
+    return "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) + rng.choice(["", "n", "r", "x"])
+
+
+# What secrets look like, kind by kind, and what stands in their place.
+SECRET_KINDS = {
+    "hex": lambda rng, words: _letters(rng, 8, 40, "0123456789abcdef"),
+    "base64": lambda rng, words: _letters(rng, 12, 44, string.ascii_letters + string.digits + "+/"),
+    "letters": lambda rng, words: _letters(rng, 8, 30, string.ascii_letters),
+    "mixed": lambda rng, words: _letters(rng, 6, 16, string.ascii_letters + string.digits),
+    "punctuated": lambda rng, words: _letters(rng, 6, 18, string.ascii_letters + string.digits + PUNCTUATION),
+    "word": lambda rng, words: (_word(rng) + _word(rng) if rng.random() < 0.5 else _word(rng))[:14].ljust(6, "e"),
+    "word and digits": lambda rng, words: rng.choice([_word(rng), _word(rng).title()]) + _letters(rng, 2, 4, string.digits),
+    "phrase": lambda rng, words: rng.choice("-._ ").join(rng.choice([w, w.title()]) for w in (_word(rng), _word(rng), _word(rng))) + _letters(rng, 0, 2, string.digits + "!"),
+}
+OTHER_KINDS = {
+    "starred": lambda rng, words: rng.choice("*x.-_") * rng.randint(6, 14),
+    "bracketed": lambda rng, words: rng.choice(["<{}>", "${{{}}}", "{{{{{}}}}}", "%{}%", "[{}]", "${}"]).format(rng.choice(["password", "PASSWORD", "token", "your_key", _word(rng)])),
+    "flag": lambda rng, words: rng.choice([*FLAGS, "your-" + rng.choice(["token", "password", "key"])]),
+    "plain": lambda rng, words: rng.choice([w for w in words if len(w) >= 6] or ["password"]),
+}
+
+# The same for long tokens that no name announces.
+BARE_SECRETS = {
+    "published format": lambda rng, words: rng.choice(["AKIA" + _letters(rng, 16, 16, string.ascii_uppercase + string.digits), "ghp_" + _letters(rng, 36, 40, string.ascii_letters + string.digits), "sk_live_" + _letters(rng, 16, 30, string.ascii_letters + string.digits)]),
+}
+BARE_OTHERS = {
+    "number": lambda rng, words: _letters(rng, 16, 22, string.digits),
+    "long word": lambda rng, words: "".join(_word(rng) for _ in range(4)).ljust(16, "e") + _letters(rng, 1, 2, string.digits),
+    "path": lambda rng, words: rng.choice("/-_").join(_word(rng) for _ in range(5)) + "/" + _letters(rng, 1, 2, string.digits),
+}
+BARE_CONTEXTS = (("some words ", " and more"), ("card ", " paid"), ("see ", ", which"), ("at (", ") there"), ("", ""))
+
+
+def examples(words: list[str], seed: int = 11, per_kind: int = PER_KIND, leave_out: tuple[str, ...] = ()) -> list[tuple[str, str, str, float, str]]:
+    """``(value, before, after, label, kind)``: generated secrets and what is none, announced by a name, in addresses, and in plain text."""
+    rows = []
+    for label, kinds, contexts in ((1.0, SECRET_KINDS, CONTEXTS), (0.0, OTHER_KINDS, CONTEXTS), (1.0, BARE_SECRETS, BARE_CONTEXTS), (0.0, BARE_OTHERS, BARE_CONTEXTS)):
+        for kind, make in kinds.items():
+            rng = random.Random(f"{seed} {kind}")
+            for _ in range(per_kind if kind not in leave_out else 0):
+                value = make(rng, words)
+                rows += [(value, before, after, label, kind) for before, after in contexts]
+                if kind in SECRET_KINDS and " " not in value and "/" not in value:
+                    rows.append((value, "postgres://admin:", "@db", label, kind))
+    return rows
+
+
+def train(findings: DataFrame, words: list[str], scratch: Scratch, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, leave_out: tuple[str, ...] = ()) -> Forest:
+    """A forest from ``findings (value, before, after, label)``, at most ``sample`` of them, chosen by a hash of their content, and
+    generated ones of all kinds but ``leave_out``.
 
     With findings of one class only, or none, every candidate gets that class (none: secret, so nothing is hidden).
     """
@@ -218,7 +274,8 @@ def train(findings: DataFrame, words: list[str], scratch: Scratch, sample: int =
     classes = {r["label"] for r in rows.select("label").distinct().collect()}
     if len(classes) < 2:
         return Forest(words, [classes.pop() if classes else 1.0])
-    fixed = findings.sparkSession.createDataFrame(examples(words), "value string, before string, after string, label double")
+    made = examples(words, leave_out=leave_out)
+    fixed = findings.sparkSession.createDataFrame(made, "value string, before string, after string, label double, kind string")
     for k, n in ((r["label"], r["count"]) for r in rows.groupBy("label").count().collect()):
         same = fixed.filter(F.col("label") == k).select("label", *named)
         times = max(1, n // (4 * same.count()))

@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled texts: words, and stems (word beginnings), that occur in toxic texts and hardly in others.
 Every word of a text is looked up in a trie of these entries by an automaton that accepts strings within one edit; a stem
-accepts any ending.  Each hit is scored in a window of words around it: inside quotation marks, after a word that introduces
+accepts any ending, after itself or after what is within one edit of it.  Each hit is scored in a window of words around it: inside quotation marks, after a word that introduces
 speech, or plain.  A logistic model over the hits of a text gives its score.  Labels are used only to learn.
 """
 
@@ -84,7 +84,7 @@ class Automaton:
 
 
 def lookup(trie: Trie, word: str) -> tuple[str, float] | None:
-    """Best entry for a word: ``("word" | "stem" | "fuzzy", weight)``."""
+    """Best entry for a word: ``("word" | "stem" | "fuzzy" | "near", weight)``, ``near`` being a misspelled stem with any ending."""
     node, stem = trie, None
     for letter in word:
         node = node.next.get(letter)
@@ -100,20 +100,29 @@ def lookup(trie: Trie, word: str) -> tuple[str, float] | None:
     if len(word) < FUZZY_FROM - 1:
         return None
     automaton = Automaton(word)
-    best = None
+    best = near = None
     todo = [(trie, automaton.start, 0)]
     while todo:
         node, state, depth = todo.pop()
         if node.word is not None and depth >= FUZZY_FROM and automaton.edits(state) is not None and (best is None or node.word > best):
             best = node.word
+        # A state that is alive has read a beginning of the word with one edit at most.
+        if node.stem is not None and depth >= FUZZY_FROM and (near is None or node.stem > near):
+            near = node.stem
         for letter, child in node.next.items():
             after = automaton.step(state, letter)
             if after[0] | after[1]:
                 todo.append((child, after, depth + 1))
-    return None if best is None else ("fuzzy", best)
+    return ("fuzzy", best) if best is not None else ("near", near) if near is not None else None
 
 
-FEATURES = ("plain_word", "plain_stem", "plain_fuzzy", "quoted", "reported", "share")
+def _shortened(word: str) -> set[str]:
+    """The word and what is left of it without one letter."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+_KINDS = ("word", "stem", "fuzzy", "near")
+FEATURES = ("plain_word", "plain_stem", "plain_fuzzy", "plain_near", "quoted", "reported", "share")
 
 
 class Scorer:
@@ -127,19 +136,31 @@ class Scorer:
         self.head_sizes, self.tail_sizes = ({len(x) for x in y} for y in (self.heads, self.tails))
         self.exact = set(words) | set(stems)
         self.stem_sizes = {len(s) for s in stems}
+        # Two strings within one edit have a shortening in common; this spares most words the walk.
+        long = [s for s in stems if len(s) >= FUZZY_FROM]
+        self.near = {x for s in long for x in _shortened(s)}
+        self.near_sizes = sorted({n for s in long for n in (len(s) - 1, len(s), len(s) + 1)})
         self.known: dict[str, tuple[str, float] | None] = {}
 
     def match(self, token: str) -> tuple[str, float] | None:
         if token in self.known:
             return self.known[token]
-        word = token.translate(LOOKALIKE)
-        near = any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes) or any(word[:n] in self.exact for n in self.stem_sizes)
-        found = lookup(self.trie, word) if near or word in self.exact else None
+        # A sign at the end may be a letter or decoration: the token is tried with and without it.
+        bare = token.rstrip("$@")
+        found = self._found(token.translate(LOOKALIKE))
+        if bare and bare != token and (other := self._found(bare.translate(LOOKALIKE))) is not None and (found is None or _KINDS.index(other[0]) < _KINDS.index(found[0])):
+            found = other
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
         self.known[token] = found
         return found
 
+    def _found(self, word: str) -> tuple[str, float] | None:
+        near = any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes) or any(word[:n] in self.exact for n in self.stem_sizes)
+        if near or word in self.exact or any(not self.near.isdisjoint(_shortened(word[:n])) for n in self.near_sizes if n <= len(word)):
+            return lookup(self.trie, word)
+        return None
+
     def features(self, text: str | None) -> list[float]:
         tokens = _TOKEN.findall((text or "").lower())
         hits = [i for i, t in enumerate(tokens) if self.match(t) is not None]
