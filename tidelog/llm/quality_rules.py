@@ -198,12 +198,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that pass the base rules and the learned list, with the columns of ``docs``."""
+    """Rows of ``docs`` that pass the base rules and the learned list, with the columns of ``docs``.
+
+    Rows and their statistics are stored together, so each text is measured once and judged from the stored table.
+    """
     scratch = Scratch(docs.sparkSession)
-    stats = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
-    rules = learn_rules(labelled_statistics(scratch.cut(stats, "statistics"), labels), scratch)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = with_statistics(docs.select(whole, F.col(text_col).alias("text")), "text")
-    judged = judged.select("row", (~F.col("base_failed") & verdict(rules).isNull()).alias("kept"), F.monotonically_increasing_id().alias("seen"))
-    # The row number keeps the optimizer from pushing the filter below the statistics, where it would compute them again and again.
-    return judged.filter(F.col("kept") & (F.col("seen") >= 0)).select("row.*")
+    measured = with_statistics(docs.select(whole, F.col(f"`{text_col}`").alias("text")), "text").drop("text")
+    stored = scratch.cut(measured, "measured")
+    rules = learn_rules(labelled_statistics(stored.withColumn("doc_id", F.col(f"row.`{id_col}`")), labels), scratch)
+    return stored.filter(~F.col("base_failed") & verdict(rules).isNull()).select("row.*")
