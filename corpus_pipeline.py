@@ -19,44 +19,70 @@ from tidelog.llm.secret_scan import redact
 from tidelog.session import Scratch
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """Number the rows of a stored table: the same numbers in every scan of the same files."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many marks as it takes to be no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Add the place of every row of a stored table, file and row in it: the same in every scan, however the files are split."""
+    names = [_free(docs, "_file"), _free(docs, "_at")]
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned decision list reject."""
+    """Documents that neither the base rules nor the learned decision list reject.
+
+    Null, empty and short texts fail the base rules; repeated rows are judged alike and all kept; an empty table stays empty.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; documents without words are groups of their own."""
-    numbered = _with_row(docs)
-    groups = jaccard_components(numbered.select("_row", "doc_id", "text"), carry=("_row",))
-    alone = groups.filter("n_shingles = 0").select("_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
-    kept = groups.filter("n_shingles > 0").groupBy("component_key").agg(first.alias("first")).select("first._row")
-    # Kept rows are as many as the result; both sides are spread by the row number.
-    return numbered.join(kept.unionByName(alone), "_row", "left_semi").select(*docs.columns)
+    """The document of smallest id of each group of near copies.
+
+    Documents without words (null and empty texts too) are groups of their own.  Of repeated rows one stays; a row without an id stays
+    only where its group has no id at all.  ``docs`` must be read from stored files; an empty table stays empty.
+    """
+    placed, place = _placed(docs)
+    groups = jaccard_components(placed.select(*place, "doc_id", "text"), carry=tuple(place))
+    alone = groups.filter("n_shingles = 0").select(*place)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *place))
+    kept = groups.filter("n_shingles > 0").groupBy("component_key").agg(first.alias("first")).select(*(f"first.{c}" for c in place))
+    # Kept rows are as many as the result; both sides are spread by the place.
+    return placed.join(kept.unionByName(alone), place, "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null, empty and short texts hold none unless they are an item as a whole; repeated rows go or stay together, and rows without an id
+    by their text; an empty table stays empty.
+    """
     found = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = Scratch(spark).cut(found.select("doc_id", "text_key").distinct())
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_key"] == found["text_key"])
+    key = _free(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed[key] == found["text_key"])
     return keyed.join(found, same, "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked; ``n_chars`` follows the text."""
+    """Documents with their secrets masked; ``n_chars`` follows the text.
+
+    Null and empty texts and texts without a secret stay as they are, repeated rows alike; an empty table stays empty.
+    """
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, n_tokens, ids, text_sha256)``: ids as they are in the rank file, digest of the decoded bytes."""
+    """``(doc_id, lang, source, n_tokens, ids, text_sha256)``: ids as they are in the rank file, digest of the decoded bytes.
+
+    A null or empty text has no ids; repeated rows and rows without an id give a row each; an empty table stays empty.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_checked(docs, path, public_tokenizers.PATTERN, ("doc_id", "lang", "source"))
 
