@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.identity import base58check_valid, pair_key, token_bucket, uuid5
-from tidelog.operators.gate import gate, storable
+from tidelog.operators.gate import gate, gate_by_table, required_literal, storable
 from tidelog.operators.indicators import extract_indicators
 from tidelog.operators.parse import normalize_links, parse_pages
 from tidelog.operators.records import annotation_entities, extract_credentials, extract_listings
@@ -215,3 +215,28 @@ def test_many_rules_read_all_rules_and_whole_texts(spark, tmp_path):
     rules = spark.createDataFrame(mixed, "position int, category string, pattern string")
     page = spark.createDataFrame([("u", "a FOO \u212a\u0131\u017fs", "text/html", "0")], "url string, text string, content_type string, content_sha256 string")
     assert gate(page, rules, spark.createDataFrame([], "sha256 string")).first()["decision"]["categories"] == ["a", "b", "d"]
+    for count in (99, 100, 101):
+        some = rules.filter(F.col("position") <= count)
+        both = [f(page, some, spark.createDataFrame([], "sha256 string")).first()["decision"]["categories"] for f in (gate, gate_by_table)]
+        assert both == [["a", "b", "d"]] * 2
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("plain Words", "plain words"), (r"\bdrug\s+store\b", "store"), ("colou?r", "colo"), ("(?:abc)+def", "abc"), ("abc|abd", None), ("a.c", None), ("[abc]defg", "defg"), ("x{2,}yyy", "yyy"),
+        ("(one)two", "onetwo"), (r"\d{5,}", None), (r"\Qab.c\E", None), ("(?i)abc", None), ("[a[bc]d]efgh", None), (r"\p{L}abc", None), ("ab", None), ("(", None), (r"a\.bcd", "bcd"), ("abc*", None), ("éabcd", "abcd"), (r"foo(?=bar)", None), ("abc$def", "abc"),
+    ],
+)
+def test_required_literal(pattern, want):
+    assert required_literal(pattern) == want
+
+
+def test_gate_by_table_equals_gate(spark):
+    texts = ["a FOO kiss", "K\u0131\u017fS", None, "drug  store 12345", "", "colour colr", "nothing"]
+    pages = spark.createDataFrame([(f"http://h/{i}", t, "image/png" if i == 5 else None, f"{i:02x}", "kept") for i, t in enumerate(texts * 2)], "url string, text string, content_type string, content_sha256 string, literal string")
+    rules = [(1, "a", "kiss"), (2, "b", r"\bdrug\s+store\b"), (3, None, "foo"), (4, "n", r"\d{5}"), (5, "c", "colou?r"), (5, "c2", "colou?r"), (6, "h", "http://h/1"), (7, "z", "absent")]
+    rules = spark.createDataFrame(rules, "position int, category string, pattern string")
+    bad = spark.createDataFrame([("03",), ("03",)], "sha256 string")
+    for some in (rules, rules.limit(0)):
+        assert sorted(map(str, gate_by_table(pages, some, bad).collect())) == sorted(map(str, gate(pages, some, bad).collect()))

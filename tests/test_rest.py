@@ -199,12 +199,12 @@ def test_content_alerts_merge_complete_bodies(spark):
     assert sorted(r["page_url"] for r in al.content_alerts(lists, matches, pages, seen).filter("watchlist_id = 1").collect()) == ["u3"]
 
 
-def test_keyword_passes_give_the_same_matches(spark, monkeypatch):
-    pages = spark.createDataFrame([(f"u{i}", "h", f"word{i % 5} text") for i in range(20)], "url STRING, hostname STRING, content STRING")
-    lists = spark.createDataFrame([(i, "k", "keyword", f"WORD{i}", None, True) for i in range(6)], WATCHLISTS)
-    inline = sorted(map(tuple, al._keyword_matches(lists, pages).collect()))
-    monkeypatch.setattr(al, "KEYWORDS_PER_PASS", 2)
-    assert sorted(map(tuple, al._keyword_matches(lists, pages).collect())) == inline and len(inline) == 20
+def test_keywords_of_every_length(spark):
+    pages = spark.createDataFrame([(f"u{i}", "h", t, "T") for i, t in enumerate(["Word text", None, "", "a", "é\U0001f600x wo", "sword"])], "url STRING, hostname STRING, content STRING, title STRING")
+    lists = [(1, "WORD"), (2, "é\U0001f600X"), (3, "wo"), (4, "a"), (5, ""), (6, "absent"), (7, "word"), (8, None), (9, "t\x00x")]
+    df = spark.createDataFrame([(i, "k", "keyword", v, None, True) for i, v in lists], WATCHLISTS)
+    want = sorted((i, r["url"]) for r in pages.collect() for i, v in lists if v is not None and v.lower() in f"{(r['content'] or '').lower()}\x00t")
+    assert sorted(map(tuple, al._keyword_matches(df, pages).collect())) == want
 
 
 # --- runs, versions, audit ---

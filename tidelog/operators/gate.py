@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+import string
+import warnings
 from collections.abc import Iterator
+from re import _constants as re_constants
+from re import _parser as re_parser
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schemas import MEDIA_PREFIXES
+from ..session import Scratch
+from .literals import literal_matches
 
 # Rules tested by one expression; longer lists take several expressions in the same projection chain.
 RULES_PER_BLOCK = 100
@@ -18,6 +25,7 @@ RULES_PER_BLOCK = 100
 _PLAIN = re.compile(r"(?:\\b)?([A-Za-z0-9_ ]+)(?:\\b)?")
 # Letters that match an ASCII letter whatever the case, besides its own two forms.
 _FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
+_FACTOR_CHARS = frozenset(string.ascii_letters + string.digits + " _-")
 _NO_CATEGORIES = "cast(array() as array<string>)"
 
 
@@ -100,6 +108,77 @@ def gate(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, store_media:
     return decided.drop("_bad", "_hay", "_matched", *blocks)
 
 
+def required_literal(pattern: str) -> str | None:
+    """The longest run of ASCII letters, digits, blanks, ``_`` and ``-`` that every match of ``pattern`` contains, in lower case.
+
+    None where there is no run of three, or where the pattern uses what Python's parser reads in another way than Java's.
+    """
+    if re.search(r"\(\?(?!:)|\[[^\]]*\[|&&|\\[QEzZGRXhHvVpPNxuck0-9]", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            parsed = re_parser.parse(pattern)
+    except (re.error, Warning, RecursionError, OverflowError):
+        return None
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            if op is re_constants.LITERAL and chr(value) in _FACTOR_CHARS:
+                runs[-1] += chr(value).lower()
+            elif op is re_constants.SUBPATTERN:
+                walk(value[3])
+            elif op is re_constants.AT and value in (re_constants.AT_BOUNDARY, re_constants.AT_NON_BOUNDARY):
+                continue
+            else:
+                runs.append("")
+                if op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT, re_constants.POSSESSIVE_REPEAT) and value[0] >= 1:
+                    walk(value[2])  # one of the repeats, apart from what stands around them
+                    runs.append("")
+
+    walk(parsed)
+    longest = max(runs, key=len)
+    return longest if len(longest) >= 3 else None
+
+
+@F.pandas_udf(StringType())
+def _required(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for patterns in batches:
+        yield pd.Series([None if p is None else required_literal(p) for p in patterns], dtype="object")
+
+
+def gate_by_table(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, store_media: bool = False) -> DataFrame:
+    """``gate`` for stored pages and a table of rules of any number.
+
+    A rule that needs some characters in every match is looked up by them, and its pattern is tried on the pages that hold them.  The
+    rules that need none are the only ones listed by the driver and tried on every page.
+    """
+    scratch = Scratch(pages.sparkSession, keep=8)
+    haystack = F.concat("url", F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = scratch.cut(pages.withColumns({"_row": F.monotonically_increasing_id(), "_hay": haystack}), "pages")
+    listed = scratch.cut(rules.select(F.monotonically_increasing_id().alias("literal_id"), "position", "category", "pattern", _required.asNondeterministic()("pattern").alias("literal")), "rules")
+    texts = rows.select(F.col("_row").alias("text_id"), F.lower(F.translate("_hay", *_FOLDED)).alias("text"), "_hay")
+    known = listed.filter("literal IS NOT NULL")
+    hit = literal_matches(texts, known.select("literal_id", "literal", "pattern"), scratch, F.rlike("_hay", F.concat(F.lit("(?iU)"), F.col("pattern"))))
+    found = hit.join(known.select("literal_id", "position", "category"), "literal_id").select(F.col("text_id").alias("_row"), "position", "literal_id", "category")
+    # One row a page: a page meets each rule at most once.
+    by_page = scratch.cut(found.groupBy("_row").agg(F.collect_list(F.struct("position", F.col("literal_id").alias("at"), "category")).alias("_by_literal")), "found")
+    rest = listed.filter("literal IS NULL AND pattern IS NOT NULL").orderBy("position", "literal_id").collect()
+    tried, blocks = rows, []
+    for k in range(0, len(rest), RULES_PER_BLOCK):
+        hits = [F.when(F.col("_hay").rlike("(?iU)" + r["pattern"]), F.struct(F.lit(r["position"]).alias("position"), F.lit(r["literal_id"]).alias("at"), F.lit(r["category"]).alias("category"))) for r in rest[k : k + RULES_PER_BLOCK]]
+        blocks.append(f"_block{k}")
+        tried = tried.withColumn(blocks[-1], F.array_compact(F.array(*hits)))
+    none = F.expr(f"cast(array() as {by_page.schema['_by_literal'].dataType.simpleString()})")
+    joined = tried.join(by_page, "_row", "left")
+    in_order = F.array_sort(F.concat(F.coalesce("_by_literal", none), *blocks))
+    joined = joined.withColumn("_matched", F.filter(F.transform(in_order, lambda r: r["category"]), lambda c: c.isNotNull()))
+    bad = known_bad.select(F.lower("sha256").alias("_sha")).distinct().withColumn("_known", F.lit(True))
+    marked = joined.join(bad, F.lower("content_sha256") == F.col("_sha"), "left").withColumn("_bad", F.coalesce("_known", F.lit(False)))
+    return _decide(marked, F.col("_matched"), store_media).select(*pages.columns, "decision")
+
+
 def storable(gated: DataFrame) -> DataFrame:
     """Rows as they may be written: the text survives only where the decision allows it."""
     return gated.withColumns(

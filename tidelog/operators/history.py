@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import audit_digest
 from ..functions.ordered import id_chunk, previous_row, top_rows
 from ..functions.text import humanize, seconds_between
+from ..session import Scratch
 
 STALL_THRESHOLD = 2
 RECENT_PASSES = 10
@@ -90,6 +91,22 @@ def purge(tables: dict[str, DataFrame], state: DataFrame, as_of, retention_days:
     return kept
 
 
+def purge_stored(tables, names: Sequence[str], state: DataFrame, as_of, retention_days: int) -> tuple[DataFrame, DataFrame]:
+    """``purge`` as storage work on ``PageTables``: every dependent table loses the rows of expired pages, bucket by bucket.
+
+    Returns the page table that is left and a manifest ``(name, removed)``.  The page table goes last: a job that is lost before finds
+    the same pages expired again.  A retention of no days keeps everything.
+    """
+    spark = state.sparkSession
+    if retention_days <= 0:
+        return state, spark.createDataFrame([(name, 0) for name in [*names, "pages"]], "name STRING, removed BIGINT")
+    gone = Scratch(spark).cut(expired_pages(state, as_of, retention_days), "expired")
+    pages = gone.select(F.col("url").alias("page_url"))
+    removed = [(name, tables.replace(name, pages)["removed"]) for name in names]
+    manifest = spark.createDataFrame([*removed, ("pages", gone.count())], "name STRING, removed BIGINT")
+    return state.join(gone, "url", "left_anti"), manifest
+
+
 def purge_runs(runs: DataFrame, as_of, keep_days: int = 30) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(keep_days)} DAYS")
     return runs.filter(~F.coalesce(F.col("started_at") < cutoff, F.lit(False)))

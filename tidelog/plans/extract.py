@@ -166,7 +166,7 @@ def _many_rules(spark, sf):
         "doc_id", F.concat(F.lit("http://"), "source", F.lit(".onion/")).alias("url"), F.concat(F.coalesce("text", F.lit("")), F.lit(" page d"), (F.col("doc_id") * 3).cast("string"), F.lit(" and D"), (F.col("doc_id") * 5).cast("string"), F.lit(" x")).alias("text"),
         F.lit("text/html").alias("content_type"), F.lit("none").alias("content_sha256"),
     )
-    found = gate.gate(rows, parts, spark.createDataFrame([], "sha256 STRING"))
+    found = gate.gate_by_table(rows, parts, spark.createDataFrame([], "sha256 STRING"))
     return found.select("doc_id", "decision.blocked", F.array_join("decision.categories", ",").alias("categories"))
 
 

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_micros
 from ..operators import search
+from ..operators.text_index import TextIndex
+from ..session import Scratch
 from . import Query
 from .extract import INDICATORS_SQL, planted, planted_indicators
 from .inputs import table
 
 
+KEPT_PHRASES = ("End widget3 only", "rewritten widget9 only", "only once", "vendor", "widget5 only")
+
+
 def stored_documents(spark, sf):
     """Planted documents as stored pages, captured one hour apart."""
     d = planted(spark, sf)
@@ -54,6 +61,22 @@ def _phrase_index(spark, sf):
     return search.phrase_lookup(search.token_index(stored_documents(spark, sf)), "End widget3 only")
 
 
+def _index_upkeep(spark, sf):
+    """An index over every document, then two updates: texts replaced, blocked, removed and brought back; before and after merging."""
+    pages = stored_documents(spark, sf).withColumn("n", F.regexp_extract("title", "([0-9]+)", 1).cast("bigint"))
+    index = TextIndex(spark, f"{Scratch(spark).root}/index", 16)
+    n = F.col("n")
+    index.update(pages.filter(n % 10 != 9))
+    other = F.concat(F.lit("rewritten widget9 only once "), n.cast("string"))
+    index.update(pages.filter((n % 5 == 1) | (n % 10 == 9)).withColumn("content", F.when(n % 5 == 1, other).otherwise(F.col("content"))), pages.filter(n % 7 == 2))
+    index.update(pages.filter((n % 15 == 1) | (n % 11 == 4)).withColumn("blocked", F.col("blocked") | (n % 11 == 4)))
+    found = [index.lookup(phrase).select(F.lit(phrase).alias("phrase"), F.lit("segments").alias("state"), "url") for phrase in KEPT_PHRASES]
+    before = Scratch(spark).cut(reduce(DataFrame.unionByName, found), "before")
+    index.merge()
+    after = [index.lookup(phrase).select(F.lit(phrase).alias("phrase"), F.lit("merged").alias("state"), "url") for phrase in KEPT_PHRASES]
+    return reduce(DataFrame.unionByName, after, before)
+
+
 def _index(spark, sf):
     """Size of the inverted index per page."""
     idx = search.token_index(stored_documents(spark, sf))
@@ -141,6 +164,15 @@ QUERIES = {
         rf"""WITH {STORED_SQL}, w AS (SELECT *, ' ' || trim(regexp_replace(lower(title || ' ' || content), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS f FROM stored)
         SELECT url FROM w WHERE NOT blocked AND contains(f, ' end widget3 only ')""",
     ),
+    "phrase_index_incremental": Query(
+        _index_upkeep,
+        rf"""WITH {STORED_SQL}, k AS (SELECT *, CAST(regexp_extract(title, '([0-9]+)', 1) AS BIGINT) AS n FROM stored),
+        kept AS (SELECT url, title, CASE WHEN n % 5 = 1 AND n % 15 <> 1 THEN 'rewritten widget9 only once ' || n ELSE content END AS content FROM k
+          WHERE NOT blocked AND n % 11 <> 4 AND (n % 5 = 1 OR n % 10 = 9 OR n % 7 <> 2)),
+        w AS (SELECT url, ' ' || trim(regexp_replace(lower(title || ' ' || content), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS f FROM kept)
+        SELECT phrase, state, url FROM w, (SELECT unnest({list(KEPT_PHRASES)!r}) AS phrase), (SELECT unnest(['segments', 'merged']) AS state)
+        WHERE contains(f, ' ' || lower(phrase) || ' ')""",
+    ),
     "token_index": Query(
         _index,
         rf"""WITH {STORED_SQL}, w AS (SELECT url, unnest(string_split(trim(regexp_replace(lower(title || ' ' || content), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS t FROM stored WHERE NOT blocked)

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from ..functions.text import humanize, iso_micros
 from ..operators import history as hi
 from ..operators import timeline as tl
+from ..operators.indicators import extract_indicators
+from ..operators.records import extract_credentials, extract_listings
+from ..session import Scratch
+from ..sources.page_tables import PageTables
 from . import Query
 from .alerts import VERSIONS_SQL, versions
+from .extract import CREDENTIALS_SQL, INDICATORS_SQL, LISTINGS_SQL, PLANTED_SQL, planted
 from .inputs import CAPTURES_SQL, EVENTS_SQL, STATE_SQL, annotated, state, table
+from .lookup import stored_documents
 from .state import EVENT_INDICATORS_SQL, event_indicators
 
+PURGE_AS_OF = "2024-03-10 00:00:00"
 AS_OF = "2002-01-01 00:00:00"
 KEEP = 5
 
@@ -126,6 +133,30 @@ def _purged(spark, sf):
     return pages.unionByName(kept["indicators"].agg(F.count(F.lit(1)).alias("rows")).select(F.lit("indicators").alias("name"), "rows"))
 
 
+def _purged_storage(spark, sf):
+    """All six tables that hang on a page, written, purged of pages older than sixty days, and read back."""
+    docs = stored_documents(spark, sf).withColumn("created_at", F.col("content_captured_at"))
+    n, url = F.regexp_extract("title", "([0-9]+)", 1).cast("bigint"), F.col("url").alias("page_url")
+    body = planted(spark, sf)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), "label")
+    held = {
+        "indicators": extract_indicators(body).select("page_url", "ioc_type", "value"),
+        "credentials": extract_credentials(body),
+        "listings": extract_listings(body).select("page_url", "price", "currency"),
+        "embeddings": docs.select(url, n.alias("n")).join(vectors, "n").select("page_url", "label"),
+        "alerts": docs.select(url, n.alias("alert_id")),
+        "versions": docs.select(url, F.explode(F.array(F.lit(1), F.lit(2))).alias("version_id"), "content_sha256"),
+    }
+    tables = PageTables(spark, f"{Scratch(spark).root}/kept", 16)
+    for name, rows in held.items():
+        tables.create(name, rows)
+    left, manifest = hi.purge_stored(tables, list(held), docs, PURGE_AS_OF, 60)
+    rows = left.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("url").alias("pages")).withColumn("name", F.lit("pages"))
+    for name in held:
+        rows = rows.unionByName(tables.read(name).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("page_url").alias("pages")).withColumn("name", F.lit(name)))
+    return manifest.join(rows, "name")
+
+
 def _events_per_run(spark, sf):
     """Timeline events per daily pass."""
     t = tl.page_events(annotated(spark, sf)).withColumn("run_id", F.date_format("occurred_at", "yyyy-MM-dd"))
@@ -139,7 +170,15 @@ def _listing(spark, sf):
 
 
 
+_PURGED = f"""WITH {INDICATORS_SQL}{CREDENTIALS_SQL[len(PLANTED_SQL) :]}{LISTINGS_SQL[len(PLANTED_SQL) :]},
+held AS (SELECT 'indicators' AS name, page_url FROM indicators UNION ALL SELECT 'credentials', page_url FROM creds UNION ALL SELECT 'listings', page_url FROM listings
+  UNION ALL SELECT 'embeddings', page_url FROM embeddings JOIN planted ON vec_id = doc_id UNION ALL SELECT 'alerts', page_url FROM planted
+  UNION ALL SELECT 'versions', page_url FROM planted, range(2) UNION ALL SELECT 'pages', page_url FROM planted),
+aged AS (SELECT name, page_url, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) < TIMESTAMP '{PURGE_AS_OF}' - INTERVAL 60 DAY AS gone FROM held JOIN planted USING (page_url))
+SELECT name, count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone) AS rows, count(DISTINCT page_url) FILTER (NOT gone) AS pages FROM aged GROUP BY name"""
+
 QUERIES = {
+    "retention_storage": Query(_purged_storage, _PURGED),
     "run_listing": Query(
         _list_runs,
         f"""WITH {RUNS_SQL} SELECT run_id, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at, round_even((epoch_us(finished_at) - epoch_us(runs.started_at)) / 1000000.0::DOUBLE, 1) AS duration_s, status, pages_crawled,
