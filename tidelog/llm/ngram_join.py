@@ -30,6 +30,8 @@ ORDERS = (101, 102)
 PIVOTS = 6
 # A token in more windows than this is frequent: it goes to the end of every order.
 FREQUENT = 32
+# In buckets of more nodes a pair must pass a bitmap, and be at its first common token, before it becomes a row.
+SCREENED = 6
 # Most frequent tokens that are broadcast (8 bytes each); the threshold rises until they fit.
 MAX_FREQUENT = 1 << 20
 # Bits of the bitmap that bounds the overlap of two sets before they are compared.
@@ -382,15 +384,15 @@ def _candidates(postings: DataFrame, roots: DataFrame, nodes: DataFrame, percent
     near = scratch.cut(shared.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")).distinct(), "near")
     mixed = near.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("token", "size")
     near = near.join(mixed, "token")
-    # In large buckets a pair must also pass a folded bitmap before it becomes a row.
+    # In large buckets a pair must also pass a bitmap before it becomes a row: the whole one in the largest, else a folded one.
     folded = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(BITMAP // 64 - 8), F.lit(8)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.get("bitmap", j + k))))
-    large = near.filter(F.col("size") > FREQUENT).join(nodes.select("node", "bitmap"), "node").select(*columns, "root", folded.alias("bitmap"))
+    large = near.filter(F.col("size") > SCREENED).join(nodes.select("node", "bitmap"), "node").select(*columns, "root", F.when(F.col("size") > FREQUENT, F.col("bitmap")).otherwise(folded).alias("bitmap"))
     # They also know the tokens before theirs: a pair is made at its first common token, not at each.
     listed = near.join(large.select("node").distinct(), "node").groupBy("node").agg(F.collect_list(F.struct("at", "token")).alias("own"))
     before = F.transform(F.filter("own", lambda x: x["at"] < F.col("at")), lambda x: x["token"])
     large = large.join(listed, "node").withColumn("before", before).drop("own")
     empty = F.lit(None).cast("array<bigint>")
-    small = near.filter(F.col("size") <= FREQUENT).select(*columns, "root", empty.alias("bitmap"), empty.alias("before"))
+    small = near.filter(F.col("size") <= SCREENED).select(*columns, "root", empty.alias("bitmap"), empty.alias("before"))
     near = scratch.cut(large.unionByName(small), "mixed")
     fields = ("node", ""), ("n", "n"), ("at", "i"), ("root", "r"), ("bitmap", "bitmap_"), ("before", "before_")
     a, b = (near.select("token", *(F.col(c).alias(f"{short}{x}") for c, short in fields)) for x in "ab")
