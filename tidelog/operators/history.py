@@ -145,6 +145,7 @@ def close_abandoned(runs: DataFrame, as_of, stale_after_s: int = 300) -> DataFra
     now = F.lit(as_of).cast("timestamp")
     dead = (F.col("status") == "running") & (F.coalesce("heartbeat_at", "started_at") < now - F.expr(f"INTERVAL {int(stale_after_s)} SECONDS"))
     dead = F.coalesce(dead, F.lit(False))
+    # Fixed value: the error text is output that readers of the run table match on.
     return runs.withColumn("_dead", dead).withColumns(
         {
             "status": F.when(F.col("_dead"), "abandoned").otherwise(F.col("status")),

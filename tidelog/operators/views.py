@@ -178,6 +178,16 @@ def collection_quality(state: DataFrame, as_of, fresh_days: int = 7) -> DataFram
     )
 
 
+def copied_bodies(pages: DataFrame) -> DataFrame:
+    """``(content_sha256, copies, url, hostname)``: every source of every complete body seen on more than one page.
+
+    ``duplicate_groups`` is its short list.  Counts join by hash, so a body with very many sources is spread by adaptive execution.
+    """
+    eligible = pages.filter(F.coalesce(~F.col("blocked"), F.lit(False)) & complete_body())
+    counts = eligible.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return eligible.select("content_sha256", "url", "hostname").join(counts, "content_sha256").select("content_sha256", "copies", "url", "hostname")
+
+
 def duplicate_groups(pages: DataFrame, max_sources: int = 100) -> DataFrame:
     """Complete bodies seen on more than one page, with up to ``max_sources`` sources in url order.
 

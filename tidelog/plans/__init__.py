@@ -14,7 +14,7 @@ class Query(NamedTuple):
     sql: str | None
 
 
-_MODULES = ("history", "state", "extract", "graph", "frontier", "lookup", "alerts", "operations", "exports", "records", "live", "reprocess")
+_MODULES = ("history", "state", "extract", "graph", "frontier", "lookup", "alerts", "operations", "exports", "records", "live", "reprocess", "vectors")
 
 
 def registry() -> dict[str, Query]:

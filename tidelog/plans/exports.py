@@ -73,6 +73,31 @@ def _stix_bundle(spark, sf):
     return objects.groupBy("type").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("ids"))
 
 
+def _bundle_id(spark, sf):
+    """Id of a bundle of all vulnerability objects: one object for a CVE number, of which there are at most nine thousand."""
+    return stix.bundle_id(stix.vulnerability_objects(_sightings(spark, sf), PRODUCER))
+
+
+def _armoured(spark, sf):
+    """Pages with a version 4 key in armour, old and new packet headers by turns; every fifth key is of another version."""
+    n = F.col("doc_id")
+    body = F.concat(F.when(n % 5 == 4, "03").otherwise("04"), F.lpad(F.hex(n), 8, "0"), F.lit("01"), F.sha2(F.concat(F.lit("key"), n.cast("string")), 256))
+    size = F.lpad(F.hex((F.length(body) / 2).cast("bigint")), 2, "0")
+    packet = F.when(n % 2 == 0, F.concat(F.lit("9900"), size, body)).otherwise(F.concat(F.lit("C6"), size, body))
+    armour = F.concat(F.lit("-----BEGIN PGP PUBLIC KEY BLOCK-----\nVersion: x 1\n\n"), F.base64(F.unhex(packet)), F.lit("\n=abcd\n-----END PGP PUBLIC KEY BLOCK-----\n"))
+    pages = table(spark, sf, "documents").select(n.cast("string").alias("page_url"), F.concat(F.lit("mine:\n"), armour, F.when(n % 7 == 0, armour).otherwise("")).alias("text"))
+    return extract_indicators(pages).select(F.col("page_url").cast("bigint").alias("doc_id"), "ioc_type", "value")
+
+
+def _members(spark, sf):
+    """Files of the manifest above against the documents that have a body: what only one of the two names."""
+    listed = evidence.artefacts(_captured(spark, sf)).filter(F.col("name").endswith(".body")).select("name")
+    n = F.col("doc_id")
+    url = F.concat(F.lit("http://"), "source", F.lit(".onion/d"), n.cast("string"))
+    wanted = table(spark, sf, "documents").filter((n % 3 != 0) & (n % 2 == 0)).select(F.concat(F.lit("pages/"), F.sha2(url, 256), F.lit(".body")).alias("name"))
+    return evidence.same_members(listed, wanted)
+
+
 def _captured(spark, sf):
     """Stored documents with their bodies: every third has no body, every seventh body was altered."""
     n = F.regexp_extract("title", "([0-9]+)", 1).cast("bigint")
@@ -249,6 +274,22 @@ QUERIES = {
         f"""WITH {CLUSTERS_SQL} SELECT 'threat-actor--' || {_uuid5_sql("'actor:' || substr(cluster, 1, 70)")} AS target_ref, count(*) AS indicators, min('indicator--' || {_uuid5_sql("ioc_type || ':' || value")}) AS first_source
         FROM actors JOIN clusters USING (cluster) GROUP BY cluster""",
     ),
+    "stix_bundle_id": Query(
+        _bundle_id,
+        f"""WITH {INDICATORS_SQL}, v AS (SELECT DISTINCT 'vulnerability--' || {_uuid5_sql("'cve:' || upper(value)")} AS id FROM indicators WHERE ioc_type = 'cve'),
+        j AS (SELECT count(*) AS n, string_agg(id, ';' ORDER BY id) AS ids FROM v) SELECT n, 'bundle--' || {_uuid5_sql("ids")} AS id FROM j""",
+    ),
+    "armoured_keys": Query(
+        _armoured,
+        """WITH k AS (SELECT doc_id, '04' || lpad(upper(to_hex(doc_id)), 8, '0') || '01' || sha256('key' || doc_id) AS body FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'pgp' ELSE 'pgp_fp' END AS ioc_type, CASE WHEN doc_id % 5 = 4 THEN 'present' ELSE upper(sha1(unhex('9900' || upper(to_hex(length(body) // 2)) || body))) END AS value FROM k""",
+    ),
+    "manifest_members": Query(
+        _members,
+        f"""WITH {CAPTURED_SQL}, l AS (SELECT 'pages/' || sha256(url) || '.body' AS name FROM cap WHERE NOT blocked AND has_body),
+        w AS (SELECT 'pages/' || sha256('http://' || source || '.onion/d' || doc_id) || '.body' AS name FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0)
+        SELECT name, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM w) UNION ALL SELECT name, 'right' FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM l)""",
+    ),
     "stix_bundle": Query(
         _stix_bundle,
         f"""WITH {CLUSTERS_SQL} SELECT 'identity' AS type, count(DISTINCT 1) AS objects, count(DISTINCT 1) AS ids FROM orders

@@ -125,11 +125,6 @@ s AS (SELECT 'label' || c.label AS query_id, page_url, v.label = c.label AS hit,
 r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_url DESC) <= 10)"""
 
 
-def _hashed(spark, sf):
-    p = stored_documents(spark, sf)
-    return search.hashed_search(p, search.embed_pages(p, 256), "vendor widget3 the tion", 256, 20).select("url", "title", F.round("score", 6).alias("score"))
-
-
 def _hashed_profile(spark, sf):
     """Norm and number of used buckets of every page's hashed vector."""
     v = search.embed_pages(stored_documents(spark, sf), 256)
@@ -187,7 +182,6 @@ QUERIES = {
         _precision,
         f"WITH {_VEC_SQL} SELECT count(*) AS queries, round(avg(p), 6) AS mean_precision FROM (SELECT query_id, avg(CAST(hit AS INTEGER)) AS p FROM r GROUP BY 1)",
     ),
-    "hashed_search": Query(_hashed, None),
     "hashed_vector_norms": Query(
         _hashed_profile,
         f"WITH {STORED_SQL} SELECT url AS page_url, CASE WHEN regexp_matches(lower(content), '[a-z0-9]{{2,}}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM stored WHERE NOT blocked AND content <> ''",

@@ -51,7 +51,7 @@ def _hosts(spark, sf):
 
 def _current(spark, sf):
     """Derived rows of every stored body, reduced to those of the page's current version."""
-    rows = captures(spark, sf).filter("ok").select("page_url", "content_sha256", F.substring("content", 1, 6).alias("value")).distinct()
+    rows = captures(spark, sf).filter("ok").select("page_url", "content_sha256", F.sha2("content", 256).alias("value")).distinct()
     return records.current_version_rows(rows, state(spark, sf))
 
 
@@ -79,7 +79,7 @@ QUERIES = {
     "hosts_known": Query(_hosts, f"WITH {STATE_SQL} SELECT hostname, count(*) AS known, bool_or(url LIKE '%u1' OR url LIKE '%u7') AS pinned FROM state GROUP BY hostname"),
     "current_version_rows": Query(
         _current,
-        f"""WITH {STATE_SQL}, r AS (SELECT DISTINCT page_url, content_sha256, substr(content, 1, 6) AS value FROM captures WHERE ok)
+        f"""WITH {STATE_SQL}, r AS (SELECT DISTINCT page_url, content_sha256, sha256(content) AS value FROM captures WHERE ok)
         SELECT r.* FROM r JOIN state s ON r.page_url = s.url AND r.content_sha256 = s.content_sha256 WHERE NOT s.blocked""",
     ),
 }

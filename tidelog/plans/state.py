@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import iso_micros
 from ..operators import timeline as tl
 from ..operators import views
+from ..session import Scratch
 from . import Query
 from .inputs import EVENTS_SQL, STATE_SQL, annotated, captures, state, table
 
@@ -60,13 +61,18 @@ CAPTURE_PAGES_SQL = """capture_pages AS (
     CASE WHEN contains(content, 'purchase') THEN '[]' WHEN contains(content, 'view') THEN '[{"extractor":"ioc"}]' END AS extraction_errors FROM captures)"""
 
 
+def _annotated_once(spark, sf):
+    """The annotated log as a stored table, for plans that read it twice."""
+    return Scratch(spark).cut(annotated(spark, sf).drop("content"), "annotated")
+
+
 def _liveness(spark, sf):
-    a = annotated(spark, sf)
+    a = _annotated_once(spark, sf)
     return _stamp(views.host_liveness(tl.page_state(a), tl.page_events(a)), "last_fetch", "last_change", "offline_since")
 
 
 def _liveness_ranked(spark, sf):
-    a = annotated(spark, sf)
+    a = _annotated_once(spark, sf)
     return views.rank_liveness(views.host_liveness(tl.page_state(a), tl.page_events(a)), 10).select("host", "state", "known")
 
 
@@ -86,7 +92,7 @@ live1 AS (SELECT l.*, o.went_at, CASE WHEN live > 0 THEN 'up' WHEN failing > 0 O
 
 def _down_pages(spark, sf):
     """Liveness with one host per page, so that every state occurs."""
-    a = annotated(spark, sf)
+    a = _annotated_once(spark, sf)
     s = tl.page_state(a).withColumn("hostname", F.col("url"))
     t = tl.page_events(a).withColumn("hostname", F.col("page_url"))
     return _stamp(views.host_liveness(s, t).select("host", "state", "failing", "dead", "offline_since"), "offline_since")
@@ -166,6 +172,11 @@ def _table_counts(spark, sf):
 
 
 QUERIES = {
+    "copied_bodies": Query(
+        lambda spark, sf: views.copied_bodies(document_pages(spark, sf)),
+        f"""WITH {DOCUMENT_PAGES_SQL} SELECT content_sha256, count(*) OVER (PARTITION BY content_sha256) AS copies, url, hostname FROM document_pages WHERE content_sha256 IS NOT NULL
+        QUALIFY count(*) OVER (PARTITION BY content_sha256) > 1""",
+    ),
     "host_liveness": Query(
         _liveness,
         f"WITH {_LIVENESS_SQL} SELECT hostname AS host, state, known, live, failing, dead, {_TS.format('last_fetch')} AS last_fetch, {_TS.format('last_change')} AS last_change, {_TS.format('CASE WHEN state = ' + chr(39) + 'down' + chr(39) + ' THEN went_at END')} AS offline_since FROM live1",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from ..session import Scratch
 
@@ -28,18 +31,19 @@ class PageTables:
 
     def create(self, table: str, rows: DataFrame) -> None:
         self._bucketed(rows).repartition(BUCKET, F.xxhash64(*rows.columns) % 8).write.mode("overwrite").partitionBy(BUCKET).parquet(self._path(table))
+        # A table may be empty, and files without rows have no schema; it is kept beside them and makes the table exist.
+        self.spark.createDataFrame([(rows.schema.json(),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{self._path(table)}.schema")
 
     def exists(self, table: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}.schema")
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def _stored(self, table: str, schema) -> DataFrame:
-        full = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, {BUCKET} int"
-        return self.spark.read.schema(full).parquet(self._path(table))
+    def _stored(self, table: str) -> DataFrame:
+        kept = StructType.fromJson(json.loads(self.spark.read.text(f"{self._path(table)}.schema").first()[0]))
+        return self.spark.read.schema(kept.add(BUCKET, IntegerType())).parquet(self._path(table))
 
-    def read(self, table: str, schema=None) -> DataFrame:
-        found = self.spark.read.parquet(self._path(table)) if schema is None else self._stored(table, schema)
-        return found.drop(BUCKET)
+    def read(self, table: str) -> DataFrame:
+        return self._stored(table).drop(BUCKET)
 
     def touched(self, pages: DataFrame) -> list[int]:
         """Buckets of ``pages``: at most ``buckets`` numbers."""
@@ -56,9 +60,10 @@ class PageTables:
             return {"removed": 0, "added": 0}
         scratch = Scratch(self.spark, keep=4)
         if not self.exists(table):
+            if fresh is None:
+                return {"removed": 0, "added": 0}
             self.create(table, fresh.limit(0))
-        stored = self.spark.read.parquet(self._path(table)) if fresh is None else self._stored(table, fresh.schema)
-        old = stored.filter(F.col(BUCKET).isin(touched))
+        old = self._stored(table).filter(F.col(BUCKET).isin(touched))
         rest = old.join(pages, "page_url", "left_anti")
         new = rest.select(*old.columns)
         if fresh is not None:
