@@ -43,6 +43,12 @@ class Scratch:
             self._remove(generations.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Remove the tables of these names; only for those that no later job reads."""
+        for name in names:
+            for path in self.written.pop(name, []):
+                self._remove(path)
+
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
