@@ -311,7 +311,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         twins = np.union1d(twins, found)
     nodes = nodes.drop("low", "high")
-    profile = profile.select(*carried, "n", "node")
+    # From here on the table of rows needs neither seeds nor bitmaps; the nodes have them.
+    profile = scratch.cut(profile.select(*carried, "n", "node"), "rows")
+    scratch.drop("profile")
 
     slots = nodes.select("node", "n", F.posexplode("seeds").alias("slot", "value"))
     # The pivots of a bucket are its nodes with the most company over all slots: of a family of copies, those they come from.
@@ -329,7 +331,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("a", "b")
     )
     edges = scratch.cut(_linked(stars, docs, nodes, words, percent, 64, None, twins, (), scratch, "star"), "star-edges")
+    scratch.drop("star-pairs", "star-wanted", "star-sets")
     roots = scratch.cut(connected_components(edges), "roots")
+    scratch.drop("star-edges")
 
     bits = min(64, max(16, int(profile.agg(F.sum("n")).first()[0] or 1).bit_length() + 8))
     shared = _frequent(docs, words, percent, bits, scratch)
@@ -338,6 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _linked(candidates, docs, nodes, words, percent, bits, shared, twins, ORDERS, scratch, "order")
     far = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     far = scratch.cut(far.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "far")
+    scratch.drop("mixed", "order-pairs", "order-wanted", "order-sets", "order-met")
     merged = connected_components(far)
 
     first = nodes.select("node", "min_id").join(roots, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("near"))
@@ -394,6 +399,7 @@ def _candidates(postings: DataFrame, roots: DataFrame, nodes: DataFrame, percent
     empty = F.lit(None).cast("array<bigint>")
     small = near.filter(F.col("size") <= SCREENED).select(*columns, "root", empty.alias("bitmap"), empty.alias("before"))
     near = scratch.cut(large.unionByName(small), "mixed")
+    scratch.drop("near")
     fields = ("node", ""), ("n", "n"), ("at", "i"), ("root", "r"), ("bitmap", "bitmap_"), ("before", "before_")
     a, b = (near.select("token", *(F.col(c).alias(f"{short}{x}") for c, short in fields)) for x in "ab")
     # At the first common token of a pair that links, what is left of both sets still holds the overlap that a link needs.
