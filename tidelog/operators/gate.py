@@ -156,7 +156,8 @@ def gate_by_table(pages: DataFrame, rules: DataFrame, known_bad: DataFrame, stor
     """
     scratch = Scratch(pages.sparkSession, keep=8)
     haystack = F.concat("url", F.lit("\n"), F.coalesce("text", F.lit("")))
-    rows = scratch.cut(pages.withColumns({"_row": F.monotonically_increasing_id(), "_hay": haystack}), "pages")
+    # The text is stored once; what is searched is made from it where it is read.
+    rows = scratch.cut(pages.withColumn("_row", F.monotonically_increasing_id()), "pages").withColumn("_hay", haystack)
     listed = scratch.cut(rules.select(F.monotonically_increasing_id().alias("literal_id"), "position", "category", "pattern", _required.asNondeterministic()("pattern").alias("literal")), "rules")
     texts = rows.select(F.col("_row").alias("text_id"), F.lower(F.translate("_hay", *_FOLDED)).alias("text"), "_hay")
     known = listed.filter("literal IS NOT NULL")
