@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hosts import hostname, is_onion
@@ -33,14 +33,20 @@ def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def page_links(parsed: DataFrame, url: str = "url") -> DataFrame:
-    """Edges ``(url, position, target, anchor_text, target_host, onion)``, one row per discovered link."""
-    return parsed.select(F.col(url).alias("url"), F.posexplode("links").alias("position", "l")).select(
+    """Edges ``(url, position, target, anchor_text, target_host, onion)``, one row per link discovered at a url.
+
+    A url stored several times has the links of all its rows, each once, by its first place and then by target.
+    """
+    found = parsed.select(F.col(url).alias("url"), F.posexplode("links").alias("_at", "l")).groupBy("url", F.col("l.url").alias("target"))
+    first = found.agg(F.min(F.struct("_at", F.col("l.anchor_text").alias("anchor_text"))).alias("f"))
+    placed = first.withColumn("position", F.row_number().over(Window.partitionBy("url").orderBy("f._at", "target")) - 1)
+    return placed.select(
         "url",
         "position",
-        F.col("l.url").alias("target"),
-        F.col("l.anchor_text").alias("anchor_text"),
-        hostname(F.col("l.url")).alias("target_host"),
-        is_onion(F.col("l.url")).alias("onion"),
+        "target",
+        F.col("f.anchor_text").alias("anchor_text"),
+        hostname(F.col("target")).alias("target_host"),
+        is_onion(F.col("target")).alias("onion"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hosts
 from ..functions.identity import base58check_valid
 from ..operators import gate, indicators, parse, records
+from ..session import Scratch
 from . import Query
 from .inputs import table, texts
 
@@ -184,8 +185,10 @@ def html_pages(spark, sf):
 
 
 def _parsed(spark, sf):
-    p = parse.parse_pages(html_pages(spark, sf))
-    return p.select("page_id", "url", "title", "text", F.size("links").cast("bigint").alias("n_links"))
+    """Pages with the number of links of their url, which may be stored several times."""
+    p = Scratch(spark).cut(parse.parse_pages(html_pages(spark, sf)), "parsed")
+    counts = parse.page_links(p).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    return p.join(counts, "url", "left").select("page_id", "url", "title", "text", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def _links(spark, sf):
