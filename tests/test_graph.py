@@ -145,3 +145,13 @@ def test_ego_graph_is_capped(spark):
     assert edges.select("url").distinct().count() == 30 and edges.filter("url = 'p00'").count() == 101 and edges.filter("url = 'p01'").count() == 0
     assert relations.ego_limited(ids, state, edges, "W").first()["limited"] is True
     assert relations.ego_nodes(edges).filter("kind = 'source'").count() == 30
+
+
+def test_pairs_of_one_page_are_not_gathered(spark):
+    """Only pairs whose identifiers are both on several pages are counted; the others go on as they are."""
+    rows = [(f"p{i}", "btc", f"W{i // 3}", "x") for i in range(9)] + [(f"p{i}", "handle", "H", "y") for i in range(9)] + [(f"p{i}", "jabber", f"j{i}", "z") for i in range(9)]
+    pairs = relations.identifier_pairs(spark.createDataFrame(rows, IND))
+    assert (pairs.count(), pairs.filter("shared").count()) == (27, 9)
+    counted = relations.pair_counts(pairs)
+    assert sorted((r["left_value"], r["right_value"], r["source_count"]) for r in counted.filter("source_count > 1").collect()) == [(f"W{i}", "H", 3) for i in range(3)]
+    assert counted.count() == 3 + 18
