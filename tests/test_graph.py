@@ -155,3 +155,11 @@ def test_pairs_of_one_page_are_not_gathered(spark):
     counted = relations.pair_counts(pairs)
     assert sorted((r["left_value"], r["right_value"], r["source_count"]) for r in counted.filter("source_count > 1").collect()) == [(f"W{i}", "H", 3) for i in range(3)]
     assert counted.count() == 3 + 18
+
+
+def test_rounds_leave_out_identifiers_of_one_page(spark, monkeypatch):
+    rows = [(f"p{p}", "handle", f"h{p // 2}", "") for p in range(8)] + [(f"p{p}", "btc", f"w{p // 4}", "") for p in range(8)] + [(f"p{p}", "eth", f"e{p}-{i}", "") for p in range(8) for i in range(4)]
+    rounds, run = [], clusters.connected_components
+    monkeypatch.setattr(clusters, "connected_components", lambda edges, *more: (rounds.append(edges.distinct().count()), run(edges, *more))[1])
+    assert as_sets(clusters.resolve_clusters(spark.createDataFrame(rows, IND))) == greedy(rows)
+    assert rounds == [4]

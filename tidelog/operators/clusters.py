@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import join_lookup
 from ..session import Scratch
-from .relations import MAX_IDENTIFIERS, linking_pages, strong_sightings
+from .relations import MAX_IDENTIFIERS, common_identifiers, linking_pages, strong_sightings
 
 # Components with more edges than this are reduced by distributed rounds before the ordered pass.
 ORDERED_PASS_EDGES = 200_000
@@ -64,14 +64,37 @@ def _key(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), value)
 
 
+def _keys() -> Column:
+    return F.transform("ids", lambda i: _key(i["ioc_type"], i["value"]))
+
+
+def _star_edges(pages: DataFrame, max_identifiers: int) -> DataFrame:
+    return pages.select("page_url", F.get(_keys(), F.lit(0)).alias("a"), F.explode(F.slice(_keys(), 2, max_identifiers)).alias("b"))
+
+
 def link_edges(sightings: DataFrame, max_identifiers: int = MAX_IDENTIFIERS) -> DataFrame:
     """Star edges ``(page_url, a, b)`` from the first identifier of a page to each of the others."""
-    keys = F.transform("ids", lambda i: _key(i["ioc_type"], i["value"]))
-    return (
-        linking_pages(sightings, max_identifiers)
-        .filter(F.size("ids") > 1)
-        .select("page_url", F.get(keys, F.lit(0)).alias("a"), F.explode(F.slice(keys, 2, max_identifiers)).alias("b"))
-    )
+    return _star_edges(linking_pages(sightings, max_identifiers).filter(F.size("ids") > 1), max_identifiers)
+
+
+def page_components(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, root)`` of all identifiers on ``pages(page_url, ids)``; the root is the smallest of those that pages link.
+
+    Identifiers of one page only follow that page, so the rounds run over the others.  A page is told by one of its identifiers,
+    a common one where it has any.
+    """
+    common = F.coalesce(F.array_sort(F.transform("common", lambda i: _key(i["ioc_type"], i["value"]))), F.expr("cast(array() as array<string>)"))
+    told = pages.join(common_identifiers(pages), "page_url", "left").select(_keys().alias("keys"), common.alias("common"))
+    told = scratch.cut(told.select("keys", "common", F.coalesce(F.get("common", F.lit(0)), F.array_min("keys")).alias("hub")), "told")
+    links = told.filter(F.size("common") > 1).select(F.col("hub").alias("a"), F.explode(F.slice("common", 2, F.size("common"))).alias("b"))
+    hubs = connected_components(links, scratch).select(F.col("node").alias("hub"), F.col("root").alias("group"))
+    # The smallest identifier of a group may be one that is on one page only.
+    lowest = told.groupBy("hub").agg(F.min(F.array_min("keys")).alias("low")).join(hubs, "hub", "left").withColumn("group", F.coalesce("group", "hub"))
+    lowest = scratch.cut(lowest, "lowest")
+    roots = lowest.groupBy("group").agg(F.min("low").alias("root"))
+    of_hub = scratch.cut(lowest.join(roots, "group").select("hub", "root"), "roots")
+    # Common identifiers are on several pages of one group: each is named once.
+    return told.select("hub", F.explode("keys").alias("node")).join(of_hub, "hub").select("node", "root").distinct()
 
 
 def _ordered_unions(edges: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -182,8 +205,8 @@ def resolve_clusters(
     spark = indicators.sparkSession
     scratch = Scratch(spark)
     sightings = strong_sightings(indicators)
-    edges = scratch.cut(link_edges(sightings, max_identifiers), "links")
-    components = connected_components(edges.select("a", "b"), scratch)
+    pages = scratch.cut(linking_pages(sightings, max_identifiers).filter(F.size("ids") > 1), "pages")
+    components = scratch.cut(page_components(pages, scratch), "components")
     nodes = sightings.select("ioc_type", "value").distinct().withColumn("node", _key(F.col("ioc_type"), F.col("value")))
     assigned = components.withColumnRenamed("root", "cluster")
     if reviews is not None:
@@ -200,7 +223,7 @@ def resolve_clusters(
         )
         inside = scratch.cut(inside, "rejected")
         if not inside.isEmpty():
-            assigned = _constrained(edges, components, assigned, inside, scratch, ordered_pass_edges)
+            assigned = _constrained(_star_edges(pages, max_identifiers), components, assigned, inside, scratch, ordered_pass_edges)
     return nodes.join(assigned, "node", "left").select("ioc_type", "value", F.coalesce("cluster", "node").alias("cluster"))
 
 
