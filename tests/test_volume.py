@@ -1,6 +1,7 @@
 """What the finished queries move: counted in rows that go through shuffles."""
 
 from tidelog.operators import search
+from tidelog.operators.text_index import TextIndex
 
 PAGES = "url STRING, title STRING, content STRING, blocked BOOLEAN"
 
@@ -33,3 +34,15 @@ def test_words_of_a_page_are_grouped_in_its_row(spark):
     assert {t: p for (t, u), p in rows.items() if u == "u5"} == {w: [i for i, x in enumerate(words) if x == w] for w in set(words)}
     # Of several rows with one url all count, as one text each.
     assert rows["again", "u3"] == [1] and rows["w1", "u3"][:2] == [0, 2]
+
+
+def test_postings_are_written_and_merged_in_place(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "index"), 4)
+
+    def upkeep():
+        index.update(stored(spark, 0))
+        index.update(stored(spark, 0).filter("url < 'u2'"))
+        index.merge()
+
+    assert index.postings().count() == 0 and shuffled(spark, upkeep) < 1500
+    assert index.postings().count() == search.token_index(stored(spark, 0)).count()

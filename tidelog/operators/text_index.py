@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import retained
-from ..session import Scratch
-from .search import _words
+from ..session import small_table
+from .search import token_index
 
 POSTINGS = "token STRING, url STRING, gaps ARRAY<INT>, _segment BIGINT, _bucket INT"
 TOMBSTONES = "url STRING, _segment BIGINT"
+# Pages with dead postings travel to the postings up to this number; more are joined.
+DEAD_BROADCAST = 1_000_000
 
 
 class TextIndex:
@@ -45,10 +46,8 @@ class TextIndex:
         Blocked pages and pages without a text are dropped as well.  Of several rows with one url all count, as one text each.
         """
         segment = self._last() + 1
-        words = F.filter(F.split(F.trim(_words(F.concat_ws(" ", "title", "content"))), " "), lambda w: w != "")
-        spread = changed.filter(retained()).select("url", F.posexplode(words).alias("position", "token"))
-        lists = spread.groupBy("token", "url").agg(F.array_sort(F.collect_list("position")).alias("p"))
-        gaps = F.transform("p", lambda x, i: x - F.coalesce(F.get("p", i - 1), F.lit(0)))
+        lists = token_index(changed)
+        gaps = F.transform("positions", lambda x, i: x - F.coalesce(F.get("positions", i - 1), F.lit(0)))
         rows = lists.select("token", "url", gaps.alias("gaps"), F.lit(segment).cast("bigint").alias("_segment"), self._bucket(F.col("token")).alias("_bucket"))
         touched = changed.select("url")
         if removed is not None:
@@ -56,12 +55,15 @@ class TextIndex:
         self._write(rows, touched, segment)
         return segment
 
-    def _write(self, rows: DataFrame, touched: DataFrame, segment: int) -> None:
+    def _write(self, rows: DataFrame, touched: DataFrame | None, segment: int) -> None:
+        """One segment; the pages it touches are those of its rows where ``touched`` is not given."""
         # What an attempt that was lost has left under this number goes first.
         self._drop(lambda n: n >= segment)
-        # Within a bucket the rows are dealt by page: the postings of a common word are as many as pages hold it.
-        dealt = rows.repartition("_bucket", F.pmod(F.xxhash64("url"), F.lit(8))).sortWithinPartitions("token")
-        dealt.write.mode("append").partitionBy("_bucket", "_segment").parquet(f"{self.root}/postings")
+        # Every task writes the postings of its own pages into all buckets: the postings of a common word are as many as pages hold it.
+        ordered = rows.sortWithinPartitions("_bucket", "_segment", "token")
+        ordered.write.mode("append").partitionBy("_bucket", "_segment").parquet(f"{self.root}/postings")
+        if touched is None:
+            touched = self.postings().filter(F.col("_segment") == segment).select("url")
         # Written last: without its tombstones a segment never was.
         touched.distinct().withColumn("_segment", F.lit(segment).cast("bigint")).write.mode("append").partitionBy("_segment").parquet(f"{self.root}/tombstones")
 
@@ -79,8 +81,12 @@ class TextIndex:
 
     def live(self, postings: DataFrame) -> DataFrame:
         """Postings of the newest finished segment of their page."""
-        newest = self.tombstones().groupBy("url").agg(F.max("_segment").alias("_newest"))
-        return postings.join(newest, "url").filter(F.col("_segment") == F.col("_newest")).drop("_newest")
+        stones = self.tombstones()
+        newest = stones.groupBy("url").agg(F.max("_segment").alias("_newest"))
+        # Only pages touched twice have dead postings; a segment without tombstones never was.
+        dead = small_table(stones.join(newest, "url").filter(F.col("_segment") < F.col("_newest")).select("url", "_segment"), DEAD_BROADCAST)
+        finished = [r[0] for r in stones.select("_segment").distinct().collect()]
+        return postings.filter(F.col("_segment").isin(finished)).join(dead, ["url", "_segment"], "left_anti").select(*postings.columns)
 
     def lookup(self, phrase: str) -> DataFrame:
         """Urls of pages that hold the words of ``phrase`` in a row."""
@@ -101,7 +107,7 @@ class TextIndex:
     def merge(self) -> None:
         """Rewrite the index as one segment of its live postings; only then do the older segments and their tombstones go."""
         segment = self._last() + 1
-        rows = Scratch(self.spark).cut(self.live(self.postings()).withColumn("_segment", F.lit(segment).cast("bigint")), "merged")
-        self._write(rows, rows.select("url"), segment)
+        # The rows stay where they are read; their files are listed here, before the new segment is beside them.
+        self._write(self.live(self.postings()).withColumn("_segment", F.lit(segment).cast("bigint")), None, segment)
         self._drop(lambda n: n < segment)
         self._drop(lambda n: n < segment, ("tombstones",))
