@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators.reprocess import PageExtractor, reprocess, standard_extractors, store
+from ..operators.reprocess import ROW_KEY, PageExtractor, reprocess, standard_extractors, store
 from ..session import Scratch
 from ..sources.page_tables import PageTables
 from . import Query
@@ -47,13 +47,14 @@ def _stored(spark, sf):
 def _before(pages) -> dict:
     """What an earlier version of the extractors left: one row a page in every table."""
     url, n = F.col("url").alias("page_url"), F.col("n").cast("string")
+    key = n.alias(ROW_KEY)
     none = F.lit(None).cast("string")
     old = F.concat(F.lit("old"), n)
     return {
-        "indicators": pages.select(url, F.lit("handle").alias("ioc_type"), old.alias("value"), none.alias("context")),
-        "credentials": pages.select(url, F.concat(old, F.lit("@old.example")).alias("email"), F.lit("old.example").alias("domain"), F.sha2(n, 256).alias("password_sha256")),
-        "listings": pages.select(url, old.alias("product"), none.alias("vendor"), F.lit(1.0).alias("price"), F.lit("USD").alias("currency"), none.alias("context")),
-        "facts": pages.select(url, F.lit("old").alias("name"), n.alias("value")),
+        "indicators": pages.select(url, key, F.lit("handle").alias("ioc_type"), old.alias("value"), none.alias("context")),
+        "credentials": pages.select(url, key, F.concat(old, F.lit("@old.example")).alias("email"), F.lit("old.example").alias("domain"), F.sha2(n, 256).alias("password_sha256")),
+        "listings": pages.select(url, key, old.alias("product"), none.alias("vendor"), F.lit(1.0).alias("price"), F.lit("USD").alias("currency"), none.alias("context")),
+        "facts": pages.select(url, key, F.lit("old").alias("name"), n.alias("value")),
     }
 
 
@@ -80,7 +81,7 @@ def _reprocessed_pages(spark, sf):
             "blocked": F.col("blocked") | (n % 23 == 7),
         }
     )
-    outcome = store(reprocess(pages, [*standard_extractors(), FACTS]), current, tables)
+    outcome = store(reprocess(pages, [*standard_extractors(), FACTS], key="n"), current.withColumn(ROW_KEY, n), tables)
     shown = outcome.select("page_url", F.lit("errors").alias("stored_in"), F.explode("errors").alias("e")).select("page_url", "stored_in", F.concat_ws(":", "e.extractor", "e.error_type").alias("item"))
     for name, item in SHOWN.items():
         shown = shown.unionByName(tables.read(name).select("page_url", F.lit(name).alias("stored_in"), F.expr(item).alias("item")))

@@ -49,10 +49,10 @@ class PageTables:
         """Buckets of ``pages``: at most ``buckets`` numbers."""
         return sorted(r[0] for r in self._bucketed(pages.select("page_url")).select(BUCKET).distinct().collect())
 
-    def replace(self, table: str, pages: DataFrame, fresh: DataFrame | None = None) -> dict[str, int]:
+    def replace(self, table: str, pages: DataFrame, fresh: DataFrame | None = None, spare: DataFrame | None = None) -> dict[str, int]:
         """Rows of ``pages`` give way to those of ``fresh`` (to none without it); returns how many rows went and came.
 
-        Rows of ``fresh`` that belong to other pages are ignored.
+        Rows of ``fresh`` that belong to other pages are ignored.  Rows that agree with one of ``spare`` in its columns stay.
         """
         pages = pages.select("page_url").distinct()
         touched = self.touched(pages)
@@ -65,6 +65,8 @@ class PageTables:
             self.create(table, fresh.limit(0))
         old = self._stored(table).filter(F.col(BUCKET).isin(touched))
         rest = old.join(pages, "page_url", "left_anti")
+        if spare is not None:
+            rest = rest.unionByName(old.join(pages, "page_url", "left_semi").join(spare, spare.columns, "left_semi"), allowMissingColumns=False)
         new = rest.select(*old.columns)
         if fresh is not None:
             new = new.withColumn("_new", F.lit(False)).unionByName(self._bucketed(fresh.join(pages, "page_url", "left_semi")).withColumn("_new", F.lit(True)))
