@@ -1,6 +1,6 @@
 """What the finished queries move: counted in rows that go through shuffles."""
 
-from tidelog.operators import search
+from tidelog.operators import parse, search
 from tidelog.operators.text_index import TextIndex
 
 PAGES = "url STRING, title STRING, content STRING, blocked BOOLEAN"
@@ -46,3 +46,18 @@ def test_postings_are_written_and_merged_in_place(spark, tmp_path):
 
     assert index.postings().count() == 0 and shuffled(spark, upkeep) < 1500
     assert index.postings().count() == search.token_index(stored(spark, 0)).count()
+
+
+def test_pages_are_objects_in_slices(spark, monkeypatch):
+    sizes = []
+    read = parse._read_slice
+    monkeypatch.setattr(parse, "SLICE", 3)
+    monkeypatch.setattr(parse, "_read_slice", lambda urls, bodies: sizes.append(len(urls)) or read(urls, bodies))
+    rows = [(f"http://a.example/{i}", None if i == 4 else f"<title>t{i}</title><a href='/x{i}'>go</a>") for i in range(8)]
+    urls, bodies = (parse.pa.array(column) for column in zip(*rows))
+    parts = [parse._read_slice(urls.slice(at, parse.SLICE), bodies.slice(at, parse.SLICE)) for at in range(0, 8, parse.SLICE)]
+    assert sizes == [3, 3, 2] and parse.pa.concat_arrays(parts).type == parse.PARSED_ARROW
+    got = {r["url"]: (r["title"], [tuple(x) for x in r["links"]]) for r in parse.parse_pages(spark.createDataFrame(rows, "url STRING, html STRING").coalesce(1)).collect()}
+    assert got == {u: ((None, []) if h is None else (f"t{i}", [(f"http://a.example/x{i}", "go")])) for i, (u, h) in enumerate(rows)}
+    plan = parse.parse_pages(spark.createDataFrame(rows, "url STRING, html STRING"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan

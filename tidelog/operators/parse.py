@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +13,29 @@ from ..functions.hosts import hostname, is_onion
 from ..functions.html_text import read_page, resolve_link
 from ..schemas import PARSED_PAGE
 
+# Pages that are Python objects at once.
+SLICE = 128
+_LINK = pa.struct([("url", pa.string()), ("anchor_text", pa.string())])
+PARSED_ARROW = pa.struct([*[(name, pa.string()) for name in ("title", "description", "keywords", "text")], ("links", pa.list_(_LINK)), ("blocks", pa.list_(pa.string()))])
+
+
+def _read_slice(urls: pa.Array, bodies: pa.Array) -> pa.StructArray:
+    pages = [read_page(body, base or "") for base, body in zip(urls.to_pylist(), bodies.to_pylist(), strict=True)]
+    return pa.array(pages, PARSED_ARROW)
+
 
 def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add ``title, description, keywords, text, links, blocks``.
 
-    Only the two input columns travel to Python, in Arrow batches; the html itself is dropped from the output.
+    Only the two input columns travel to Python, in Arrow batches; the html itself is dropped from the output.  Python objects exist
+    for ``SLICE`` pages at a time, whatever the size of a batch.
     """
 
-    @F.pandas_udf(PARSED_PAGE)
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(PARSED_PAGE)
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for urls, bodies in batches:
-            yield pd.DataFrame(
-                [read_page(body, base or "") for base, body in zip(urls, bodies)],
-                columns=["title", "description", "keywords", "text", "links", "blocks"],
-            )
+            parts = [_read_slice(urls.slice(at, SLICE), bodies.slice(at, SLICE)) for at in range(0, len(urls), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], PARSED_ARROW)
 
     # asNondeterministic keeps the optimizer from running the parser once per referenced field.
     parsed = pages.withColumn("_p", read.asNondeterministic()(url, html))
