@@ -1,7 +1,10 @@
 """What the finished queries move: counted in rows that go through shuffles."""
 
+from pyspark.sql import functions as F
+
 from tidelog.operators import parse, search
 from tidelog.operators.text_index import TextIndex
+from tidelog.session import spread
 
 PAGES = "url STRING, title STRING, content STRING, blocked BOOLEAN"
 
@@ -61,3 +64,9 @@ def test_pages_are_objects_in_slices(spark, monkeypatch):
     assert got == {u: ((None, []) if h is None else (f"t{i}", [(f"http://a.example/x{i}", "go")])) for i, (u, h) in enumerate(rows)}
     plan = parse.parse_pages(spark.createDataFrame(rows, "url STRING, html STRING"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_one_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    dealt = spread(spark.read.parquet(str(tmp_path / "one")), by_file=True)
+    assert dealt.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
