@@ -76,6 +76,16 @@ def flags(ok: np.ndarray, forced: np.ndarray, sha: np.ndarray, blocked: np.ndarr
     return notes, (*kept, int(n_fails[-1]), int(n_streak[-1]), bool(ok[-1]))
 
 
+def _known(values: np.ndarray) -> np.ndarray:
+    """Booleans in which what is missing is false."""
+    return values if values.dtype == bool else np.array([v is not None and v == v and bool(v) for v in values], dtype=bool)
+
+
+def _held(values: np.ndarray) -> np.ndarray:
+    """Objects in which what is missing is None."""
+    return np.array([None if v is None or v != v else v for v in values], dtype=object)
+
+
 class PageTracker(StatefulProcessor):
     """State of one page: ``page``, its last good version and counters; ``held``, the identifiers of that version."""
 
@@ -87,43 +97,40 @@ class PageTracker(StatefulProcessor):
         self.held = handle.getMapState("held", "ioc_type STRING, value STRING", "capture_id BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["fetched_at", "capture_id"], kind="stable").reset_index(drop=True)
-        state = tuple(self.page.get()) if self.page.exists() else _NEW
+        parts = list(rows)
+        # The rows of a page in one micro-batch are few, so they are worked on as arrays; the frame that goes back is made once.
+        batch = {name: np.concatenate([part[name].to_numpy() for part in parts]) for name in (*_COLUMNS, "identifiers")}
         # Seconds, milli- or nanoseconds: the unit of the column is not fixed.
-        us = batch["fetched_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        ids = batch["capture_id"].astype("int64").to_numpy()
-        late = batch["capture_id"].duplicated().to_numpy()
+        us = batch["fetched_at"].astype("datetime64[us]").astype("int64")
+        order = np.lexsort((batch["capture_id"].astype("int64"), us))
+        batch, us = {name: values[order] for name, values in batch.items()}, us[order]
+        ids = batch["capture_id"].astype("int64")
+        state = tuple(self.page.get()) if self.page.exists() else _NEW
+        late = np.ones(len(ids), dtype=bool)
+        late[np.unique(ids, return_index=True)[1]] = False
         if state[7] is not None:
             late |= (us < state[7]) | ((us == state[7]) & (ids <= state[8]))
-        yes = lambda name: batch[name].fillna(False).astype(bool).to_numpy()
-        none = lambda name: np.array([None if pd.isna(v) else v for v in batch[name]], dtype=object)
-        out = batch[_COLUMNS].copy()
-        out["late"] = late
         fresh = np.flatnonzero(~late)
-        added: list = [[] for _ in range(len(batch))]
+        out = {name: batch[name] for name in _COLUMNS}
+        added: list = [[] for _ in range(len(ids))]
+        columns = {name: np.full(len(ids), None, dtype=object) for name in tl.NOTES}
         if len(fresh):
-            notes, kept = flags(yes("ok")[fresh], yes("forced")[fresh], none("content_sha256")[fresh], yes("blocked")[fresh], none("title")[fresh], state, *self.settings)
+            notes, kept = flags(*(_known(batch[n])[fresh] for n in ("ok", "forced")), _held(batch["content_sha256"])[fresh], _known(batch["blocked"])[fresh], _held(batch["title"])[fresh], state, *self.settings)
             for name, values in notes.items():
-                column = np.full(len(batch), None, dtype=object)
-                column[fresh] = values
-                out[name] = column
+                columns[name][fresh] = values
             turns = fresh[notes["changed"]]
             if len(turns):
-                self._identifiers(batch, ids, turns, bool(notes["is_first"].any()), added)
+                self._identifiers(batch["identifiers"], ids, turns, bool(notes["is_first"].any()), added)
             self.page.update((*kept, int(us[fresh[-1]]), int(ids[fresh[-1]])))
-        else:
-            for name in tl.NOTES:
-                out[name] = None
-        out["interval_s"] = pd.to_numeric(out["interval_s"])
-        out["added"] = added
-        yield out[[*_COLUMNS, *tl.NOTES, "late", "added"]]
-
-    def _identifiers(self, batch: pd.DataFrame, ids: np.ndarray, turns: np.ndarray, first: bool, added: list) -> None:
+        columns["interval_s"] = columns["interval_s"].astype("float64")
+        yield pd.DataFrame({**out, **{name: columns[name] for name in tl.NOTES}, "late": late, "added": added})
+
+    def _identifiers(self, identifiers: np.ndarray, ids: np.ndarray, turns: np.ndarray, first: bool, added: list) -> None:
         """What every new version has that the version before it had not; the last one's identifiers stay in the state."""
         before = {tuple(k) for k in self.held.keys()}
         stored = set(before)
         for place in turns.tolist():
-            found = batch["identifiers"].iloc[place]
+            found = identifiers[place]
             now = set() if found is None else {(i["ioc_type"], i["value"]) for i in found if i["ioc_type"] is not None and i["value"] is not None}
             if not (first and place == turns[0]):
                 added[place] = [{"ioc_type": t, "value": v} for t, v in sorted(now - before)]
