@@ -7,11 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import join_lookup
+from ..schemas import STRONG_TYPES
 from ..session import Scratch
 from .relations import MAX_IDENTIFIERS, common_identifiers, linking_pages, strong_sightings
 
 # Components with more edges than this are reduced by distributed rounds before the ordered pass.
 ORDERED_PASS_EDGES = 200_000
+# Pages are counted in 2**PAGE_SLOTS slots; a slot with more rows than this, and over eight times the mean, is not gathered page by page.
+PAGE_SLOTS, SLOT_ROWS = 16, 1_000_000
+# The bitmap of repeated identifiers has about 32 bits for each, but at most 2**MAX_BITS (16 MB); beyond that more singles count as repeated.
+MIN_BITS, MAX_BITS = 16, 27
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -254,6 +259,16 @@ def _constrained(edges, components, assigned, inside, scratch, ordered_pass_edge
     return assigned.join(members.select("node"), "node", "left_anti").select("node", "cluster").unionByName(redone)
 
 
+def _named_actors(members: DataFrame) -> DataFrame:
+    return members.filter((F.col("identifiers") >= 2) | (F.col("page_count") >= 2)).select(
+        F.sha2(_key(F.col("first.ioc_type"), F.col("first.value")), 256).alias("actor_id"),
+        _key(F.col("first.ioc_type"), F.col("first.value").substr(1, 64)).alias("label"),
+        "identifiers",
+        "page_count",
+        "cluster",
+    )
+
+
 def actors(indicators: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(actor_id, label, identifiers, page_count)``; one identifier on one page is not an actor.
 
@@ -270,23 +285,113 @@ def actors(indicators: DataFrame, clusters: DataFrame) -> DataFrame:
         .groupBy("cluster")
         .agg(F.count(F.lit(1)).alias("page_count"))
     )
-    return (
-        members.join(pages, "cluster")
-        .filter((F.col("identifiers") >= 2) | (F.col("page_count") >= 2))
-        .select(
-            F.sha2(_key(F.col("first.ioc_type"), F.col("first.value")), 256).alias("actor_id"),
-            _key(F.col("first.ioc_type"), F.col("first.value").substr(1, 64)).alias("label"),
-            "identifiers",
-            "page_count",
-            "cluster",
-        )
-    )
+    return _named_actors(members.join(pages, "cluster"))
 
 
 def actor_identifiers(actor_table: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(actor_table.select("cluster", "actor_id"), "cluster").select("actor_id", "ioc_type", "value")
 
 
+def _repeated_marks(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Bitmap ``(_w, _bits)`` over the hashes of identifiers that ``rows`` name more than once, and its width."""
+    hashes = rows.select(F.xxhash64("ioc_type", "value").alias("h")).repartition("h")
+    repeated = scratch.cut(hashes.groupBy("h").count().filter("count > 1").select("h"), "repeated")
+    width = min(max((32 * repeated.count()).bit_length(), MIN_BITS), MAX_BITS)
+    slot = F.col("h").bitwiseAND((1 << width) - 1)
+    marks = repeated.select(F.shiftright(slot, 6).alias("_w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_bits"))
+    return scratch.cut(marks, "marks"), width
+
+
+def _gathered(rows: DataFrame, scratch: Scratch, max_identifiers: int) -> DataFrame:
+    """``(page_url, links, ids)``: the distinct identifiers of every page, ``links`` where they are at most ``max_identifiers``.
+
+    One shuffle by page.  Pages in overfull slots are told apart by a count of slots; of those, pages that link nothing come in pieces.
+    """
+    keys = ["page_url", "ioc_type", "value"]
+    entry = F.struct("ioc_type", "value", "created_at", "repeated")
+    place = F.xxhash64("page_url").bitwiseAND((1 << PAGE_SLOTS) - 1)
+    sizes = scratch.cut(rows.groupBy(place.alias("_slot")).agg(F.count(F.lit(1)).alias("n")), "slots")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    full = F.broadcast(sizes.filter(F.col("n") > max(SLOT_ROWS, 8 * total >> PAGE_SLOTS)).select("_slot"))  # at most 2**PAGE_SLOTS rows
+    merged = [F.min("created_at").alias("created_at"), F.max("repeated").alias("repeated")]
+    if full.isEmpty():
+        each = rows.repartition("page_url").groupBy(*keys).agg(*merged)
+        pages = each.groupBy("page_url").agg(F.collect_list(entry).alias("ids"))
+        return pages.select("page_url", (F.size("ids") <= max_identifiers).alias("links"), "ids")
+    placed = rows.withColumn("_slot", place)
+    small = placed.join(full, "_slot", "left_anti").repartition("page_url").groupBy(*keys).agg(*merged)
+    small = small.groupBy("page_url").agg(F.collect_list(entry).alias("ids")).select("page_url", (F.size("ids") <= max_identifiers).alias("links"), "ids")
+    large = scratch.cut(placed.join(full, "_slot", "left_semi").groupBy(*keys).agg(*merged), "large")
+    linking = linking_pages(large.withColumn("context", F.lit(None).cast("string")), max_identifiers).select(F.col("page_url").alias("_page"), F.lit(True).alias("_links"))
+    told = large.join(linking, F.col("page_url").eqNullSafe(F.col("_page")), "left").withColumn("links", F.coalesce("_links", F.lit(False)))
+    piece = F.when(F.col("links"), 0).otherwise(F.pmod(F.xxhash64("ioc_type", "value"), F.lit(4096)).cast("int"))
+    pieces = told.groupBy("page_url", "links", piece.alias("_piece")).agg(F.collect_list(entry).alias("ids")).drop("_piece")
+    return small.unionByName(pieces)
+
+
+def attributed(indicators: DataFrame, carried: dict[str, Column] | None = None, max_identifiers: int = MAX_IDENTIFIERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters without reviews as ``(firsts, actors, members)``, each identifier standing in ``firsts`` and at most once in ``members``.
+
+    ``indicators``: ``page_url, ioc_type, value, created_at``.  ``firsts`` has every strong identifier with its first sighting, ``actors`` the rows
+    of :func:`actors`, ``members`` the ``ioc_type, value, actor_id`` of the identifiers of actors and the columns ``carried`` over from their actor.
+    Rows without a value are left out.
+
+    An identifier that is named once follows its page and takes part in no join of its own; hashes tell which are (identifiers of
+    the same hash count as repeated, which changes no result).  Pages are gathered once and meet their cluster once.
+    """
+    scratch = Scratch(indicators.sparkSession)
+    rows = indicators.filter(F.col("ioc_type").isin(*STRONG_TYPES)).filter("value IS NOT NULL").select("page_url", "ioc_type", "value", "created_at")
+    marks, width = _repeated_marks(rows, scratch)
+    h = F.xxhash64("ioc_type", "value")
+    met = rows.withColumns({"_w": F.shiftright(h.bitwiseAND((1 << width) - 1), 6), "_h": h}).join(F.broadcast(marks), "_w", "left")  # at most 2**MAX_BITS / 64 rows
+    told = met.select("page_url", "ioc_type", "value", "created_at", F.coalesce(F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1L = 1L"), F.lit(False)).alias("repeated"))
+    bare = lambda i: F.struct(i["ioc_type"].alias("ioc_type"), i["value"].alias("value"), i["created_at"].alias("created_at"))
+    pages = scratch.cut(
+        _gathered(told, scratch, max_identifiers).select(
+            "page_url", "links", F.transform(F.filter("ids", lambda i: i["repeated"]), bare).alias("shared"), F.transform(F.filter("ids", lambda i: ~i["repeated"]), bare).alias("single")
+        ),
+        "pages",
+    )
+    keyed = lambda c: F.array_sort(F.transform(c, lambda i: _key(i["ioc_type"], i["value"])))
+    # A page that links is told by one of its identifiers, a repeated one where it has any.
+    linking = pages.filter("links").select("page_url", "shared", "single", keyed("shared").alias("common"), F.array_min(keyed("single")).alias("_own"))
+    linking = linking.withColumn("hub", F.coalesce(F.get("common", F.lit(0)), "_own"))
+    links = linking.filter(F.size("common") > 1).select(F.col("hub").alias("a"), F.explode(F.slice("common", 2, F.size("common"))).alias("b"))
+    found = connected_components(links, scratch).select(F.col("node").alias("hub"), F.col("root").alias("group"))
+    named = F.transform("single", lambda i: F.struct(i["ioc_type"].alias("ioc_type"), i["value"].alias("value")))
+    hubs = linking.groupBy("hub").agg(
+        F.min(F.least(F.get("common", F.lit(0)), "_own")).alias("low"), F.sum(F.size("single")).alias("identifiers"), F.count(F.lit(1)).alias("page_count"), F.min(F.array_min(named)).alias("first")
+    )
+    hubs = scratch.cut(hubs.join(found, "hub", "left").withColumn("group", F.coalesce("group", "hub")), "hubs")
+    roots = hubs.groupBy("group").agg(F.min("low").alias("cluster"))
+    hubs = scratch.cut(hubs.join(roots, "group").drop("group", "low"), "roots")
+
+    sighted = pages.select("page_url", F.when(F.col("links"), F.array_min(keyed("shared"))).alias("hub"), F.explode("shared").alias("i"))
+    shared = sighted.groupBy("i.ioc_type", "i.value").agg(F.min(F.struct("page_url", "i.created_at")).alias("s"), F.max("hub").alias("hub"))
+    shared = shared.join(hubs.select("hub", "cluster"), "hub", "left").select("ioc_type", "value", "s", F.coalesce("cluster", _key(F.col("ioc_type"), F.col("value"))).alias("cluster"))
+    shared = scratch.cut(shared, "shared")
+    # A repeated identifier also counts the pages that link nothing; a single one there is no actor.
+    elsewhere = pages.filter("NOT links").select("page_url", F.explode("shared").alias("i")).select("page_url", "i.ioc_type", "i.value")
+    elsewhere = elsewhere.join(shared.select("ioc_type", "value", "cluster"), ["ioc_type", "value"]).select("cluster", "page_url").distinct()
+
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    parts = hubs.select("cluster", "identifiers", "page_count", "first")
+    parts = parts.unionByName(shared.select("cluster", one.alias("identifiers"), none.alias("page_count"), F.struct("ioc_type", "value").alias("first")))
+    parts = parts.unionByName(elsewhere.select("cluster", none.alias("identifiers"), one.alias("page_count"), F.lit(None).cast("struct<ioc_type: string, value: string>").alias("first")))
+    people = parts.groupBy("cluster").agg(F.sum("identifiers").alias("identifiers"), F.sum("page_count").alias("page_count"), F.min("first").alias("first"))
+    people = scratch.cut(_named_actors(people), "actors")
+
+    more = list(carried or {})
+    owner = scratch.cut(people.select("cluster", "actor_id", *[c.alias(name) for name, c in (carried or {}).items()]), "owner")
+    by_hub = hubs.select("hub", "cluster").join(owner, "cluster").drop("cluster")
+    of_single = linking.filter(F.size("single") > 0).select("hub", "single").join(by_hub, "hub").select(F.explode("single").alias("i"), "actor_id", *more)
+    of_single = of_single.select("i.ioc_type", "i.value", "actor_id", *more)
+    members = shared.join(owner, "cluster").select("ioc_type", "value", "actor_id", *more).unionByName(of_single)
+    firsts = pages.select("page_url", F.explode("single").alias("i")).select("i.ioc_type", "i.value", "page_url", "i.created_at")
+    firsts = firsts.unionByName(shared.select("ioc_type", "value", "s.page_url", "s.created_at"))
+    return firsts, people, members
+
+
 def rank_actors(actor_table: DataFrame, limit: int = 50) -> DataFrame:
     return actor_table.orderBy(F.desc("page_count"), "label").limit(limit)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import uuid5
 from ..functions.predicates import indicator_types
 from ..functions.text import iso_millis
+from ..session import Scratch
 
 # Fixed value: the namespace the STIX 2.1 specification defines for deterministic ids.
 STIX_NAMESPACE = "00abedb4-aa42-466c-9c01-fed23315a9b7"
@@ -77,10 +78,13 @@ def indicator_objects(rows: DataFrame, producer: str) -> DataFrame:
 
     ``rows``: ``ioc_type, value, page_url, created_at``.
     """
+    mapped = rows.filter(F.col("ioc_type").isin(*[k for k, _, _ in PATTERNS]))
+    return _indicators_of(_first_sighting(mapped, F.col("ioc_type"), F.col("value")), producer)
+
+
+def _indicators_of(one: DataFrame, producer: str) -> DataFrame:
     paths = F.create_map(*[F.lit(p) for kind, path, _ in PATTERNS for p in (kind, path)])
     labels = F.create_map(*[F.lit(p) for kind, _, label in PATTERNS for p in (kind, label)])
-    mapped = rows.filter(F.col("ioc_type").isin(*[k for k, _, _ in PATTERNS]))
-    one = _first_sighting(mapped, F.col("ioc_type"), F.col("value"))
     kind, value, created = F.col("ioc_type"), F.col("value"), iso_millis(F.col("s.created_at"))
     seed = F.concat(kind, F.lit(":"), value)
     body = F.struct(
@@ -136,6 +140,10 @@ def relationship_objects(indicator_rows: DataFrame, actor_rows: DataFrame, membe
         members.join(indicator_rows.select("ioc_type", "value", F.col("id").alias("source_ref")), ["ioc_type", "value"])
         .join(actor_rows.select("actor_id", F.col("id").alias("target_ref"), "_created"), "actor_id")
     )
+    return _relationships_of(owned, producer)
+
+
+def _relationships_of(owned: DataFrame, producer: str) -> DataFrame:
     seed = F.concat(F.lit("indicates:"), F.col("source_ref"), F.lit(":"), F.col("target_ref"))
     body = F.struct(
         *_common("relationship", seed, producer, F.col("_created")),
@@ -165,6 +173,50 @@ def bundle_objects(
     return out
 
 
+def actor_reference() -> Column:
+    """Id of the ``threat-actor`` of a row of actors."""
+    return stix_id("threat-actor", F.concat(F.lit("actor:"), F.col("label")))
+
+
+def attribution_objects(firsts: DataFrame, actors: DataFrame, members: DataFrame, producer: str = "tidelog") -> DataFrame:
+    """Every object of an export of all attribution identifiers, from the tables of ``clusters.attributed``.
+
+    ``firsts`` has one row for each identifier, ``members`` also ``target_ref`` and ``created_at`` of the actor.  Ids follow from types and values,
+    so indicators and their relationships are built where the identifiers are, without a join.
+    """
+    mapped = F.col("ioc_type").isin(*[k for k, _, _ in PATTERNS])
+    found = _indicators_of(firsts.filter(mapped).select("ioc_type", "value", F.struct("page_url", "created_at").alias("s")), producer)
+    parts = [identity(firsts.sparkSession, producer), found, actor_objects(actors, producer), attribution_relationships(members, producer)]
+    out = parts[0].select("id", "type", "object")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("id", "type", "object"))
+    return out
+
+
+def attribution_relationships(members: DataFrame, producer: str) -> DataFrame:
+    """``indicates`` edges from the ``members`` of actors, as ``attribution_objects`` has them."""
+    mapped = members.filter(F.col("ioc_type").isin(*[k for k, _, _ in PATTERNS]))
+    source = stix_id("indicator", F.concat("ioc_type", F.lit(":"), "value")).alias("source_ref")
+    return _relationships_of(mapped.select(source, "target_ref", iso_millis(F.col("created_at")).alias("_created")), producer)
+
+
+def object_counts(objects: DataFrame) -> DataFrame:
+    """``(type, objects, ids)``: objects and different ids of every type.
+
+    Ids meet by their hash; only those whose hash stands several times are compared themselves.
+    """
+    hashed = objects.select("type", "id", F.xxhash64("id").alias("h"))
+    seen = hashed.select("type", "h").repartition("h").groupBy("type", "h").agg(F.count(F.lit(1)).alias("n"))
+    totals = seen.groupBy("type").agg(F.sum("n").alias("objects"), F.count_if(F.col("n") == 1).alias("ids"))
+    totals = Scratch(objects.sparkSession).cut(totals, "totals")
+    if totals.filter(F.col("objects") > F.col("ids")).isEmpty():
+        return totals
+    several = seen.filter("n > 1").select(F.col("type").alias("_type"), F.col("h").alias("_h"))
+    again = hashed.join(several, (F.col("type") == F.col("_type")) & (F.col("h") == F.col("_h")), "left_semi")
+    again = again.groupBy("type").agg(F.countDistinct("id").alias("_more"))
+    return totals.join(again, "type", "left").select("type", "objects", (F.col("ids") + F.coalesce("_more", F.lit(0))).alias("ids"))
+
+
 def bundle_id(objects: DataFrame) -> DataFrame:
     """Content-derived id of one bundle document.
 

@@ -48,29 +48,27 @@ def _stix_vulnerabilities(spark, sf):
     return o.select("id", _get("name").alias("name"), _get("external_references[0].external_id").alias("external_id"))
 
 
-def _actor_tables(spark, sf):
-    ids = order_identifiers(spark, sf).withColumn("created_at", F.lit(STAMP).cast("timestamp"))
-    c = clusters.resolve_clusters(ids)
-    a = clusters.actors(ids, c).withColumn("created_at", F.lit(STAMP).cast("timestamp"))
-    return ids, a, clusters.actor_identifiers(a, c)
+def _attributed(spark, sf):
+    created = F.lit(STAMP).cast("timestamp")
+    carried = {"target_ref": stix.actor_reference(), "created_at": created}
+    firsts, a, m = clusters.attributed(order_identifiers(spark, sf).withColumn("created_at", created), carried)
+    return firsts, a.withColumn("created_at", created), m
 
 
 def _stix_actors(spark, sf):
-    _, a, _ = _actor_tables(spark, sf)
+    _, a, _ = _attributed(spark, sf)
     return stix.actor_objects(a, PRODUCER).select("id", _get("name").alias("name"), _get("description").alias("description"))
 
 
 def _stix_relationships(spark, sf):
-    ids, a, m = _actor_tables(spark, sf)
-    rows = stix.exported(ids, attribution_only=True)
-    r = stix.relationship_objects(stix.indicator_objects(rows, PRODUCER), stix.actor_objects(a, PRODUCER), m, PRODUCER)
+    _, _, m = _attributed(spark, sf)
+    r = stix.attribution_relationships(m, PRODUCER)
     return r.groupBy("target_ref").agg(F.count(F.lit(1)).alias("indicators"), F.min("source_ref").alias("first_source"))
 
 
 def _stix_bundle(spark, sf):
-    ids, a, m = _actor_tables(spark, sf)
-    objects = stix.bundle_objects(ids, a, m, PRODUCER, attribution_only=True)
-    return objects.groupBy("type").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("ids"))
+    """Counts of all attribution objects, each different id once."""
+    return stix.object_counts(stix.attribution_objects(*_attributed(spark, sf), PRODUCER))
 
 
 def _bundle_id(spark, sf):
