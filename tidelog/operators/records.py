@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,16 @@ PRODUCT_CHARS = 70
 RANGE_CHARS = 24
 
 # Fixed value: an address, a separator and a secret of 3 to 80 characters.
-CREDENTIAL = r"(?U)\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\s*[:|]\s*(\S{3,80})"
+_CREDENTIAL_PARTS = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\s*[:|]\s*(\S{3,80})"
+CREDENTIAL = rf"(?U)\b{_CREDENTIAL_PARTS}"
 
-# Price patterns in search order, with the currency they imply.
+# Price patterns in search order, with the currency they imply and the signs of which a text with a price has one.
 PRICE_PATTERNS = (
-    (r"\$\s?\d{1,7}(?:\.\d{1,2})?", "USD", r"\$"),
-    (r"€\s?\d{1,7}(?:\.\d{1,2})?", "EUR", "€"),
-    (r"£\s?\d{1,7}(?:\.\d{1,2})?", "GBP", "£"),
-    (r"\b\d{1,7}(?:\.\d{1,2})?\s?(?:USD|EUR|GBP)\b", None, "USD|EUR|GBP"),
-    (r"(?i:\b\d(?:\.\d{1,8})?\s?(?:BTC|XMR|ETH)\b)", None, "(?i)BTC|XMR|ETH"),
+    (r"\$\s?\d{1,7}(?:\.\d{1,2})?", "USD", ("$",)),
+    (r"€\s?\d{1,7}(?:\.\d{1,2})?", "EUR", ("€",)),
+    (r"£\s?\d{1,7}(?:\.\d{1,2})?", "GBP", ("£",)),
+    (r"\b\d{1,7}(?:\.\d{1,2})?\s?(?:USD|EUR|GBP)\b", None, ("USD", "EUR", "GBP")),
+    (r"(?i:\b\d(?:\.\d{1,8})?\s?(?:BTC|XMR|ETH)\b)", None, ()),
 )
 # Fixed value: words or dashes that make the following number a range bound.
 RANGE_BEFORE = r"(?iU)(?:\b(?:from|to|between|upto|up\s+to)\s*|[-–—~]\s*)\z"
@@ -29,9 +32,11 @@ RANGE_BEFORE = r"(?iU)(?:\b(?:from|to|between|upto|up\s+to)\s*|[-–—~]\s*)\z"
 def extract_credentials(pages: DataFrame, url: str = "page_url", text: str = "text", max_per_page: int | None = None) -> DataFrame:
     """Breach-lookup rows.  The secret is hashed in the projection that finds it and never leaves it."""
     t = F.coalesce(F.col(text), F.lit(""))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(CREDENTIAL), F.lit(1)).alias("mail"),
-        F.regexp_extract_all(t, F.lit(CREDENTIAL), F.lit(2)).alias("secret"),
+    # The text is read once; a match alone splits as it did in its text.
+    part = rf"(?U)\A{_CREDENTIAL_PARTS}\z"
+    pairs = F.transform(
+        F.regexp_extract_all(t, F.lit(CREDENTIAL), F.lit(0)),
+        lambda m: F.struct(F.regexp_extract(m, part, 1).alias("mail"), F.regexp_extract(m, part, 2).alias("secret")),
     )
     distinct = F.array_distinct(F.transform(pairs, lambda p: F.struct(F.lower(p["mail"]).alias("mail"), p["secret"].alias("secret"))))
     safe = F.transform(
@@ -70,7 +75,11 @@ def _priced(text: Column) -> Column:
     """Array of ``(price, currency, product, context)`` in discovery order."""
     after = f"(?=({ANY_CHAR}{{0,{PRODUCT_CHARS}}}))"
     parts = []
-    for price, currency, hint in PRICE_PATTERNS:
+    for price, currency, signs in PRICE_PATTERNS:
+        # Without a sign, or where signs are common words, the price itself is looked for before its surroundings are.
+        hint = reduce(Column.__or__, [text.contains(sign) for sign in signs]) if signs else F.lit(True)
+        if currency is None:
+            hint = hint & text.rlike(f"(?U){price}")
         # One character more than the product window, to see whether the window starts inside a word.
         # The look-ahead runs first, so the window is only measured where a price starts.
         pattern = f"(?U)(?={price}){before_window(PRODUCT_CHARS + 1)}({price}){after}"
@@ -78,7 +87,7 @@ def _priced(text: Column) -> Column:
             *[F.regexp_extract_all(padded(text, PRODUCT_CHARS + 1), F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "pre"), (2, "hit"), (3, "post"))]
         )
         kept = F.filter(hits, lambda m: ~F.right(m["pre"], F.lit(RANGE_CHARS)).rlike(RANGE_BEFORE))
-        parts.append(F.when(text.rlike(hint), F.transform(kept, _record(currency))).otherwise(F.expr(
+        parts.append(F.when(hint, F.transform(kept, _record(currency))).otherwise(F.expr(
             "cast(array() as array<struct<price: double, currency: string, product: string, context: string>>)"
         )))
     return F.concat(*parts)
