@@ -163,10 +163,10 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         tokens = _TOKEN.findall((text or "").lower())
-        hits = [i for i, t in enumerate(tokens) if self.match(t) is not None]
+        # Matches are kept here: the cache may be emptied in the middle of a text.
+        hits = [(i, found) for i, t in enumerate(tokens) if (found := self.match(t)) is not None]
         sums = dict.fromkeys(FEATURES, 0.0)
-        for i in hits:
-            kind, weight = self.known[tokens[i]] or self.match(tokens[i])
+        for i, (kind, weight) in hits:
             sums[self._context(tokens, i) or f"plain_{kind}"] += weight
         out = [math.log1p(sums[f]) for f in FEATURES[:-1]]
         return [*out, 100.0 * len(hits) / max(1, len(tokens))]
