@@ -2,7 +2,7 @@
 
 import re
 
-from tidelog.operators import records
+from tidelog.operators import indicators, records
 
 
 def plan(df):
@@ -26,3 +26,10 @@ def test_surroundings_are_read_where_a_price_is(spark):
     assert sorted((r["page_url"], r["price"], r["currency"]) for r in found.collect()) == [("1", 0.5, "BTC"), ("1", 3.0, "GBP"), ("1", 4.5, "USD"), ("1", 5.0, "EUR"), ("1", 12.0, "EUR")]
     # Coins in other words are no reason to read the surroundings three times.
     assert "(?i)BTC|XMR|ETH)" not in plan(found)
+
+
+def test_a_value_is_located_once(spark):
+    texts = ["Vendor: Neo77 sells", "x" * 200 + " mail A.b@Corp.example " + "y" * 200, "cve-2024-1234", None]
+    found = indicators.extract_indicators(pages(spark, *texts))
+    assert plan(found).lower().count("locate(") == 1 and "locate(" not in plan(found.drop("context")).lower()
+    assert sorted((r["value"], r["context"]) for r in found.collect()) == [("A.b@Corp.example", "x" * 74 + " mail A.b@Corp.example " + "y" * 79), ("Neo77", texts[0]), ("cve-2024-1234", texts[2])]

@@ -168,7 +168,9 @@ def extract_indicators(pages: DataFrame, url: str = "page_url", text: str = "tex
     packed = F.concat(*[_tagged(values if max_per_type is None else F.slice(values, 1, max_per_type), kind) for kind, values in per_type.items()])
     # The lower-cased text is computed once per page, below the explode.
     rows = staged.select("page_url", "_text", F.lower("_text").alias("_lower"), F.explode(packed).alias("i"))
-    at = F.expr("locate(lower(i.value), _lower)")
+    # A column of its own, so that a value is located once and not wherever the place is used.
+    rows = rows.select("page_url", "_text", "i", F.expr("locate(lower(i.value), _lower)").alias("_at"))
+    at = F.col("_at")
     start = F.greatest(at - CONTEXT_CHARS, F.lit(1))
     context = F.when(at > 0, F.col("_text").substr(start, at + F.length("i.value") + CONTEXT_CHARS - start))
     return rows.select(
