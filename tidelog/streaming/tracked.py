@@ -1,9 +1,9 @@
 """The live timeline with identifiers: one stateful pass over captures, and the repair of what came too late for it.
 
-A page's value state is its last good version and its counters; a map state holds the identifiers of that version.  The captures of a
-page in one micro-batch are worked on together as arrays.  A capture that is not newer than what its page has seen changes no state
+A page's state is one value: its last good version, the identifiers of that version, and its counters, so that a micro-batch reads and
+writes the state of a page once.  The captures of a page in one micro-batch are worked on together as arrays.  A capture that is not newer than what its page has seen changes no state
 and goes aside as late, replays included; ``repair_late`` works those into the stored log.  No watermark is involved, so nothing
-is dropped for its age and the state is one entry a page and identifier.
+is dropped for its age and the state is one entry a page.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,11 +20,13 @@ from ..schemas import INDICATOR_NEW
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDENTIFIERS = "ARRAY<STRUCT<ioc_type: STRING, value: STRING>>"
-_INPUT = "capture_id BIGINT, page_url STRING, hostname STRING, fetched_at TIMESTAMP, ok BOOLEAN, content_sha256 STRING, blocked BOOLEAN, title STRING, error STRING, forced BOOLEAN"
+# The time travels as microseconds.
+_INPUT = "capture_id BIGINT, page_url STRING, hostname STRING, fetched_at BIGINT, ok BOOLEAN, content_sha256 STRING, blocked BOOLEAN, title STRING, error STRING, forced BOOLEAN"
 _COLUMNS = [part.split()[0] for part in _INPUT.split(", ")]
 _NOTES = "changed BOOLEAN, is_first BOOLEAN, recovered BOOLEAN, went_down BOOLEAN, is_dead BOOLEAN, ever_ok BOOLEAN, fails BIGINT, streak BIGINT, interval_s DOUBLE, prev_title STRING"
-_PAGE = "has_ok BOOLEAN, sha STRING, blocked BOOLEAN, title STRING, fails BIGINT, streak BIGINT, last_ok BOOLEAN, last_us BIGINT, last_id BIGINT"
-_NEW = (False, None, False, None, 0, 0, None, None, None)
+_OUT = Row(*_COLUMNS, *tl.NOTES, "late", "added")
+_PAGE = "has_ok BOOLEAN, sha STRING, blocked BOOLEAN, title STRING, fails BIGINT, streak BIGINT, last_ok BOOLEAN, last_us BIGINT, last_id BIGINT, held_types ARRAY<STRING>, held_values ARRAY<STRING>"
+_NEW = (False, None, False, None, 0, 0, None, None, None, (), ())
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -86,26 +87,41 @@ def _held(values: np.ndarray) -> np.ndarray:
     return np.array([None if v is None or v != v else v for v in values], dtype=object)
 
 
+def _objects(values: tuple) -> np.ndarray:
+    return np.fromiter(values, dtype=object, count=len(values))
+
+
+def _identifiers(identifiers: np.ndarray, turns: np.ndarray, before: set, first: bool, added: list) -> list[tuple[str, str]]:
+    """Put into ``added`` what every new version has that the version before it had not; the identifiers of the last one."""
+    for place in turns.tolist():
+        found = identifiers[place]
+        now = set() if found is None else {(i["ioc_type"], i["value"]) for i in found if i["ioc_type"] is not None and i["value"] is not None}
+        if not (first and place == turns[0]):
+            added[place] = [{"ioc_type": t, "value": v} for t, v in sorted(now - before)]
+        before = now
+    return sorted(before)
+
+
 class PageTracker(StatefulProcessor):
-    """State of one page: ``page``, its last good version and counters; ``held``, the identifiers of that version."""
+    """State of one page: its last good version with its identifiers, and its counters."""
 
     def __init__(self, base_s: float, max_s: float, max_failures: int):
         self.settings = (base_s, max_s, max_failures)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.page = handle.getValueState("page", _PAGE)
-        self.held = handle.getMapState("held", "ioc_type STRING, value STRING", "capture_id BIGINT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        # The rows of a page in one micro-batch are few, so they are worked on as arrays; the frame that goes back is made once.
-        batch = {name: np.concatenate([part[name].to_numpy() for part in parts]) for name in (*_COLUMNS, "identifiers")}
-        # Seconds, milli- or nanoseconds: the unit of the column is not fixed.
-        us = batch["fetched_at"].astype("datetime64[us]").astype("int64")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # The rows of a page in one micro-batch are few, so they are worked on as arrays; a frame for each page would cost more than all else.
+        names = (*_COLUMNS, "identifiers")
+        batch = {name: _objects(values) for name, values in zip(names, zip(*[[row[name] for name in names] for row in rows], strict=True), strict=True)}
+        us = np.array([np.iinfo("int64").min if at is None else at for at in batch["fetched_at"]], dtype="int64")
         order = np.lexsort((batch["capture_id"].astype("int64"), us))
         batch, us = {name: values[order] for name, values in batch.items()}, us[order]
         ids = batch["capture_id"].astype("int64")
-        state = tuple(self.page.get()) if self.page.exists() else _NEW
+        # Every call crosses to the JVM; without a value ``get`` returns None.
+        known = self.page.get()
+        state = _NEW if known is None else tuple(known)
         late = np.ones(len(ids), dtype=bool)
         late[np.unique(ids, return_index=True)[1]] = False
         if state[7] is not None:
@@ -118,27 +134,10 @@ class PageTracker(StatefulProcessor):
             notes, kept = flags(*(_known(batch[n])[fresh] for n in ("ok", "forced")), _held(batch["content_sha256"])[fresh], _known(batch["blocked"])[fresh], _held(batch["title"])[fresh], state, *self.settings)
             for name, values in notes.items():
                 columns[name][fresh] = values
-            turns = fresh[notes["changed"]]
-            if len(turns):
-                self._identifiers(batch["identifiers"], ids, turns, bool(notes["is_first"].any()), added)
-            self.page.update((*kept, int(us[fresh[-1]]), int(ids[fresh[-1]])))
-        columns["interval_s"] = columns["interval_s"].astype("float64")
-        yield pd.DataFrame({**out, **{name: columns[name] for name in tl.NOTES}, "late": late, "added": added})
-
-    def _identifiers(self, identifiers: np.ndarray, ids: np.ndarray, turns: np.ndarray, first: bool, added: list) -> None:
-        """What every new version has that the version before it had not; the last one's identifiers stay in the state."""
-        before = {tuple(k) for k in self.held.keys()}
-        stored = set(before)
-        for place in turns.tolist():
-            found = identifiers[place]
-            now = set() if found is None else {(i["ioc_type"], i["value"]) for i in found if i["ioc_type"] is not None and i["value"] is not None}
-            if not (first and place == turns[0]):
-                added[place] = [{"ioc_type": t, "value": v} for t, v in sorted(now - before)]
-            before = now
-        for gone in stored - before:
-            self.held.removeKey(gone)
-        for new in before - stored:
-            self.held.updateValue(new, (int(ids[turns[-1]]),))
+            held = _identifiers(batch["identifiers"], fresh[notes["changed"]], set(zip(state[9], state[10], strict=True)), bool(notes["is_first"].any()), added)
+            self.page.update((*kept, int(us[fresh[-1]]), int(ids[fresh[-1]]), [t for t, _ in held], [v for _, v in held]))
+        for values in zip(*[out[name] for name in _COLUMNS], *[columns[name] for name in tl.NOTES], late.tolist(), added, strict=True):
+            yield _OUT(*[None if v != v else v for v in values])
 
     def close(self) -> None:
         pass
@@ -150,10 +149,11 @@ def tracked_captures(stream: DataFrame, base_s: float = 86_400, max_s: float = 6
     ``stream`` has the columns of captures and ``identifiers``, the linking identifiers of each body; ``forced`` is optional.
     """
     forced = F.col("forced") if "forced" in stream.columns else F.lit(False)
-    rows = stream.withColumn("forced", forced).select(*_COLUMNS, F.col("identifiers").cast(IDENTIFIERS).alias("identifiers"))
-    return rows.groupBy("page_url").transformWithStateInPandas(
+    rows = stream.withColumns({"forced": forced, "fetched_at": F.unix_micros(F.col("fetched_at").cast("timestamp"))}).select(*_COLUMNS, F.col("identifiers").cast(IDENTIFIERS).alias("identifiers"))
+    notes = rows.groupBy("page_url").transformWithState(
         statefulProcessor=PageTracker(base_s, max_s, max_failures), outputStructType=f"{_INPUT}, {_NOTES}, late BOOLEAN, added {IDENTIFIERS}", outputMode="Append", timeMode="None"
     )
+    return notes.withColumn("fetched_at", F.timestamp_micros("fetched_at"))
 
 
 def tracked_events(tracked: DataFrame) -> DataFrame:
